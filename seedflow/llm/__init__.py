@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sharding", "licenses", "media")
+MODULES = ("sharding", "licenses", "media", "quality", "mixing")
 
 
 def queries() -> dict:
