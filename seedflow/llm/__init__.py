@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sharding", "licenses", "media", "quality", "mixing", "simhash")
+MODULES = ("sharding", "licenses", "media", "quality", "mixing", "simhash", "tokens")
 
 
 def queries() -> dict:
