@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sharding", "licenses", "media", "quality", "mixing", "simhash", "tokens")
+MODULES = ("sharding", "licenses", "media", "quality", "mixing", "simhash", "tokens", "chat")
 
 
 def queries() -> dict:
