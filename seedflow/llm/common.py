@@ -48,6 +48,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_table(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder as Parquet and read again: cuts the lineage, keeps columns prunable."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bound(value: Column, body) -> Column:
     """body(value), with value evaluated once even if body refers to it in a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
