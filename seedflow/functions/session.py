@@ -33,3 +33,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """The rows as a table bucketed and sorted by ``key`` in the warehouse, and its name, to be dropped after use.
+
+    Joins on the key shuffle the other side only, to the same number of buckets.
+    """
+    spark, name = df.sparkSession, f"seedflow_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(name)
+    return spark.table(name), name

@@ -7,10 +7,12 @@ edge's hash, from which its coins come). Parallel edges and self loops are kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +68,8 @@ class Graph:
     direction: str = "forward"
 
     @classmethod
-    def build(cls, edges: DataFrame, renumber: bool = True) -> Graph:
-        """From src, dst and maybe weight (null or absent: 1.0), in original ids."""
+    def build(cls, edges: DataFrame, renumber: bool = True, weigh: Callable[[DataFrame], DataFrame] | None = None) -> Graph:
+        """From src, dst and maybe weight (null or absent: 1.0), in original ids; ``weigh`` gives the edges other weights."""
         edges = edges.select("src", "dst", (F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)).alias("weight"))
         if renumber:
             vertices = checkpoint(dense_ids(edges.select("src").union(edges.select("dst")), "src"))
@@ -77,10 +79,8 @@ class Graph:
         else:
             top = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
             vertices = edges.sparkSession.range(0 if top is None else top + 1).select(F.col("id").alias("orig"), F.col("id").alias("vid"))
-        return cls(vertices, checkpoint(hashed(edges).withColumn("thr", threshold(F.col("weight"))))).with_checked_weights()
-
-    def with_checked_weights(self) -> Graph:
-        return self
+        edges = hashed(edges).withColumn("thr", threshold(F.col("weight")))
+        return cls(vertices, checkpoint(weigh(edges) if weigh else edges))
 
     def with_weights(self, weighted: DataFrame) -> Graph:
         """The same graph with the weights (and thr) of another edge table."""
@@ -146,6 +146,16 @@ class Graph:
         indptr = np.concatenate([[0], np.cumsum(np.bincount(a[by], minlength=self.n))]).astype(np.int64)
         return Csr(self.n, indptr, a[other][order].astype(np.int32), a["thr"][order].astype(np.uint64), a["eh"][order].astype(np.uint32))
 
+    @cached_property
+    def _sent(self) -> dict:
+        return {}
+
+    def sent_csr(self, by: str) -> Broadcast:
+        """The adjacency arrays as a broadcast variable, sent once."""
+        if by not in self._sent:
+            self._sent[by] = self.edges.sparkSession.sparkContext.broadcast(self.csr(by))
+        return self._sent[by]
+
     def communities(self, labels: DataFrame) -> DataFrame:
         """community, src, dst (dense in the community's own edges, from 0), gsrc, gdst, weight: edges inside communities.
 

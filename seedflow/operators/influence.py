@@ -183,7 +183,7 @@ def marginal_spread(graph: Graph, seeds: list[int], count: int, seed: int = 0, s
         gains = got.groupBy(F.col("o").alias("v")).agg(F.count("*").alias("g"))
         return others.withColumnRenamed("vid", "v").join(gains, "v", "left").select("v", (F.coalesce("g", F.lit(0)) + shared).cast("long").alias("total"))
     ship(spark)
-    csr = spark.sparkContext.broadcast(graph.csr("src"))
+    csr = graph.sent_csr("src")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, np.int64)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import fold, fold_np, salted
-from ..functions.session import checkpoint
+from ..functions.session import bucketed, checkpoint
 from ..shipping import ship
 from .graph import Csr, Graph
 
@@ -158,7 +158,7 @@ def rrr_sets(graph: Graph, stop: int, model: str = "IC", stream: str = "sample",
     if not local:
         return reach(graph, rooted, model).select("sid", "v")
     ship(spark)
-    csr = spark.sparkContext.broadcast(graph.csr("dst"))
+    csr = graph.sent_csr("dst")
     walk = reach_ic if model == "IC" else reach_lt_back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +172,13 @@ def rrr_sets(graph: Graph, stop: int, model: str = "IC", stream: str = "sample",
 
 
 def reach(graph: Graph, starts: DataFrame, model: str = "IC", forward: bool = False) -> DataFrame:
-    """sid, v, hop: all that the starts (sid, sh, v) reach against the edges (or along them), by frontier joins."""
+    """sid, v, hop: all that the starts (sid, sh, v) reach against the edges (or along them), by frontier joins.
+
+    The edges are bucketed by the vertex they are looked up by, once; a hop shuffles its frontier, not the graph.
+    """
     tail, head = ("src", "dst") if forward else ("dst", "src")
     edges = graph.edges if model == "IC" else lt_intervals(graph.edges)
-    edges = checkpoint(edges.select(F.col(tail).alias("v"), F.col(head).alias("_to"), "thr", "eh", *(["lo", "hi"] if model == "LT" else [])))
+    edges, table = bucketed(edges.select(F.col(tail).alias("v"), F.col(head).alias("_to"), "thr", "eh", *(["lo", "hi"] if model == "LT" else [])), "v")
     frontier = checkpoint(starts.select("sid", "sh", "v", F.lit(0).alias("hop")).distinct())
     visited, hop = frontier.select("sid", "v", "hop"), 0
     while frontier.limit(1).count():
@@ -189,6 +192,7 @@ def reach(graph: Graph, starts: DataFrame, model: str = "IC", forward: bool = Fa
         new = joined.select("sid", "sh", F.col("_to").alias("v")).distinct().join(visited, ["sid", "v"], "left_anti")
         frontier = checkpoint(new.select("sid", "sh", "v", F.lit(hop).alias("hop")))
         visited = checkpoint(visited.union(frontier.select("sid", "v", "hop")))
+    edges.sparkSession.sql(f"DROP TABLE {table}")
     return visited
 
 
@@ -201,7 +205,7 @@ def simulate(graph: Graph, seeds: list[int], replicas: int, model: str = "IC", s
     if not local:
         return _simulate_frontier(graph, reps, seeds, model)
     ship(spark)
-    csr, start = spark.sparkContext.broadcast(graph.csr("src")), np.unique(np.array(seeds, np.int64))
+    csr, start = graph.sent_csr("src"), np.unique(np.array(seeds, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

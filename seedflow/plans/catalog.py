@@ -5,6 +5,8 @@ The graph of most queries is ``ev``: users of consecutive events, weighted casca
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,7 @@ def query(sql: str | None = None):
 
 
 def ev(spark: SparkSession, sf_dir: str, weigh=weights.weighted_cascade) -> Graph:
-    graph = Graph.build(tables.event_edges(spark, sf_dir))
-    return graph.with_weights(weigh(graph.edges)) if weigh else graph
+    return Graph.build(tables.event_edges(spark, sf_dir), weigh=weigh)
 
 
 def _chain(source: str, first: int, keys: list[str], out: str, keep: str) -> str:
@@ -143,7 +144,15 @@ def weights_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.uniform(ev(spark, sf_dir, None).edges).select("src", "dst", "thr")
 
 
-@query()
+_CDF = lambda x: 0.5 * (1 + math.erf((x - 0.5) / math.sqrt(2)))
+_LOW, _SPAN = 2 * _CDF(0.0) - 1, 2 * (_CDF(1.0) - _CDF(0.0))
+_B = f"({2 / (math.pi * 0.147)!r}::DOUBLE + l / 2)"
+
+
+@query(
+    EV + f", Q AS (SELECT src, dst, ({fold_sql('eh', salted('weight'))} + 0.5::DOUBLE) / {float(ONE)}::DOUBLE * {_SPAN!r}::DOUBLE + {_LOW!r}::DOUBLE AS x FROM E), Y AS (SELECT *, ln(1 - x * x) AS l FROM Q) "
+    f"SELECT src, dst, round(greatest(0, least(1, 0.5::DOUBLE + {math.sqrt(2)!r}::DOUBLE * sign(x) * sqrt(sqrt({_B} * {_B} - l / 0.147::DOUBLE) - {_B}))), 4) AS weight FROM Y"
+)
 def weights_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.truncated_normal(ev(spark, sf_dir, None).edges).select("src", "dst", F.round("weight", 4).alias("weight"))
 
@@ -223,6 +232,14 @@ def live_edges_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_edges(ev(spark, sf_dir), WORLDS).groupBy("sid").agg(F.count("*").alias("edges"))
 
 
+@query(EV + _samples_sql("S", WORLDS, "sample") + f" SELECT sid, count(DISTINCT dst) AS heads FROM (SELECT sid, dst, thr, {fold_sql('eh', 'sh')} AS c FROM E, S) WHERE c < thr GROUP BY sid")
+def bitmask_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of live edges, kept as bitmaps of 32 KiB blocks and counted by their bits."""
+    heads = live_edges(ev(spark, sf_dir), WORLDS).withColumn("block", F.bitmap_bucket_number("dst"))
+    masks = heads.groupBy("sid", "block").agg(F.bitmap_construct_agg(F.bitmap_bit_position("dst")).alias("mask"))
+    return masks.groupBy("sid").agg(F.sum(F.bitmap_count("mask")).alias("heads"))
+
+
 @query(EV + _samples_sql("S", WORLDS, "sample") + VHASH + f" SELECT sid, v, src AS parent FROM (SELECT sid, vid AS v, {fold_sql('vh', 'sh')} AS c FROM P, S) JOIN I ON dst = v WHERE c < hi AND c >= hi - thr")
 def lt_live_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_parents(ev(spark, sf_dir), WORLDS)
@@ -369,17 +386,35 @@ def watts_strogatz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.watts_strogatz(spark, 256)
 
 
-@query()
+_U = lambda purpose, a, b: f"({fold_sql(fold_sql(fold_int(77, purpose), a), b)}) / {float(ONE)}::DOUBLE"
+
+
+@query(
+    f"""WITH RECURSIVE L AS (
+  SELECT id, 0::BIGINT AS s, 0 AS i, {_U(1, 'id', 0)} AS u FROM range(4096) r(id)
+  UNION ALL
+  SELECT id, s * 2 + (u >= 0.57 + 0.19)::BIGINT, i + 1, {_U(1, 'id', 'i + 1')} FROM L WHERE i < 8
+) SELECT s AS src, count(*) AS degree FROM L WHERE i = 8 GROUP BY s"""
+)
 def rmat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.rmat(spark, 8).groupBy("src").agg(F.count("*").alias("degree"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE L AS (
+  SELECT id, 0::BIGINT AS v, id AS t, false AS done, 0 AS i FROM range(2048) r(id)
+  UNION ALL
+  SELECT id, CASE WHEN stop THEN v ELSE pick // 2 // 8 END, CASE WHEN stop THEN t ELSE pick // 2 END, stop OR pick % 2 = 0, i + 1
+  FROM (SELECT *, done OR t <= 0 AS stop, floor({fold_sql(fold_int(77, 4), 't')} / {float(ONE)}::DOUBLE * t * 2)::BIGINT AS pick FROM L WHERE i < 64)
+) SELECT v AS dst, count(*) AS degree FROM L WHERE i = 64 GROUP BY v"""
+)
 def barabasi_albert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.barabasi_albert(spark, 256).groupBy("dst").agg(F.count("*").alias("degree"))
 
 
-@query()
+@query(
+    f"SELECT id AS src, (CASE WHEN {_U(5, 'id', 'j')} < 0.5 THEN floor({_U(7, 'id', 'j')} * 256) ELSE least(id // 16 * 16 + floor({_U(6, 'id', 'j')} * 16), 255) END)::BIGINT AS dst FROM range(256) a(id), range(1, 7) b(j)"
+)
 def planted_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.planted(spark, 256)
 
