@@ -19,18 +19,20 @@ def spark():
     s.stop()
 
 
-#: A small club graph: 78 ties between 34 members, each once with the smaller id first (a published social network).
-TIES = {
-    1: [2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 18, 20, 22, 32], 2: [3, 4, 8, 14, 18, 20, 22, 31], 3: [4, 8, 9, 10, 14, 28, 29, 33], 4: [8, 13, 14], 5: [7, 11],
-    6: [7, 11, 17], 7: [17], 9: [31, 33, 34], 10: [34], 14: [34], 15: [33, 34], 16: [33, 34], 19: [33, 34], 20: [34], 21: [33, 34], 23: [33, 34],
-    24: [26, 28, 30, 33, 34], 25: [26, 28, 32], 26: [32], 27: [30, 34], 28: [34], 29: [32, 34], 30: [33, 34], 31: [33, 34], 32: [33, 34], 33: [34],
-}
+#: The 78 ties between the 34 members of a club (a published social network), each once, and a label for each member.
+TIES = [
+    (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (1, 8), (1, 9), (1, 11), (1, 12), (1, 13), (1, 14), (1, 18), (1, 20), (1, 22), (1, 32), (2, 3),
+    (2, 4), (2, 8), (2, 14), (2, 18), (2, 20), (2, 22), (2, 31), (3, 4), (3, 8), (3, 9), (3, 10), (3, 14), (3, 28), (3, 29), (3, 33), (4, 8), (4, 13),
+    (4, 14), (5, 7), (5, 11), (6, 7), (6, 11), (6, 17), (7, 17), (9, 31), (9, 33), (9, 34), (10, 34), (14, 34), (15, 33), (15, 34), (16, 33), (16, 34),
+    (19, 33), (19, 34), (20, 34), (21, 33), (21, 34), (23, 33), (23, 34), (24, 26), (24, 28), (24, 30), (24, 33), (24, 34), (25, 26), (25, 28), (25, 32),
+    (26, 32), (27, 30), (27, 34), (28, 34), (29, 32), (29, 34), (30, 33), (30, 34), (31, 33), (31, 34), (32, 33), (32, 34), (33, 34),
+]
 LABELS = "0 0 0 0 1 1 1 0 2 0 1 0 0 0 2 2 1 0 2 0 2 0 2 3 3 3 2 3 3 2 2 3 2 2"
 
 
 @pytest.fixture(scope="session")
 def club_edges():
-    return [(a, b, 0.5) for a, bs in TIES.items() for b in bs]
+    return [(a, b, 0.5) for a, b in TIES]
 
 
 @pytest.fixture(scope="session")
