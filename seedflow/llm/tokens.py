@@ -18,9 +18,11 @@ holds one Arrow batch.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +49,8 @@ class ChunkEncoder:
     """Encodes texts through the ids of their distinct white-space chunks."""
 
     def __init__(self, path: str, kept: int = KEPT):
+        # a task has one core; threads of its own would only add memory arenas
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -81,9 +85,10 @@ class ChunkEncoder:
                 parts.append(ids)
                 lengths.append(np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
         for at in range(0, len(other), 512):
-            for e in self.tokenizer.encode_batch_fast([c.decode() for c in other[at : at + 512]], add_special_tokens=False):
-                parts.append(np.array(e.ids, np.int32))
-                lengths.append(np.array([len(e.ids)]))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in other[at : at + 512]], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            parts.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
+            lengths.append(sizes)
         n = len(self.place)
         self.place.update(zip(words + other, range(n, n + len(new)), strict=True))
         added = np.concatenate(lengths)
