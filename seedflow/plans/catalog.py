@@ -419,3 +419,8 @@ def planted_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.planted(spark, 256)
 
 
+
+
+@query()
+def lfr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.lfr(spark, 1024)

@@ -1,7 +1,9 @@
-"""Synthetic graphs from counter-based coins: R-MAT, Watts-Strogatz, Barabasi-Albert by copying, planted communities."""
+"""Synthetic graphs from counter-based coins: R-MAT, Watts-Strogatz, Barabasi-Albert by copying, planted communities, power-law communities."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,31 @@ def planted(spark: SparkSession, n: int, degree: int = 6, communities: int = 16,
     far = F.floor(_coin(seed * 64 + 7, F.col("id"), F.col("j")) * n)
     dst = F.when(_coin(seed * 64 + 5, F.col("id"), F.col("j")) < mixing, far).otherwise(F.least(own, F.lit(n - 1)))
     return drawn.select(F.col("id").alias("src"), dst.cast("long").alias("dst"))
+
+
+def lfr(spark: SparkSession, n: int, degrees: tuple[int, int] = (5, 6), sizes: tuple[int, int] = (5, 6), mixing: float = 0.5, seed: int = 0) -> DataFrame:
+    """src, dst with degrees of a power law (exponent 2) and communities whose sizes follow one of exponent 1.
+
+    Communities are ranges of ids in falling size. With exponent 1 the logarithm of a size is uniform, so
+    the community of an id and the ends of its range have closed forms, and nothing is looked up.
+    """
+    (low, high), (small, large) = degrees, sizes
+    spread = math.log(large / small)
+    count = max(round(n * spread / (large - small)), 1) if large > small else max(n // small, 1)
+
+    def first(j: Column) -> Column:
+        """The first id of community j."""
+        if large == small:
+            return F.floor(j * n / count)
+        return F.ceil((large - small * F.exp((1 - j / count) * spread)) / (large - small) * n - 1e-6)
+
+    v = F.col("id")
+    size = large - v / n * (large - small)
+    own = F.least(F.floor((1 - F.log(size / small) / spread) * count + 1e-9) if large > small else F.floor(v * count / n), F.lit(count - 1))
+    degree = F.floor(1 / (1 / low - _coin(seed * 64 + 8, v) * (1 / low - 1 / high)) + 0.5).cast("int")
+    drawn = spark.range(n).withColumn("_c", own).withColumn("j", F.explode(F.sequence(F.lit(1), degree)))
+    a, b = first(F.col("_c")), first(F.col("_c") + 1)
+    inside = a + F.floor(_coin(seed * 64 + 9, v, F.col("j")) * F.greatest(b - a, F.lit(1)))
+    outside = F.floor(_coin(seed * 64 + 10, v, F.col("j")) * n)
+    dst = F.when(_coin(seed * 64 + 11, v, F.col("j")) < mixing, outside).otherwise(F.least(inside, F.lit(n - 1)))
+    return drawn.select(v.alias("src"), dst.cast("long").alias("dst"))

@@ -145,6 +145,11 @@ def test_generators(spark):
     assert b.filter("dst > src").count() == 0 and b.groupBy("dst").count().agg(F.max("count")).first()[0] > 40
     p = generators.planted(spark, 160, mixing=0.1)
     assert p.filter("floor(src / 10) = floor(dst / 10)").count() > 0.85 * p.count()
+    f = generators.lfr(spark, 600, mixing=0.0)
+    assert {r[1] for r in f.groupBy("src").count().collect()} <= {5, 6} and f.filter("abs(src - dst) > 6 OR dst < 0 OR dst >= 600").count() == 0
+    wide = generators.lfr(spark, 2000, degrees=(2, 40), sizes=(10, 200))
+    d = wide.groupBy("src").count().agg(F.min("count"), F.max("count"), F.avg("count")).first()
+    assert d[0] == 2 and d[1] > 15 and d[2] < 10
 
 
 def test_bounds():
