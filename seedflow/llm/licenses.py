@@ -108,10 +108,10 @@ def blocks_of(n_words: int, block: int) -> list[tuple[int, int]]:
 def scan(words: list[bytes], index: TemplateIndex, phrases: Mapping[tuple[bytes, ...], str], block: int) -> dict:
     """Phrase places and template matches of one text."""
     starts, base = [], set()
-    heads = {}
+    heads: dict[bytes, list] = {}
     for p, label in phrases.items():
         heads.setdefault(p[0], []).append((p, label))
-    if any(h in present for present in (set(words),) for h in heads):
+    if not heads.keys().isdisjoint(words):
         for i, w in enumerate(words):
             for p, label in heads.get(w, ()):
                 if tuple(words[i : i + len(p)]) == p:

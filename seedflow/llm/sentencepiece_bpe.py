@@ -39,7 +39,6 @@ MARK = "▁"
 KEPT = 1_000_000
 #: Texts of one batch, and characters of distinct units that one suffix array indexes.
 BATCH, INDEXED = 1024, 1_000_000
-NEVER = np.iinfo(np.int64).max
 
 
 def _pieces(path: str) -> tuple[list[str], np.ndarray, list[int]]:
