@@ -25,7 +25,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import load
@@ -204,54 +205,49 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(write, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
-READ = "program int, stream_type int, packets long, continuity_errors long, first_pts long, last_pts long, access_points array<struct<pts:long,packet:long,offset:long>>, payload binary"
+READ = (
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, program int, stream_type int, packets long, "
+    "continuity_errors long, first_pts long, last_pts long, access_points array<struct<pts:long,packet:long,offset:long>>"
+)
 
 
-def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Demultiplex a media column: tables, counters, timestamps, access points and the payload."""
+def read_media(media: DataFrame, id_col: str = "doc_id", payload: bool = True) -> DataFrame:
+    """Demultiplex a media column: digests, tables, counters, timestamps, access points and, if asked for, the payload."""
+    ship(media.sparkSession)
     points = pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64()), ("offset", pa.int64())]))
+    names = [x.split()[0] for x in READ.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 b = batch.slice(at, 64)
-                got = [demux(m.as_py()) for m in b.column(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0), b.column(1), b.column(2),
-                        pa.array([d.program for d in got], pa.int32()), pa.array([d.stream_type for d in got], pa.int32()),
-                        pa.array([d.packets for d in got], pa.int64()), pa.array([d.continuity_errors for d in got], pa.int64()),
-                        pa.array([min(d.pts, default=None) for d in got], pa.int64()), pa.array([max(d.pts, default=None) for d in got], pa.int64()),
-                        pa.array([[dict(zip(("pts", "packet", "offset"), x, strict=True)) for x in d.access_points] for d in got], points),
-                        pa.array([d.payload for d in got], pa.binary()),
-                    ],
-                    names=["id", "n_bytes", "media", *(x.split()[0] for x in READ.split(", "))],
-                )
-
-    return media.select(id_col, "n_bytes", "media").mapInArrow(read, f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, n_bytes long, media binary, {READ}")
-
-
-def digest(read: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Hashes of the payload and of the stream, and a one-line feature text."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pay, med = [x.as_py() for x in b.column("payload")], [x.as_py() for x in b.column("media")]
-            feature = [
-                f"packets={p};units={n};cc={e};rap={r};pts={f}-{t}"
-                for p, n, e, r, f, t in zip(b.column("packets").to_pylist(), b.column("units").to_pylist(), b.column("continuity_errors").to_pylist(), b.column("rap").to_pylist(), b.column("first_pts").to_pylist(), b.column("last_pts").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(x) for x in pay], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in pay]), pa.array([zlib.crc32(x[-64:]) for x in pay], pa.int64()), pa.array([len(x) for x in med], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in med]), pa.array(feature)],
-                names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    cols = read.selectExpr(f"`{id_col}`", "n_bytes", "media", "payload", "packets", "continuity_errors", "first_pts", "last_pts", "size(access_points) AS rap", f"CAST((last_pts - first_pts) DIV {TICKS} + 1 AS LONG) AS units")
-    return cols.mapInArrow(fold, f"`{id_col}` {read.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                raw = [m.as_py() for m in b.column(2)]
+                got = [demux(m) for m in raw]
+                columns = [
+                    pa.array([len(d.payload) for d in got], pa.int64()), pa.array([hashlib.sha256(d.payload).hexdigest() for d in got], pa.string()),
+                    pa.array([zlib.crc32(d.payload[-64:]) for d in got], pa.int64()), pa.array([len(m) for m in raw], pa.int64()),
+                    pa.array([hashlib.sha256(m).hexdigest() for m in raw], pa.string()), pa.array([d.program for d in got], pa.int32()),
+                    pa.array([d.stream_type for d in got], pa.int32()), pa.array([d.packets for d in got], pa.int64()),
+                    pa.array([d.continuity_errors for d in got], pa.int64()), pa.array([min(d.pts, default=None) for d in got], pa.int64()),
+                    pa.array([max(d.pts, default=None) for d in got], pa.int64()),
+                    pa.array([[dict(zip(("pts", "packet", "offset"), x, strict=True)) for x in d.access_points] for d in got], points),
+                ]
+                if payload:
+                    columns.append(pa.array([d.payload for d in got], pa.binary()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "n_bytes", *names, *(["payload"] if payload else [])])
+
+    return media.select(id_col, "n_bytes", "media").mapInArrow(read, f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, n_bytes long, {READ}" + ", payload binary" * payload)
+
+
+def feature(ticks: int = TICKS) -> Column:
+    """One line on a read stream: packets, units, continuity errors, access points, first and last timestamp."""
+    units = ((F.col("last_pts") - F.col("first_pts")) / ticks + 1).cast("long")
+    return F.format_string("packets=%d;units=%d;cc=%d;rap=%d;pts=%d-%d", "packets", units, "continuity_errors", F.size("access_points"), "first_pts", "last_pts")
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(read_media(media_column(load(spark, sf_dir, "documents"))))
+    read = read_media(media_column(load(spark, sf_dir, "documents")), payload=False)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature().alias("feature"))
 
 
 QUERIES = {"op3_media_columns": op3_media_columns}
