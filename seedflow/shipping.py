@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -16,6 +17,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = Path(__file__).resolve().parent
     work = tempfile.mkdtemp(prefix="seedflow-src-")
+    atexit.register(shutil.rmtree, work, ignore_errors=True)
     shutil.copytree(package, f"{work}/src/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(f"{work}/{package.name}", "zip", f"{work}/src"))
     sc._seedflow_shipped = True
