@@ -36,9 +36,9 @@ from ..shipping import ship
 from .common import load
 
 MARK = "▁"
-KEPT = 1_000_000
+KEPT = 700_000
 #: Texts of one batch, and characters of distinct units that one suffix array indexes.
-BATCH, INDEXED = 1024, 1_000_000
+BATCH, INDEXED = 1024, 500_000
 
 
 def _pieces(path: str) -> tuple[list[str], np.ndarray, list[int]]:
@@ -195,7 +195,7 @@ class Codec:
             found.append(lo)
         return found[0], found[1]
 
-    def match(self, units: list[str]) -> list[list[int]] | tuple[np.ndarray, np.ndarray]:
+    def match(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths of the encodings of units; each is encoded on its own."""
         sizes = np.array([len(u) for u in units], np.int64)
         joined = "\0".join(units) + "\0"
@@ -203,24 +203,21 @@ class Codec:
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         text = self.code[points]
         text[begin + sizes] = 0
-        order = self._suffixes(text)
+        order = self._suffixes(text).astype(np.int32)
         lo, hi = self._ranges(text, order)
         count = hi - lo
-        piece = np.repeat(np.arange(len(count)), count)
-        start = order[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-        # characters that are in no piece are edges of their own, to their bytes
-        alone = np.flatnonzero(text == 1)
-        ids = np.concatenate([self.pattern_id[piece], np.full(len(alone), -1)])
-        length = np.concatenate([self.pattern_len[piece], np.ones(len(alone), np.int64)])
-        start = np.concatenate([start, alone])
-        end = start + length
-        unit_of = np.repeat(np.arange(len(units)), sizes + 1)
-        level = end - begin[unit_of[start]]
-        by = np.argsort(level, kind="stable")
+        # edges are held as 32-bit numbers; characters that are in no piece are edges of their own, to their bytes
+        alone = np.flatnonzero(text == 1).astype(np.int32)
+        some = np.flatnonzero(count)
+        start = np.concatenate([*(order[lo[k] : hi[k]] for k in some), alone])
+        ids = np.concatenate([np.repeat(self.pattern_id[some].astype(np.int32), count[some]), np.full(len(alone), -1, np.int32)])
+        end = start + np.concatenate([np.repeat(self.pattern_len[some].astype(np.int32), count[some]), np.ones(len(alone), np.int32)])
+        level = end - np.repeat(begin.astype(np.int32), sizes + 1)[start]
+        by = np.argsort(level, kind="stable").astype(np.int32)
         start, end, ids, level = start[by], end[by], ids[by], level[by]
         cuts = np.searchsorted(level, np.arange(1, (level[-1] if len(level) else 0) + 2))
         # relax: last piece of the encoding up to a place (-2: none yet), and where that piece starts
-        last, back = np.full(len(text) + 1, -2, np.int64), np.zeros(len(text) + 1, np.int64)
+        last, back = np.full(len(text) + 1, -2, np.int32), np.zeros(len(text) + 1, np.int32)
         first = np.zeros(len(text) + 1, bool)
         first[begin] = True
         for k in range(len(cuts) - 1):
@@ -230,7 +227,7 @@ class Codec:
             take = reached & ((before == -1) | (t == -1))  # a unit's start or an unknown character: nothing to merge with
             check = np.flatnonzero(reached & ~take)
             if len(check):
-                pair, where = np.unique(before[check] * len(self.texts) + t[check], return_inverse=True)
+                pair, where = np.unique(before[check].astype(np.int64) * len(self.texts) + t[check], return_inverse=True)
                 take[check] = self.stable(pair // len(self.texts), pair % len(self.texts))[where]
             last[e[take]], back[e[take]] = t[take], s[take]
         # walk back from the ends of all units together

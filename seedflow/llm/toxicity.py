@@ -219,8 +219,8 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
                 counts = [terms_of(t.as_py()) for t in b.column(1)]
                 p = light.predict(counts).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=["id", *names, "toxic"])
@@ -235,8 +235,8 @@ def clean_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
                 p = light.predict([terms_of(t.as_py()) for t in b.column(at_text)])
                 yield b.filter(pa.array(p[:, -1] < threshold))
 
