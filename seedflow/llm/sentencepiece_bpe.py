@@ -38,7 +38,7 @@ from .common import load
 MARK = "▁"
 KEPT = 700_000
 #: Texts of one batch, and characters of distinct units that one suffix array indexes.
-BATCH, INDEXED = 1024, 500_000
+BATCH, INDEXED = 512, 500_000
 
 
 def _pieces(path: str) -> tuple[list[str], np.ndarray, list[int]]:
