@@ -26,6 +26,7 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -57,6 +58,7 @@ class Assembler:
     """Encodes turns to ids and masks, and back."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
