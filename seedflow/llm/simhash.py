@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -60,16 +60,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id and fp (the fingerprint's 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, *more: str) -> DataFrame:
+    """id, fp (the fingerprint's 64 bits as a signed long), and the columns ``more``."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f), *b.columns[2:]], names=["id", "fp", *more])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    return docs.select(id_col, text_col, *more).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long{kept}")
 
 
 class _Links:
@@ -215,22 +216,40 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
+def _rooted(rows: DataFrame, budget: int) -> DataFrame:
+    """fp, least_id, root (the component's least fingerprint) of every fingerprint of ``rows`` (id, fp)."""
+    fps = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
+    roots = components(links(fps.select("fp"), fps.count(), budget))
+    return fps.join(roots, fps["fp"] == roots["u"], "left").select(fps["fp"], "least_id", F.coalesce("root", fps["fp"]).alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """id, fp (long), component_id (the least id of the component) of every row."""
     rows = checkpoint(fingerprints(docs, id_col, text_col, shingle))
-    fps = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = components(links(fps.select("fp"), fps.count(), budget))
-    rooted = fps.join(roots, fps["fp"] == roots["u"], "left").select(fps["fp"], "least_id", F.coalesce("root", fps["fp"]).alias("root"))
+    rooted = _rooted(rows, budget)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; rows that share it are equal."""
+    return F.xxhash64(*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each root of ``rows`` (id, tie, root; tie is the row's ``row_hash``): that of the least id, nulls last, then of the least tie."""
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.tie").alias("_tie"))
+    tied = docs.withColumn("_row", row_hash(docs))
+    kept = tied.join(first, tied[id_col].eqNullSafe(first["_id"]) & (tied["_row"] == first["_tie"]), "left_semi")
+    return kept.dropDuplicates(["_row", id_col]).select(*docs.columns)  # of wholly equal rows, one
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The documents with the least id of their component, one row each, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, shingle, budget)
-    stay = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates([id_col])
+    """One row of each component, that of the least id (see ``keep_one``), with all its columns."""
+    rows = checkpoint(fingerprints(docs.withColumn("_tie", row_hash(docs)), id_col, text_col, shingle, "_tie").withColumnRenamed("_tie", "tie"))
+    rooted = _rooted(rows, budget).select("fp", "root")
+    return keep_one(docs, rows.join(rooted, "fp"), id_col)
 
 
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

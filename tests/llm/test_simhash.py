@@ -94,3 +94,12 @@ def test_odd_rows(spark, odd, empty, sf_dir):
     assert S.near_duplicates(empty).count() == 0
     kept = S.deduplicate(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(set(expected.values()))
+
+
+def test_one_row_stays_of_each_component_whatever_its_id(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "blue", "green", "grey")]
+    rows = [(None, texts[0], 1), (None, texts[1], 2), (1, texts[2], 3), (1, texts[3], 4), (None, texts[2], 5), (None, texts[0], 1), (2, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    want = sorted([(None, texts[0], 1), (None, texts[1], 2), (1, texts[2], 3), (1, texts[3], 4), (2, None, 6)], key=str)
+    for n in (1, 5):
+        assert sorted(map(tuple, S.deduplicate(docs.repartition(n)).collect()), key=str) == want
