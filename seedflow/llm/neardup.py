@@ -1,0 +1,222 @@
+"""Near copies by an exact set-similarity join on word shingles.
+
+A text is the set of its ``SHINGLE``-word shingles (64-bit hashes). Two texts are linked when the
+Jaccard similarity of their sets is at least ``LEAST`` (a fraction n / d); every linked pair is found
+or lies inside a component already: no step is a sketch or a sample.
+
+Join: equal sets are one node. In one order of all shingles, rarest first, a set of s shingles and any
+set similar to it share one of the first ``s - ceil(n s / d) + 1`` (prefix filter); a pair must also
+pass the length filter, the positional filter and the bitmap filter: every set has ``BITS`` bits, each the
+parity of the shingles that are hashed to it, and two sets differ in at least as many shingles as bits.
+Survivors are verified by the sets themselves. The
+order needs to be the same everywhere, not exact: it goes by the frequency of ``BUCKETS`` hash buckets
+in a quarter of the documents, then by the hash.
+
+Dense groups: the first round compares only neighbours (by size) below each shared shingle, which is
+linear. The second compares the nodes of different components below a shared shingle, so a group of n
+copies that the first round linked gives no pairs.
+
+Defined cases: texts without words (null too) have the empty set, and are copies of each other; fewer
+words than a shingle are one shingle; an empty table gives an empty result; other columns are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..shipping import ship
+from .common import checkpoint, checkpoint_table
+from .simhash import components, keep_one, row_hash
+
+SHINGLE = 5
+LEAST = (4, 5)
+BUCKETS = 1 << 20
+BITS = 2048
+#: Up to this many keys are sent to every task, which then gives back the sets of these only; beyond, all sets are joined.
+KEYS = 1 << 20
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(len(words) - k + 1, 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(k, len(words))):
+        out = out * _FACTOR + h[i : i + n]
+    return np.unique(out)
+
+
+def key_of(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((s >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes()
+
+
+def _nodes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """id, tie, and key, size and bits of the set of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = ((key_of(s), len(s), bitmap(s)) for s in (shingles(t.as_py(), k) for t in b.column(2)))
+            keys, sizes, bits = zip(*sets, strict=True) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["id", "tie", "key", "size", "bits"])
+
+    return docs.select(id_col, row_hash(docs).alias("_tie"), text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, tie long, key long, size int, bits binary")
+
+
+def _order(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
+    """A rank of every bucket of shingles, by the logarithm of its frequency."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(total, (shingles(t.as_py(), k) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
+
+    some = docs.select(text_col).filter(F.pmod(F.xxhash64(text_col), F.lit(4)) == 0)
+    found = some.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.uint8)
+    out[found.column("bucket").to_numpy()] = np.minimum(8 * np.log2(1 + found.column("n").to_numpy()), 255)
+    return out
+
+
+def _prefixes(docs: DataFrame, text_col: str, k: int, least: tuple[int, int], order: np.ndarray) -> DataFrame:
+    """token, key, size, pos of the prefix of every set; a task may repeat what another one gives."""
+    num, den = least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                tokens, keys, sizes, places = [], [], [], []
+                for t in whole.column(0).slice(at, 256):
+                    s = shingles(t.as_py(), k)
+                    key, n = key_of(s), len(s)
+                    if not n or key in seen:
+                        continue
+                    if len(seen) < 1 << 16:
+                        seen.add(key)
+                    p = n + (-num * n // den) + 1
+                    first = np.lexsort((s, order[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:p]
+                    tokens.append(s[first].view(np.int64))
+                    keys.append(np.full(p, key, np.int64))
+                    sizes.append(np.full(p, n, np.int32))
+                    places.append(np.arange(p, dtype=np.int32))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (tokens, keys, sizes, places)], names=["token", "key", "size", "pos"])
+
+    return docs.select(text_col).mapInArrow(run, "token long, key long, size int, pos int")
+
+
+def _may(a: dict[str, Column], b: dict[str, Column], least: tuple[int, int]) -> Column:
+    """Whether the sizes, and the places of a shared shingle, leave room for the similarity."""
+    num, den = least
+    room = F.least(a["pos"], b["pos"]) + 1 + F.least(a["size"] - a["pos"], b["size"] - b["pos"]) - 1
+    return (F.least(a["size"], b["size"]) * den >= F.greatest(a["size"], b["size"]) * num) & (room.cast("long") * (num + den) >= (a["size"] + b["size"]).cast("long") * num)
+
+
+def _sets(docs: DataFrame, text_col: str, k: int, keys: DataFrame) -> DataFrame:
+    """key, set (sorted hashes as bytes) of at least the given keys."""
+    few = keys.limit(KEYS + 1).count() <= KEYS
+    wanted = np.sort(keys.toArrow().column("key").to_numpy()) if few else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                got = {}
+                for t in whole.column(0).slice(at, 64):
+                    s = shingles(t.as_py(), k)
+                    key = key_of(s)
+                    if wanted is None or ((i := np.searchsorted(wanted, key)) < len(wanted) and wanted[i] == key):
+                        got[key] = s.tobytes()
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], names=["key", "set"])
+
+    return docs.select(text_col).mapInArrow(run, "key long, set binary").dropDuplicates(["key"])
+
+
+def _close(nodes: DataFrame, least: tuple[int, int], pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) that pass the bitmap filter."""
+    num, den = least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (3, 4))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                yield b.select(["u", "v"]).filter(pa.array(apart * (num + den) <= b.column(2).to_numpy() * (den - num)))
+
+    one, two = (nodes.select(F.col("key").alias(n), F.col("size").alias(f"{n}_size"), F.col("bits").alias(f"{n}_bits")) for n in "uv")
+    both = pairs.join(one, "u").join(two, "v")
+    return both.select("u", "v", (F.col("u_size") + F.col("v_size")).cast("long"), "u_bits", "v_bits").mapInArrow(run, "u long, v long")
+
+
+def _verified(docs: DataFrame, text_col: str, k: int, least: tuple[int, int], nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose similarity reaches the threshold."""
+    num, den = least
+    pairs = checkpoint(_close(nodes, least, pairs))
+    keys = checkpoint(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
+    sets = checkpoint_table(_sets(docs, text_col, k, keys), "neardup-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both * (num + den) >= num * (len(x) + len(y)))
+            yield b.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    one, two = sets.select(F.col("key").alias("u"), F.col("set").alias("a")), sets.select(F.col("key").alias("v"), F.col("set").alias("b"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """id, tie (``simhash.row_hash``), root (one key for each component) of every row."""
+    ship(docs.sparkSession)
+    rows = checkpoint_table(_nodes(docs, id_col, text_col, shingle), "neardup-rows")
+    nodes = rows.select("key", "size", "bits").dropDuplicates(["key"])
+    below = Window.partitionBy("token")
+    posted = _prefixes(docs, text_col, shingle, least, _order(docs, text_col, shingle))
+    shared = posted.withColumn("_lo", F.min("key").over(below)).withColumn("_hi", F.max("key").over(below)).filter("_lo < _hi").drop("_lo", "_hi")
+    shared = checkpoint_table(shared, "neardup-shared")
+
+    names = ("key", "size", "pos")
+    before = shared.withColumn("_p", F.lag(F.struct(*names)).over(below.orderBy("size", "key"))).filter("_p.key != key")
+    pairs = before.filter(_may({c: F.col(c) for c in names}, {c: F.col("_p")[c] for c in names}, least))
+    pairs = pairs.select(F.greatest("key", F.col("_p.key")).alias("u"), F.least("key", F.col("_p.key")).alias("v")).distinct()
+    edges = checkpoint(_verified(docs, text_col, shingle, least, nodes, pairs))
+
+    roots = components(edges)
+    held = shared.join(roots, shared["key"] == roots["u"], "left").select("token", *names, F.coalesce("root", "key").alias("root"))
+    open_ = held.withColumn("_lo", F.min("root").over(below)).withColumn("_hi", F.max("root").over(below)).filter("_lo < _hi").drop("_lo", "_hi")
+    open_ = checkpoint(open_.distinct())
+    a, b = (open_.select("token", *[F.col(c).alias(f"{s}_{c}") for c in (*names, "root")]) for s in "ab")
+    sides = [{c: F.col(f"{s}_{c}") for c in names} for s in "ab"]
+    pairs = a.join(b, "token").filter("a_root < b_root").filter(_may(*sides, least))
+    pairs = pairs.select(F.greatest("a_key", "b_key").alias("u"), F.least("a_key", "b_key").alias("v")).distinct()
+    edges = edges.union(checkpoint(_verified(docs, text_col, shingle, least, nodes, pairs)))
+    roots = components(edges)
+    return rows.join(roots, rows["key"] == roots["u"], "left").select("id", "tie", F.coalesce("root", "key").alias("root"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """One row of each component of near copies, that of the least id (see ``simhash.keep_one``), with all its columns."""
+    return keep_one(docs, near_copies(docs, id_col, text_col, shingle, least), id_col)

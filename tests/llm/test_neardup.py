@@ -1,0 +1,65 @@
+import random
+
+from seedflow.llm import neardup as N
+
+
+def sets(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def jaccard(a, b):
+    return 1.0 if a == b else len(a & b) / len(a | b)
+
+
+def expected(texts):
+    root, s = list(range(len(texts))), [sets(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(s[i], s[j]) >= 0.8 - 1e-12:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def corpus(seed):
+    """Texts, and near copies of each with some words changed: similarities on both sides of 0.8, below a line that many share."""
+    rng, out = random.Random(seed), []
+    line = " ".join(f"line{i}" for i in range(12))
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(1, 150))]
+        out.append(" ".join(words))
+        for _ in range(rng.randint(0, 5)):
+            words = list(words)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(5000)}"
+            out.append(" ".join(words) + (" " + line if rng.random() < 0.2 else ""))
+    return [*out, None, "", " \n", line, line.upper()]
+
+
+def test_every_similar_pair_and_no_other(spark):
+    texts = corpus(4)
+    want = expected(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["id"]: r["root"] for r in N.near_copies(docs).collect()}
+    assert len({(got[i], w) for i, w in enumerate(want)}) == len(set(got.values())) == len(set(want))
+    assert 40 <= len(set(want)) < len(set(texts))
+
+
+def test_pairs_of_separate_components_meet_in_the_second_round(spark):
+    """A hub between sizes: its neighbours by size below every shingle are not similar to it."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[a:b]) for a, b in ((0, 100), (0, 81), (19, 100), (0, 70), (35, 100), (0, 90), (10, 100))]
+    want = expected(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["root"] for r in N.near_copies(docs).collect()}
+    assert len({(got[i], w) for i, w in enumerate(want)}) == len(set(got.values())) == len(set(want))
+
+
+def test_bitmaps_differ_in_no_more_bits_than_shingles():
+    rng = random.Random(2)
+    for n in (0, 5, 300, 9000):
+        words = [f"w{rng.randrange(900)}" for _ in range(n)]
+        a, b = (N.shingles(" ".join(words[k:])) for k in (0, 7))
+        bits = int.from_bytes(N.bitmap(a)) ^ int.from_bytes(N.bitmap(b))
+        assert bits.bit_count() <= len(set(a.tolist()) ^ set(b.tolist()))

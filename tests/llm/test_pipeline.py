@@ -65,3 +65,12 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_go(spark):
+    """One word in 60 changed: 51 of 61 shingles are shared, but the fingerprints of op8 are more than 4 bits apart."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words), "en", "a", 1), (2, " ".join([*words[:30], "other", *words[31:]]), "en", "b", 1), (3, " ".join(words[:45]), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() > 4
+    assert sorted(r["doc_id"] for r in P.neardup_stage(spark, docs, "").collect()) == [1, 3]
