@@ -19,12 +19,13 @@ characters (marked ``*``), lower-cased; the vocabulary is the ``TERMS`` terms th
 information on the last category in the training rows of the smallest hash, at least ``LEAST`` rows.
 For the out-of-fold models the vocabulary is chosen without the held-out fold as well.
 
-Bounds: at most ``SAMPLE`` labelled rows are used for fitting, those with the smallest hash of the text
-(a documented parameter; all rows are scored). Their terms, not their texts, reach the driver, where
+Bounds: at most ``SAMPLE`` labelled texts are used for fitting, those with the smallest hash (a documented
+parameter; all rows are scored). Rows of equal text are one of them: its labels are those of more than
+half of the labelled rows; where they are even, it is of quality and not toxic. Their terms, not their texts, reach the driver, where
 models of ``TERMS`` weights are fitted; the model that goes to the executors has a fixed size.
 
 Defined cases: a null or wordless text has probability 0 for every category and is not toxic; null
-labels are not used; repeated rows share a fold; with no labelled rows, or only one class of a
+labels are not used; repeated rows are one training row; with no labelled rows, or only one class of a
 category, that category's probability is its share among the labelled rows (0 without any); an empty
 table gives an empty result; other columns are not read.
 """
@@ -168,12 +169,14 @@ _COUNTED = "n_words int, terms array<string>, times array<int>"
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """quality, toxic, hash, n_words, terms, times of up to ``sample`` labelled rows, those of the smallest hash."""
+    """quality, toxic, hash, n_words, terms, times of up to ``sample`` labelled texts, those of the smallest hash, each once."""
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).filter("quality IS NOT NULL AND toxic IS NOT NULL")
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")).join(known, "_id")
-    least = rows.orderBy("hash", "_id", "quality", "toxic").limit(sample)
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")).join(F.broadcast(least.distinct()), ["_id", "hash"])
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")
+    rows = docs.select(F.col(id_col).alias("_id"), hashed).join(known, "_id")
+    texts = rows.groupBy("hash").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"), (F.avg("toxic") > 0.5).cast("int").alias("toxic"))
+    least = texts.orderBy("hash").limit(sample)
+    chosen = docs.select(F.col(text_col).alias("_text"), hashed).join(F.broadcast(least), "hash").dropDuplicates(["hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from seedflow.llm import toxicity as T
 from tests.llm.conftest import ROWS
@@ -54,3 +55,15 @@ def test_one_class_and_no_labels(spark, odd, empty, sf_dir):
     assert not any(r["toxic"] for r in scored)
     assert T.score(empty, T.fit_from_tables(empty, nothing)).count() == 0
     assert T.clean_documents(odd, nothing).columns == odd.columns
+
+
+def test_copies_of_a_text_are_one_training_row(spark):
+    """The text of the least hash has many copies, which disagree about their labels."""
+    texts = spark.createDataFrame([(f"text number {i}",) for i in range(60)], "text string").orderBy(F.xxhash64("text")).collect()
+    rows = [(i, r[0]) for i, r in enumerate(texts)] + [(100 + k, texts[0][0]) for k in range(200)] + [(400, texts[1][0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100 + k, int(k % 4 == 0), int(k % 4 > 0)) for k in range(200)] + [(400, 0, 1)], "doc_id long, quality int, toxic int")
+    got = sorted(T.labelled_terms(docs, labels, sample=20).collect(), key=lambda r: r["hash"])
+    assert len(got) == 20 == len({r["hash"] for r in got})
+    assert [sorted(r["terms"]) for r in got] == [sorted(T.terms_of(t[0])[1]) for t in texts[:20]]
+    assert [(r["quality"], r["toxic"]) for r in got] == [(0, 1)] + [(1, 0)] * 19
