@@ -5,7 +5,8 @@ last return the columns of ``documents``:
 
 * toxicity: documents which the classifier chain finds toxic go;
 * quality: documents which the line-first rules reject go; of the others, lines that fail go;
-* neardup: of documents linked by a Jaccard similarity of 0.8 or more on 5-word shingles, that of the least id stays;
+* neardup: of documents linked by a Jaccard similarity of 0.8 or more on 5-word shingles, found by the trie join of
+  their SimHash fingerprints, that of the least id stays;
 * mixing: a row for each time that a document, or a part of it, is taken by the mix;
 * sentencepiece: doc_id, n_tokens, ids_crc32, round_trip and ids of every row.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedflow.llm import mixing, neardup, quality, sentencepiece_bpe, toxicity
+from seedflow.llm import mixing, quality, sentencepiece_bpe, simhash, toxicity
 from seedflow.llm.common import checkpoint_table, load
 
 
@@ -30,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicate(docs)
+    return simhash.deduplicate(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import checkpoint, fresh_path, shared_dir  # noqa: F401
 from ..shipping import ship
 
 #: ASCII white space, as a Java / RE2 character class body.
@@ -22,32 +18,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, local runs), one of our own."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(at)
-        return at
-    if sc.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="seedflow-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(f"file://{own}")
-    return sc.getCheckpointDir()
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path nobody else writes to, below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def checkpoint_table(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder as Parquet and read again: cuts the lineage, keeps columns prunable."""
     path = fresh_path(df.sparkSession, name)
@@ -63,3 +33,24 @@ def bound(value: Column, body) -> Column:
 def source_key(source: Column) -> Column:
     """A non-null key that keeps null apart from every string."""
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
+
+
+#: A table of up to this many rows is sent to every executor; and a key of more rows than that is joined apart from the others.
+BROADCAST_ROWS, HOT_ROWS = 500_000, 500_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None, how: str = "inner", broadcast: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and is cheap to read again, whatever share of ``left`` has one key.
+
+    A small ``right`` is broadcast. Else the rows of keys that occur more than ``hot`` times in ``left``
+    stay where they are and meet a broadcast of the few rows of ``right`` that they need.
+    """
+    right_key = right_key or key
+    right = right.withColumnRenamed(right_key, key)
+    if right.limit(broadcast + 1).count() <= broadcast:
+        return left.join(F.broadcast(right), key, how)
+    often = checkpoint(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(key))
+    if not often.count():
+        return left.join(right, key, how)
+    often = F.broadcast(often)  # at most one key for each ``hot`` rows
+    return left.join(often, key, "left_anti").join(right, key, how).unionByName(left.join(often, key, "left_semi").join(F.broadcast(right.join(often, key, "left_semi")), key, how))

@@ -1,22 +1,32 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
-Fingerprints: 64-bit XXH64 (seed 42) of every ``SHINGLE``-word shingle, repeats included; a bit is
-set when more than half of the hashes set it.
-
-Join: equal fingerprints are merged first. Two fingerprints within ``BUDGET`` differing bits differ
-in at most ``BUDGET // 2`` bits of their upper or of their lower half, so two tries are joined, one
-over the bits in order and one over the halves swapped, each with budget ``BUDGET // 2`` down to
-level 32 and ``BUDGET`` below. A trie is a sorted array; a node is a range of it. Node pairs are
-traversed together, level by level: equal branches keep the number of differing bits, crossing
-branches add one, and a pair beyond the budget is pruned with everything below it. The top ``p``
-levels are the distribution: a task gets one pair of subtries whose prefixes are within the budget,
-with ``p`` chosen from the number of fingerprints so that a subtrie has about ``SUBTRIE`` of them.
-A pair of nodes whose leaves are already known to be linked with each other is pruned too, and a task
-returns the edges of a spanning forest, not its pairs, so a dense group of n fingerprints gives n - 1
-edges. A first traversal with budget 1 links most of a dense group, so that the second one prunes it.
+Fingerprints: 64-bit XXH64 (seed 42) of every ``SHINGLE``-word shingle, repeats included (or of every
+distinct one once); a bit is set when more than half of the hashes set it.
+
+Join: equal fingerprints are merged first. The 64 bits are cut into ``budget + 1`` slices; fingerprints
+within ``budget`` differing bits agree in one slice at least, so each is sent to ``budget + 1`` groups,
+by the first bits of each slice, as many as make groups of about ``TARGET`` rows. Group sizes are
+counted; a group of more than ``MOST`` rows is cut again, first by its whole slice, then by slices of
+its other bits, and so on, which keeps all links and no group large. A group is one sorted array, whose
+bits are put in an order with its slice in front: a binary trie, whose nodes are ranges of the array.
+Node pairs are traversed together, level by level: equal branches keep the number of differing bits,
+crossing branches add one, and a pair beyond the error budget is pruned with everything below it. The
+budget is 0 in the slice. Of the rest, one half holds ``budget // 2`` differing bits at most, so two
+tries are traversed, each half of the rest coming first in one of them with that budget. A pair of nodes
+whose leaves are known to be linked with each other is pruned as well, and a group returns the edges of
+a spanning forest, not its pairs, so a dense group of n fingerprints gives n - 1 edges. A first traversal
+with budget 1 links most of a dense group, so that the second one prunes it.
 
 Components: large-star / small-star rounds over the edges, each checkpointed, until nothing changes.
 
+Near copies (``near_copies``, ``deduplicate``): texts of a Jaccard similarity of ``LEAST`` or more on
+5-word shingles (``verify``), whose fingerprints of distinct words are within ``WIDE`` bits; the same
+join finds the candidates, in two rounds. The first compares each fingerprint with its neighbour in the
+trie and with the hub of what it is linked to (the one next to the majority of each bit), which is
+linear; the second prunes all that the verified links of the first one joined, so a group of n copies of
+a text gives no pairs. Copies of a similarity above 0.8 whose fingerprints are further apart are not found:
+README states the measured recall.
+
 Defined cases: a null or wordless text has fingerprint 0, which is linked like any other; fewer words
 than a shingle are one shingle; equal rows give equal results; a null id is last in the order of ids;
 an empty table gives an empty result; other columns are not read.
@@ -33,18 +43,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import checkpoint, load
+from . import verify
+from .common import checkpoint, checkpoint_table, join_hot, load
 
 SHINGLE = 4
 BUDGET = 4
-SUBTRIE = 16384
-MAX_LEVELS = 20
+#: Differing bits of two sets of distinct words whose texts are compared.
+WIDE = 7
+TARGET, MOST = 4096, 65536
+#: Cuts of a group that stays large.
+CUTS = 4
 #: Node pairs in one step of a traversal, and leaf pairs that are compared without going deeper.
 STEP = 1 << 19
-LEAVES = 64
+LEAVES = 512
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
     words = text.encode().lower().split() if text else []
     if not words:
         return 0
@@ -52,38 +66,53 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     k = min(shingle, n)
     starts = np.concatenate([[0], ends[:-1] + 1])[: n - k + 1].tolist()
+    parts = [joined[a:b] for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
     hashed = xxhash.xxh64_intdigest
-    h = np.array([hashed(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype=">u8")
+    h = np.array([hashed(p, 42) for p in (set(parts) if distinct else parts)], dtype=">u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, *more: str) -> DataFrame:
-    """id, fp (the fingerprint's 64 bits as a signed long), and the columns ``more``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """id, fp (the fingerprint's 64 bits as a signed long)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f), *b.columns[2:]], names=["id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], names=["id", "fp"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+
+
+# -- one group
+
 
-    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
-    return docs.select(id_col, text_col, *more).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long{kept}")
+def arranged(x: np.ndarray, mask: int, swap: bool) -> tuple[np.ndarray, int, int]:
+    """Fingerprints with the bits of ``mask`` in front, and the number of these and of the bits in the first half of the rest; ``swap`` turns the halves."""
+    fixed = [b for b in range(63, -1, -1) if mask >> b & 1]
+    rest = [b for b in range(63, -1, -1) if not mask >> b & 1]
+    half = len(rest) // 2
+    rest = rest[half:] + rest[:half] if swap else rest
+    out = np.zeros(len(x), np.uint64)
+    for b in fixed + rest:
+        out = out << np.uint64(1) | (x >> np.uint64(b) & np.uint64(1))
+    return out, len(fixed), len(rest) - half if swap else half
 
 
-class _Links:
-    """Connected leaves of one join: the least linked leaf of each, and which ranges are of one component."""
+class Linked:
+    """Leaves of one trie and what links them: the least linked leaf of each, and which ranges are of one component."""
 
-    def __init__(self, n: int):
-        self.root = np.arange(n)
+    def __init__(self, root: np.ndarray):
+        self.root = root
         self._runs()
 
     def _runs(self) -> None:
         self.run = np.concatenate([[0], np.cumsum(self.root[1:] != self.root[:-1])]) if len(self.root) else self.root
 
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+    def found(self, i: np.ndarray, j: np.ndarray) -> None:
         changed = False
         while True:
             a, b = self.root[i], self.root[j]
@@ -106,97 +135,187 @@ class _Links:
         return (r[lo_a] == r[hi_a - 1]) & (r[lo_b] == r[hi_b - 1]) & (self.root[lo_a] == self.root[lo_b])
 
 
-def _traverse(x: np.ndarray, zeros: np.ndarray, links: _Links, start: tuple, depth: int, half: int, full: int) -> None:
-    """Traverse node pairs of the sorted array ``x`` from ``start`` (lo_a, hi_a, lo_b, hi_b, differing bits)."""
-    stack = [(depth, *start)]
+class Apart(Linked):
+    """Leaves whose components are given; pairs of different ones are collected, where their sizes allow the similarity."""
+
+    def __init__(self, root: np.ndarray, size: np.ndarray):
+        super().__init__(root)
+        self.size, self.pairs = size, []
+
+    def found(self, i: np.ndarray, j: np.ndarray) -> None:
+        may = (self.root[i] != self.root[j]) & verify.may(self.size[i], self.size[j])
+        self.pairs.append((i[may], j[may]))
+
+
+def traverse(x: np.ndarray, links: Linked, limit: np.ndarray, budget: int) -> None:
+    """Traverse the node pairs of the sorted array ``x``; limit[d]: the differing bits that a pair may have after level d."""
+    n = len(x)
+    if n < 2:
+        return
+    zeros = np.zeros((64, n + 1), np.int32)
+    for d in range(64):
+        np.cumsum((x >> np.uint64(63 - d)) & np.uint64(1) == 0, out=zeros[d, 1:])
+    stack = [(0, *(np.array([k], np.int64) for k in (0, n, 0, n, 0)))]
     while stack:
         depth, la, ha, lb, hb, err = stack.pop()
         own = la == lb
-        open_ = ~links.joined(la, ha, lb, hb) & ~(own & (ha - la < 2))
+        open_ = ~links.joined(la, ha, lb, hb) & ~(own & (ha - la < 2) & (hb - lb < 2))
         la, ha, lb, hb, err, own = la[open_], ha[open_], lb[open_], hb[open_], err[open_], own[open_]
         size = (ha - la) * (hb - lb)
-        leaf = (size <= LEAVES) | (depth >= 64)
-        if leaf.any():
-            n = size[leaf]
-            which = np.repeat(np.arange(len(n)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            width = (hb - lb)[leaf][which]
-            i, j = la[leaf][which] + at // width, lb[leaf][which] + at % width
-            d = x[i] ^ x[j]
-            near = (i != j) & (np.bitwise_count(d) <= full) & (np.bitwise_count(d >> np.uint64(32)) <= half)
+        leaf = (size <= LEAVES) | ((depth >= 64) & (size <= STEP))
+        at = np.flatnonzero(leaf)
+        for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(size[at]) // (8 * STEP))) + 1) if len(at) else []:
+            m = size[part]
+            which = np.repeat(np.arange(len(m)), m)
+            k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            width = (hb - lb)[part][which]
+            i, j = la[part][which] + k // width, lb[part][which] + k % width
+            near = (i != j) & (np.bitwise_count(x[i] ^ x[j]) <= budget)
             if near.any():
-                links.add(i[near], j[near])
+                links.found(i[near], j[near])
         la, ha, lb, hb, err, own = (v[~leaf] for v in (la, ha, lb, hb, err, own))
         if not len(la):
             continue
-        z = zeros[depth]
-        ma, mb = la + z[ha] - z[la], lb + z[hb] - z[lb]
-        most = half if depth < 32 else full
-        cross = err < most
-        other = cross & ~own
-        new = [
-            np.concatenate(v)
-            for v in zip((la, ma, lb, mb, err), (ma, ha, mb, hb, err), (la[cross], ma[cross], mb[cross], hb[cross], err[cross] + 1), (ma[other], ha[other], lb[other], mb[other], err[other] + 1), strict=True)
-        ]
+        if depth >= 64:  # many equal fingerprints: cut one side
+            ma = (la + ha) // 2
+            new = [np.concatenate(v) for v in zip((la, ma, lb, hb, err), (ma, ha, lb, hb, err), strict=True)]
+        else:
+            z = zeros[depth]
+            ma, mb = la + z[ha] - z[la], lb + z[hb] - z[lb]
+            cross = err < limit[depth]
+            other = cross & ~own
+            new = [
+                np.concatenate(v)
+                for v in zip((la, ma, lb, mb, err), (ma, ha, mb, hb, err), (la[cross], ma[cross], mb[cross], hb[cross], err[cross] + 1), (ma[other], ha[other], lb[other], mb[other], err[other] + 1), strict=True)
+            ]
         some = (new[1] > new[0]) & (new[3] > new[2])
         new = [v[some] for v in new]
-        for at in range(0, len(new[0]), STEP):
-            stack.append((depth + 1, *(v[at : at + STEP] for v in new)))
-
-
-def trie_join(x: np.ndarray, split: int | None, err: int, depth: int, budget: int = BUDGET) -> np.ndarray:
-    """The least index linked to each of the sorted distinct fingerprints ``x`` (uint64).
-
-    ``split`` None: all of ``x`` is one subtrie, joined with itself. Else x[:split] and x[split:] are
-    two subtries at ``depth`` whose prefixes differ in ``err`` bits, joined with each other.
-    """
-    n, links = len(x), _Links(len(x))
-    zeros = np.zeros((64, n + 1), np.int32)
-    for d in range(64):
-        np.cumsum((x >> np.uint64(63 - d)) & np.uint64(1) == 0, out=zeros[d, 1:])
-    one = lambda *v: tuple(np.array([k], np.int64) for k in v)
-    start = one(0, n, 0, n, 0) if split is None else one(0, split, split, n, err)
-    if n and (split is None or 0 < split < n):
-        if err <= 1:
-            _traverse(x, zeros, links, start, depth, min(1, budget // 2), min(1, budget))
-        _traverse(x, zeros, links, start, depth, budget // 2, budget)
-    return links.root
-
-
-_ROT = np.uint64(32)
-
-
-def _swapped(x: np.ndarray) -> np.ndarray:
-    return (x << _ROT) | (x >> _ROT)
-
-
-def links(fps: DataFrame, n: int, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataFrame:
+        for k in range(0, len(new[0]), STEP):
+            stack.append((depth + 1, *(v[k : k + STEP] for v in new)))
+
+
+def limits(fixed: int, half: int, budget: int) -> np.ndarray:
+    out = np.full(65, budget)
+    out[: fixed + half] = budget // 2
+    out[:fixed] = 0
+    return out
+
+
+def linked(x: np.ndarray, mask: int = 0, budget: int = BUDGET) -> np.ndarray:
+    """For every fingerprint of ``x`` (uint64, any order), one index for all that it is linked to through pairs that agree in ``mask``."""
+    root = np.arange(len(x))
+    for swap in (False, True):
+        y, fixed, half = arranged(x, mask, swap)
+        order = np.argsort(y, kind="stable")
+        place = np.empty(len(x), np.int64)
+        place[order] = np.arange(len(x))
+        links, y = Linked(np.arange(len(x))), y[order]
+        links.found(np.arange(len(x)), place[root[order]])
+        same = np.flatnonzero(y[1:] == y[:-1])
+        links.found(same, same + 1)
+        limit = limits(fixed, half, budget)
+        for most in (1, budget) if budget > 1 else (budget,):
+            traverse(y, links, np.minimum(limit, most), most)
+        root = order[links.root[place]]
+    return root
+
+
+def apart(x: np.ndarray, root: np.ndarray, size: np.ndarray, mask: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) within the budget that agree in ``mask`` and have different roots; a pair may come more than once."""
+    for swap in (False, True):
+        y, fixed, half = arranged(x, mask, swap)
+        order = np.argsort(y, kind="stable")
+        links = Apart(np.unique(root, return_inverse=True)[1][order], size[order])
+        traverse(y[order], links, limits(fixed, half, budget), budget)
+        for i, j in links.pairs:
+            yield order[i], order[j]
+
+
+def nearby(x: np.ndarray, mask: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A linear number of pairs within the budget: neighbours in the trie, and each fingerprint with the hub of what it is linked to."""
+    root = linked(x, mask, budget)
+    order = np.lexsort((x, root))
+    cut = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
+    sizes = np.diff(np.append(cut, len(x)))
+    bits = np.unpackbits(x[order].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    most = np.packbits(2 * np.add.reduceat(bits, cut, axis=0, dtype=np.int64) > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    far = np.bitwise_count(x[order] ^ np.repeat(most, sizes))
+    first = np.lexsort((far, np.repeat(np.arange(len(cut)), sizes)))[cut]
+    hub, i = order[np.repeat(first, sizes)], order
+    for a, b in ((i, hub), (order[1:], order[:-1])):
+        near = (a != b) & (root[a] == root[b]) & (np.bitwise_count(x[a] ^ x[b]) <= budget)
+        yield a[near], b[near]
+
+
+# -- the join
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def slices(mask: int, parts: int) -> list[int]:
+    """The bits outside ``mask`` cut into ``parts`` runs, each joined with ``mask``."""
+    rest = [b for b in range(63, -1, -1) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in rest[len(rest) * k // parts : len(rest) * (k + 1) // parts]) for k in range(parts)]
+
+
+def dealt(fps: DataFrame, n: int, budget: int, target: int = TARGET, most: int = MOST) -> tuple[DataFrame, dict[int, int]]:
+    """Rows of ``fps`` (fp, ...) with mask and value: the groups they are sent to; and the slice of every mask."""
+    bits = max(int(np.ceil(np.log2(max(n, 1) / target))), 2) if n > 0 else 2
+    full, into = {}, {}
+    for s in slices(0, budget + 1):
+        top = [b for b in range(63, -1, -1) if s >> b & 1][:bits]
+        mask = sum(1 << b for b in top)
+        full[mask] = s
+        into[mask] = [s] if mask != s else slices(s, budget + 1)
+    keyed = lambda df, masks: df.withColumn("mask", F.explode(masks)).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    part, done = keyed(fps, F.array(*[F.lit(_signed(m)).cast("long") for m in full])), []
+    for _ in range(CUTS):
+        heavy = checkpoint(part.groupBy("mask", "value").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).drop("_n"))
+        here = [r[0] & (1 << 64) - 1 for r in heavy.select("mask").distinct().collect()]  # bounded by the number of masks
+        if not here:
+            break
+        done.append(part.join(heavy, ["mask", "value"], "left_anti"))
+        deeper = {m: into.get(m) or slices(m, budget + 1) for m in here}
+        full |= {s: s for masks in deeper.values() for s in masks}
+        choice = F.create_map(*[c for m, masks in deeper.items() for c in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(s)).cast("long") for s in masks]))])
+        part = keyed(part.join(heavy, ["mask", "value"], "left_semi").withColumnRenamed("mask", "_m").drop("value"), choice[F.col("_m")]).drop("_m").distinct()
+    for d in done:
+        part = part.unionByName(d)
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (budget + 1) // 500_000)
+    return part.repartition(tasks, "mask", "value"), full
+
+
+def links(fps: DataFrame, n: int, budget: int = BUDGET, target: int = TARGET, most: int = MOST) -> DataFrame:
     """Edges (u, v), u > v as signed longs, that link all fingerprints of ``fps`` (distinct, n rows) within the budget."""
     ship(fps.sparkSession)
-    p = min(max(int(np.ceil(np.log2(max(n, 1) / subtrie))) if n > subtrie else 0, 2), MAX_LEVELS)
-    masks = [m for m in range(1 << p) if m.bit_count() <= budget // 2]
-    fp = F.col("fp")
-    both = fps.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("swap"))
-    turned = F.when(F.col("swap") == 0, fp).otherwise(F.shiftleft(fp, 32).bitwiseOR(F.shiftrightunsigned(fp, 32)))
-    node = F.shiftrightunsigned(turned, 64 - p).cast("int")
-    spread = both.withColumn("node", node).withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-    other = F.col("node").bitwiseXOR(F.col("mask"))
-    spread = spread.select("fp", "swap", F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
+    groups, full = dealt(fps.select("fp"), n, budget, target, most)
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        swap, a, b = (int(k.as_py()) for k in key)
-        x = np.unique(table.column("fp").to_numpy().view(np.uint64))
-        x = np.sort(_swapped(x)) if swap else x
-        split = None if a == b else int(np.searchsorted(x >> np.uint64(64 - p), np.uint64(b)))
-        root = trie_join(x, split, (a ^ b).bit_count(), p, budget)
+        x = table.column("fp").to_numpy()
+        root = linked(x.view(np.uint64), full[key[0].as_py() & (1 << 64) - 1], budget)
         at = np.flatnonzero(root != np.arange(len(x)))
-        u, v = x[at], x[root[at]]
-        if swap:
-            u, v = _swapped(u), _swapped(v)
-        u, v = u.view(np.int64), v.view(np.int64)
-        return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+        return pa.table({"u": np.maximum(x[at], x[root[at]]), "v": np.minimum(x[at], x[root[at]])})
+
+    return groups.groupBy("mask", "value").applyInArrow(join, "u long, v long")
+
+
+def candidates(nodes: DataFrame, n: int, first: bool, budget: int = WIDE, target: int = TARGET, most: int = MOST) -> DataFrame:
+    """Pairs (u, v), u > v, of nodes (key, fp, size, root) within the budget, to be verified: ``nearby`` ones, or all of different roots."""
+    ship(nodes.sparkSession)
+    groups, full = dealt(nodes.select("key", "fp", "size", "root"), n, budget, target, most)
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        k, x, size, root = (table.column(c).to_numpy() for c in ("key", "fp", "size", "root"))
+        x, mask = x.view(np.uint64), full[key[0].as_py() & (1 << 64) - 1]
+        for i, j in nearby(x, mask, budget) if first else apart(x, root, size, mask, budget):
+            may = verify.may(size[i], size[j])
+            u, v = np.maximum(k[i[may]], k[j[may]]), np.minimum(k[i[may]], k[j[may]])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return spread.groupBy("swap", "a", "b").applyInArrow(join, "u long, v long").distinct()
+    return groups.groupBy("mask", "value").applyInArrow(join, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,40 +335,48 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def _rooted(rows: DataFrame, budget: int) -> DataFrame:
-    """fp, least_id, root (the component's least fingerprint) of every fingerprint of ``rows`` (id, fp)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """id, fp (long), component_id (the least id of the component) of every row."""
+    rows = checkpoint(fingerprints(docs, id_col, text_col, shingle))
     fps = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
     roots = components(links(fps.select("fp"), fps.count(), budget))
-    return fps.join(roots, fps["fp"] == roots["u"], "left").select(fps["fp"], "least_id", F.coalesce("root", fps["fp"]).alias("root"))
+    # a component's fingerprints, its root included, with their least ids; a component may be large, so only its sums meet by root
+    members = checkpoint(roots.select(F.col("u").alias("fp"), "root").union(roots.select("root", "root").distinct()).join(fps, "fp"))
+    least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = checkpoint(join_hot(members.select("fp", "root"), checkpoint(least), "root").select("fp", "component_id"))
+    alone = fps.join(named.select("fp"), "fp", "left_anti").select("fp", F.col("least_id").alias("component_id"))
+    return join_hot(rows, checkpoint(named.union(alone)), "fp").select("id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """id, fp (long), component_id (the least id of the component) of every row."""
-    rows = checkpoint(fingerprints(docs, id_col, text_col, shingle))
-    rooted = _rooted(rows, budget)
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp")
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = WIDE, target: int = TARGET, most: int = MOST) -> DataFrame:
+    """id, tie (``row_hash``), root (one key for each component of verified near copies) of every row."""
+    ship(docs.sparkSession)
+    rows = checkpoint_table(verify.nodes(docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("tie"), F.col(text_col).alias("text")), lambda t: fingerprint(t, 1, distinct=True)), "neardup-rows")
+    nodes = checkpoint_table(rows.select("key", "fp", "size", "bits").dropDuplicates(["key"]), "neardup-nodes")
+    n = nodes.count()
+    texts = docs.select(text_col)
+    near = candidates(nodes.withColumn("root", F.col("key")), n, True, budget, target, most)
+    edges = checkpoint(verify.verified(texts, nodes, near))
+    roots = components(edges)
+    rooted = nodes.join(roots, nodes["key"] == roots["u"], "left").select("key", "fp", "size", F.coalesce("root", "key").alias("root"))
+    far = candidates(checkpoint(rooted), n, False, budget, target, most)
+    roots = components(edges.union(checkpoint(verify.verified(texts, nodes, far))))
+    return join_hot(rows.select("id", "tie", "key"), checkpoint(roots), "key", "u", "left").select("id", "tie", F.coalesce("root", "key").alias("root"))
 
 
 def row_hash(docs: DataFrame) -> Column:
     """A hash of all columns of a row; rows that share it are equal."""
-    return F.xxhash64(*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns])
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
 
 
-def keep_one(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each root of ``rows`` (id, tie, root; tie is the row's ``row_hash``): that of the least id, nulls last, then of the least tie."""
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.tie").alias("_tie"))
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = WIDE) -> DataFrame:
+    """One row of each component of near copies, with all its columns: that of the least id, nulls last, then of the least ``row_hash``; of wholly equal rows, one."""
+    rows = near_copies(docs, id_col, text_col, budget)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.tie").alias("_row"))
     tied = docs.withColumn("_row", row_hash(docs))
-    kept = tied.join(first, tied[id_col].eqNullSafe(first["_id"]) & (tied["_row"] == first["_tie"]), "left_semi")
-    return kept.dropDuplicates(["_row", id_col]).select(*docs.columns)  # of wholly equal rows, one
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """One row of each component, that of the least id (see ``keep_one``), with all its columns."""
-    rows = checkpoint(fingerprints(docs.withColumn("_tie", row_hash(docs)), id_col, text_col, shingle, "_tie").withColumnRenamed("_tie", "tie"))
-    rooted = _rooted(rows, budget).select("fp", "root")
-    return keep_one(docs, rows.join(rooted, "fp"), id_col)
+    # one exchange of the texts, by _row, serves the join and the last step
+    kept = tied.join(checkpoint(first), (tied["_row"] == first["_row"]) & ~(~tied[f"`{id_col}`"].eqNullSafe(first["_id"])), "left_semi")
+    return kept.dropDuplicates(["_row", id_col]).drop("_row")
 
 
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
