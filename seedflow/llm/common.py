@@ -35,22 +35,27 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
 
 
-#: A table of up to this many rows is sent to every executor; and a key of more rows than that is joined apart from the others.
-BROADCAST_ROWS, HOT_ROWS = 500_000, 500_000
+#: A table of up to this many rows is sent to every executor.
+BROADCAST_ROWS = 100_000
+#: A key of more than this many rows, and of more than this share of all rows, is dealt out over ``SALTS`` tasks.
+HOT_ROWS, HOT_SHARE, SALTS = 1000, 1000, 64
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None, how: str = "inner", broadcast: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
-    """``left`` joined with ``right``, which has each key once and is cheap to read again, whatever share of ``left`` has one key.
+    """``left`` joined with ``right``, which has each key once; both are cheap to read again. Any share of ``left`` may have one key.
 
-    A small ``right`` is broadcast. Else the rows of keys that occur more than ``hot`` times in ``left``
-    stay where they are and meet a broadcast of the few rows of ``right`` that they need.
+    A small ``right`` of narrow rows is broadcast (``broadcast`` 0: never). Else keys are salted that occur
+    in ``left`` more than ``hot`` times and more often than one row in ``HOT_SHARE``, of which there are at
+    most ``HOT_SHARE``; the rows of ``right`` that they need are copied ``SALTS`` times.
     """
-    right_key = right_key or key
-    right = right.withColumnRenamed(right_key, key)
-    if right.limit(broadcast + 1).count() <= broadcast:
+    right = right.withColumnRenamed(right_key or key, key)
+    if broadcast and right.limit(broadcast + 1).count() <= broadcast:
         return left.join(F.broadcast(right), key, how)
-    often = checkpoint(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(key))
-    if not often.count():
+    least = max(hot, left.count() // HOT_SHARE)
+    often = [r[0] for r in left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key).collect()]
+    if not often:
         return left.join(right, key, how)
-    often = F.broadcast(often)  # at most one key for each ``hot`` rows
-    return left.join(often, key, "left_anti").join(right, key, how).unionByName(left.join(often, key, "left_semi").join(F.broadcast(right.join(often, key, "left_semi")), key, how))
+    is_hot = F.col(key).isin(often)
+    dealt = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if c != key]), F.lit(SALTS)).cast("int")).otherwise(0))
+    copied = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")

@@ -19,13 +19,14 @@ with budget 1 links most of a dense group, so that the second one prunes it.
 
 Components: large-star / small-star rounds over the edges, each checkpointed, until nothing changes.
 
-Near copies (``near_copies``, ``deduplicate``): texts of a Jaccard similarity of ``LEAST`` or more on
-5-word shingles (``verify``), whose fingerprints of distinct words are within ``WIDE`` bits; the same
-join finds the candidates, in two rounds. The first compares each fingerprint with its neighbour in the
-trie and with the hub of what it is linked to (the one next to the majority of each bit), which is
-linear; the second prunes all that the verified links of the first one joined, so a group of n copies of
-a text gives no pairs. Copies of a similarity above 0.8 whose fingerprints are further apart are not found:
-README states the measured recall.
+Near copies (``near_copies``, ``deduplicate``): texts of a Jaccard similarity of 4/5 or more on 5-word
+shingles (``verify``), whose fingerprints of distinct words are within ``WIDE`` bits; the same join finds
+the candidates, in three rounds. The first compares each fingerprint with its neighbour in the trie and
+with the hub of what it is linked to (the one next to the majority of each bit), the second takes a
+spanning forest of the candidates between what the first one joined; both are linear. The third takes all
+candidates between components that are still apart. Sizes and bitmaps of the shingle sets drop
+candidates inside the groups, before they are written. Texts of that similarity whose fingerprints are
+further apart are not found: the README states the measured recall.
 
 Defined cases: a null or wordless text has fingerprint 0, which is linked like any other; fewer words
 than a shingle are one shingle; equal rows give equal results; a null id is last in the order of ids;
@@ -136,15 +137,34 @@ class Linked:
 
 
 class Apart(Linked):
-    """Leaves whose components are given; pairs of different ones are collected, where their sizes allow the similarity."""
+    """Leaves whose components are given; pairs of different ones are collected, where sizes and bitmaps allow the similarity.
 
-    def __init__(self, root: np.ndarray, size: np.ndarray):
+    As a ``forest``, a pair joins its components at once: a spanning forest of the pairs is collected, not all of them.
+    """
+
+    def __init__(self, root: np.ndarray, size: np.ndarray, bits: np.ndarray, forest: bool):
         super().__init__(root)
-        self.size, self.pairs = size, []
+        self.size, self.bits, self.forest, self.pairs = size.astype(np.int64), bits, forest, []
 
     def found(self, i: np.ndarray, j: np.ndarray) -> None:
         may = (self.root[i] != self.root[j]) & verify.may(self.size[i], self.size[j])
-        self.pairs.append((i[may], j[may]))
+        i, j = i[may], j[may]
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            near = verify.close(self.bits[a], self.bits[b], self.size[a] + self.size[b]) & (self.root[a] != self.root[b])
+            a, b = a[near], b[near]
+            if not self.forest:
+                self.pairs.append((a, b))
+                continue
+            while len(a):
+                x, y = self.root[a], self.root[b]
+                top, low = np.maximum(x, y), np.minimum(x, y)
+                order = np.lexsort((low, top))
+                first = order[np.flatnonzero(np.concatenate([[True], top[order][1:] != top[order][:-1]]))]  # what joins each component
+                self.pairs.append((a[first], b[first]))
+                super().found(a[first], b[first])
+                new = self.root[a] != self.root[b]
+                a, b = a[new], b[new]
 
 
 def traverse(x: np.ndarray, links: Linked, limit: np.ndarray, budget: int) -> None:
@@ -220,19 +240,23 @@ def linked(x: np.ndarray, mask: int = 0, budget: int = BUDGET) -> np.ndarray:
     return root
 
 
-def apart(x: np.ndarray, root: np.ndarray, size: np.ndarray, mask: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) within the budget that agree in ``mask`` and have different roots; a pair may come more than once."""
+def apart(x: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, mask: int, budget: int, forest: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) within the budget that agree in ``mask``, have different roots and may be similar; a pair may come more than once."""
+    _, first, root = np.unique(root, return_index=True, return_inverse=True)
     for swap in (False, True):
         y, fixed, half = arranged(x, mask, swap)
         order = np.argsort(y, kind="stable")
-        links = Apart(np.unique(root, return_inverse=True)[1][order], size[order])
+        place = np.empty(len(x), np.int64)
+        place[order] = np.arange(len(x))
+        # a component is told by the place of one of its leaves
+        links = Apart(place[first][root][order], size[order], bits[order], forest)
         traverse(y[order], links, limits(fixed, half, budget), budget)
         for i, j in links.pairs:
             yield order[i], order[j]
 
 
 def nearby(x: np.ndarray, mask: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A linear number of pairs within the budget: neighbours in the trie, and each fingerprint with the hub of what it is linked to."""
+    """A linear number of pairs: neighbours within the budget, each fingerprint with the hub of what it is linked to, and with itself if it is linked to any."""
     root = linked(x, mask, budget)
     order = np.lexsort((x, root))
     cut = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
@@ -241,6 +265,7 @@ def nearby(x: np.ndarray, mask: int, budget: int) -> Iterator[tuple[np.ndarray,
     most = np.packbits(2 * np.add.reduceat(bits, cut, axis=0, dtype=np.int64) > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
     far = np.bitwise_count(x[order] ^ np.repeat(most, sizes))
     first = np.lexsort((far, np.repeat(np.arange(len(cut)), sizes)))[cut]
+    yield (several := order[np.repeat(sizes > 1, sizes)]), several
     hub, i = order[np.repeat(first, sizes)], order
     for a, b in ((i, hub), (order[1:], order[:-1])):
         near = (a != b) & (root[a] == root[b]) & (np.bitwise_count(x[a] ^ x[b]) <= budget)
@@ -301,16 +326,24 @@ def links(fps: DataFrame, n: int, budget: int = BUDGET, target: int = TARGET, mo
     return groups.groupBy("mask", "value").applyInArrow(join, "u long, v long")
 
 
-def candidates(nodes: DataFrame, n: int, first: bool, budget: int = WIDE, target: int = TARGET, most: int = MOST) -> DataFrame:
-    """Pairs (u, v), u > v, of nodes (key, fp, size, root) within the budget, to be verified: ``nearby`` ones, or all of different roots."""
+def candidates(nodes: DataFrame, n: int, how: str, budget: int = WIDE, target: int = TARGET, most: int = MOST) -> DataFrame:
+    """Pairs (u, v), u >= v, of nodes (key, fp, size; but for ``nearby`` also root and bits) within the budget, to be verified.
+
+    ``nearby``: see there; ``forest``: what connects nodes of different roots; ``all``: all of different roots.
+    """
     ship(nodes.sparkSession)
-    groups, full = dealt(nodes.select("key", "fp", "size", "root"), n, budget, target, most)
+    groups, full = dealt(nodes, n, budget, target, most)
 
     def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
-        k, x, size, root = (table.column(c).to_numpy() for c in ("key", "fp", "size", "root"))
+        k, x, size = (table.column(c).to_numpy() for c in ("key", "fp", "size"))
         x, mask = x.view(np.uint64), full[key[0].as_py() & (1 << 64) - 1]
-        for i, j in nearby(x, mask, budget) if first else apart(x, root, size, mask, budget):
+        if how == "nearby":
+            pairs = nearby(x, mask, budget)
+        else:
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(x), -1)
+            pairs = apart(x, table.column("root").to_numpy(), size, bits, mask, budget, how == "forest")
+        for i, j in pairs:
             may = verify.may(size[i], size[j])
             u, v = np.maximum(k[i[may]], k[j[may]]), np.minimum(k[i[may]], k[j[may]])
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -353,15 +386,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     rows = checkpoint_table(verify.nodes(docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("tie"), F.col(text_col).alias("text")), lambda t: fingerprint(t, 1, distinct=True)), "neardup-rows")
     nodes = checkpoint_table(rows.select("key", "fp", "size", "bits").dropDuplicates(["key"]), "neardup-nodes")
-    n = nodes.count()
-    texts = docs.select(text_col)
-    near = candidates(nodes.withColumn("root", F.col("key")), n, True, budget, target, most)
-    edges = checkpoint(verify.verified(texts, nodes, near))
-    roots = components(edges)
-    rooted = nodes.join(roots, nodes["key"] == roots["u"], "left").select("key", "fp", "size", F.coalesce("root", "key").alias("root"))
-    far = candidates(checkpoint(rooted), n, False, budget, target, most)
-    roots = components(edges.union(checkpoint(verify.verified(texts, nodes, far))))
-    return join_hot(rows.select("id", "tie", "key"), checkpoint(roots), "key", "u", "left").select("id", "tie", F.coalesce("root", "key").alias("root"))
+    near = checkpoint(candidates(nodes.select("key", "fp", "size"), nodes.count(), "nearby", budget, target, most))
+    # whoever has a candidate at all: only their sets and bitmaps go on
+    some = checkpoint(near.filter("u = v").select(F.col("u").alias("key")))
+    n = some.count()
+    sets = checkpoint_table(verify.sets_of(docs.select(text_col), some), "neardup-sets")
+    left = checkpoint_table(nodes.join(some, "key"), "neardup-left")
+    edges = checkpoint(verify.verified(sets, near.filter("u > v")))
+    for how in ("forest", "all"):
+        rooted = join_hot(left, components(edges), "key", "u", "left").withColumn("root", F.coalesce("root", "key"))
+        found = checkpoint(candidates(rooted, n, how, budget, target, most))
+        edges = edges.union(checkpoint(verify.verified(sets, found)))
+    return join_hot(rows.select("id", "tie", "key"), components(edges), "key", "u", "left").select("id", "tie", F.coalesce("root", "key").alias("root"))
 
 
 def row_hash(docs: DataFrame) -> Column:

@@ -1,9 +1,9 @@
 """The Jaccard similarity of texts as sets of 5-word shingles: nodes, filters and the exact test of given pairs.
 
-A text is the set of its ``SHINGLE``-word shingles (64-bit hashes). Pairs pass a length filter and a
+A text is the set of its ``SHINGLE``-word shingles (64-bit hashes). Pairs may pass a length filter and a
 bitmap filter first: every set has ``BITS`` bits, each the parity of the shingles that are hashed to it,
 and two sets differ in at least as many shingles as bits. Survivors are compared by the sets themselves,
-which are gathered only for the texts that occur in a pair.
+which are gathered only for the texts that have a candidate.
 
 Defined cases: texts without words (null too) have the empty set, and are copies of each other; fewer
 words than a shingle are one shingle.
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, checkpoint_table
+from .common import join_hot
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
@@ -57,6 +57,12 @@ def may(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndar
     return np.minimum(a, b).astype(np.int64) * den >= np.maximum(a, b).astype(np.int64) * num
 
 
+def close(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
+    """Whether sets with these bitmaps (rows of uint64) and this sum of sizes can be similar."""
+    num, den = least
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) * (num + den) <= sizes * (den - num)
+
+
 def nodes(texts: DataFrame, fingerprint: Callable[[str | None], int]) -> DataFrame:
     """id, tie, and fp of the text and key, size and bits of the set of every row of ``texts`` (id, tie, text)."""
 
@@ -80,7 +86,7 @@ def nodes(texts: DataFrame, fingerprint: Callable[[str | None], int]) -> DataFra
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, tie long, fp long, key long, size int, bits binary")
 
 
-def _sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
+def sets_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """key, set (sorted hashes as bytes) of at least the given keys; ``texts`` has one column."""
     few = keys.limit(KEYS + 1).count() <= KEYS
     wanted = np.sort(keys.toArrow().column("key").to_numpy()) if few else None
@@ -100,29 +106,9 @@ def _sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, set binary").dropDuplicates(["key"])
 
 
-def _close(found: DataFrame, pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) that pass the bitmap filter."""
-    num, den = least
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (3, 4))
-                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                yield b.select(["u", "v"]).filter(pa.array(differ * (num + den) <= b.column(2).to_numpy() * (den - num)))
-
-    one, two = (found.select(F.col("key").alias(n), F.col("size").alias(f"{n}_size"), F.col("bits").alias(f"{n}_bits")) for n in "uv")
-    both = pairs.join(one, "u").join(two, "v")
-    return both.select("u", "v", (F.col("u_size") + F.col("v_size")).cast("long"), "u_bits", "v_bits").mapInArrow(run, "u long, v long")
-
-
-def verified(texts: DataFrame, found: DataFrame, pairs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """The pairs (u, v) of keys of ``found`` (key, size, bits) whose similarity reaches the threshold; ``texts``: one column, all texts."""
+def verified(sets: DataFrame, pairs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The pairs (u, v) of keys of ``sets`` (key, set) whose similarity reaches the threshold. A key may be in any number of pairs."""
     num, den = least
-    pairs = checkpoint(_close(found, pairs, least))
-    keys = checkpoint(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
-    sets = checkpoint_table(_sets(texts, keys), "neardup-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,5 +119,6 @@ def verified(texts: DataFrame, found: DataFrame, pairs: DataFrame, least: tuple[
                 near.append(both * (num + den) >= num * (len(x) + len(y)))
             yield b.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    one, two = sets.select(F.col("key").alias("u"), F.col("set").alias("a")), sets.select(F.col("key").alias("v"), F.col("set").alias("b"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    one = join_hot(pairs, sets.select(F.col("key").alias("u"), F.col("set").alias("a")), "u", broadcast=0)
+    two = join_hot(one, sets.select(F.col("key").alias("v"), F.col("set").alias("b")), "v", broadcast=0)
+    return two.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")

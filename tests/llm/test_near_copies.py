@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from seedflow.llm import simhash as S
 from seedflow.llm import verify as V
 
@@ -83,3 +85,5 @@ def test_bitmaps_differ_in_no_more_bits_than_shingles():
         a, b = (V.shingles(" ".join(words[k:])) for k in (0, 7))
         bits = int.from_bytes(V.bitmap(a)) ^ int.from_bytes(V.bitmap(b))
         assert bits.bit_count() <= len(set(a.tolist()) ^ set(b.tolist()))
+        rows = [np.frombuffer(V.bitmap(s), np.uint64)[None, :] for s in (a, b)]
+        assert V.close(*rows, np.array([9 * bits.bit_count()]))[0] and (not bits or not V.close(*rows, np.array([9 * bits.bit_count() - 1]))[0])

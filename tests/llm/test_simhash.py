@@ -75,8 +75,14 @@ def test_pairs_of_given_components():
     root, size = np.array([rng.randrange(30) for _ in x]), np.full(len(x), 10)
     for budget in (0, 4, 7):
         want = {(i, j) for i in range(len(x)) for j in range(i) if (int(x[i]) ^ int(x[j])).bit_count() <= budget and root[i] != root[j]}
-        got = {(max(i, j), min(i, j)) for a, b in S.apart(x, root, size, 0, budget) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
-        assert got == want
+        bits = np.zeros((len(x), 32), np.uint64)
+        pairs = lambda forest: {(max(i, j), min(i, j)) for a, b in S.apart(x, root, size, bits, 0, budget, forest) for i, j in zip(a.tolist(), b.tolist(), strict=True)}  # noqa: B023, E731
+        assert pairs(False) == want
+        some, links = pairs(True), S.Linked(np.arange(len(x)))
+        assert some <= want and len(some) <= 2 * len(x)
+        for i, j in [*some, *((i, min(k for k in range(len(x)) if root[k] == root[i])) for i in range(len(x)))]:
+            links.found(np.array([i]), np.array([j]))
+        assert all(links.root[i] == links.root[j] for i, j in want)
     for a, b in S.nearby(x, 0, 4):
         assert (np.bitwise_count(x[a] ^ x[b]) <= 4).all() and len(a) <= len(x)
 
