@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 Units: a text with its spaces escaped falls into units (a space mark and the characters up to the next
-one, or up to a line end), which no piece crosses; a batch's distinct units are concatenated. The
-batch is indexed by a suffix array (sorted by prefix doubling as far as the longest piece), every piece of
-the vocabulary is binary-searched for its range of occurrences, and the ranges give the edges
+one, or up to a line end), which no piece crosses; a batch's text is concatenated, each distinct unit
+once. The batch is indexed by a suffix array (sorted as far as the longest piece), every piece of the
+vocabulary is binary-searched for its range of occurrences, and the ranges give the edges
 (start, end, piece) of all units at once, sorted by position of their end in the unit. Relaxing goes
 through the edges in that order: the model is BPE, whose encoding of a prefix is unique, so an edge is
 taken when the piece before it, the last of the encoding up to its start, and its own piece are stable
@@ -13,32 +13,43 @@ Stability is decided from the order of merges alone: the pieces that touch the b
 and from the right, by the time at which BPE forms them; a merge across wins if its rank comes before
 the next change on the left, and not after the next one on the right.
 
+A unit of more than ``LONG`` characters is matched in windows of ``WINDOW`` characters and relaxed on its
+own, so a text without spaces costs time and memory in proportion to its length.
+
 Characters that the vocabulary lacks become their bytes' pieces. Decoding joins pieces, turns space
 marks to spaces, gathers byte pieces and drops the first space.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; a text's own space marks
 (U+2581) are spaces, as in the library; equal rows give equal results; an empty table gives an empty
-result; other columns are not read. A worker keeps at most ``KEPT`` units.
+result; other columns are not read. A model that is not BPE with byte fallback, the identity as
+normaliser, escaped spaces and a space before the text, or that has pieces defined by users, raises
+``ValueError``. A task holds one batch of at most ``BATCH`` texts and about ``BATCH_CHARS`` characters.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 from .common import load
 
 MARK = "▁"
-KEPT = 700_000
-#: Texts of one batch, and characters of distinct units that one suffix array indexes.
-BATCH, INDEXED = 512, 500_000
+#: Texts and characters of one batch, and characters of distinct units that one suffix array indexes.
+BATCH, BATCH_CHARS, INDEXED = 1024, 4_000_000, 500_000
+#: Units of more characters are relaxed on their own, in windows.
+LONG, WINDOW = 1000, 200_000
+#: Pairs of pieces whose stability a worker remembers for long units.
+PAIRS = 1_000_000
 
 
 def _pieces(path: str) -> tuple[list[str], np.ndarray, list[int]]:
@@ -48,6 +59,12 @@ def _pieces(path: str) -> tuple[list[str], np.ndarray, list[int]]:
     m = model.ModelProto()
     with open(path, "rb") as f:
         m.ParseFromString(f.read())
+    form, training = m.normalizer_spec, m.trainer_spec
+    if (
+        training.model_type != training.BPE or not training.byte_fallback or training.treat_whitespace_as_suffix or form.precompiled_charsmap
+        or form.remove_extra_whitespaces or not form.add_dummy_prefix or not form.escape_whitespaces or any(p.type not in (1, 2, 3, 6) for p in m.pieces)
+    ):
+        raise ValueError(f"not a BPE model with byte fallback and the identity as normaliser: {path}")
     return [p.piece for p in m.pieces], np.array([p.score for p in m.pieces]), [p.type for p in m.pieces]
 
 
@@ -60,13 +77,6 @@ class Codec:
         self.rank = {t: -float(scores[i]) for t, i in self.id.items()}
         self.bytes = {i: bytes([b]) for b, i in self.byte_id.items()}
         self._spines()
-        self.runs: dict[int, list[int]] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.begin = np.zeros(1, np.int64)
 
     # -- the model's own merges
 
@@ -122,17 +132,58 @@ class Codec:
         keys = np.array([a * n + b for a, b in cross], np.int64)
         order = np.argsort(keys)
         self.cross_keys, self.cross_rank = keys[order], np.array(list(cross.values()))[order]
-        # codes of characters: 0 ends a unit, 1 is unknown
+        self.cross = dict(zip(self.cross_keys.tolist(), self.cross_rank.tolist(), strict=True))
+        self._pairs: dict[int, bool] = {}
+        self._left: dict[int, tuple] = {}
+        self._right: dict[int, tuple] = {}
+        # codes of characters: 0 ends a unit, 1 is unknown; four codes are one word of a key
         chars = sorted({c for t in self.matched for c in t})
+        if len(chars) > 60_000:
+            raise ValueError("too many characters in the pieces")
         self.code = np.ones(0x110000, np.int32)
         self.code[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
-        self.longest = max(map(len, self.matched))
-        self.patterns = np.zeros((len(self.matched), self.longest), np.int32)
+        self.longest = -(-max(map(len, self.matched)) // 4) * 4
+        low, high = (np.full((len(self.matched), self.longest), fill, np.uint64) for fill in (0, 0xFFFF))
         for k, t in enumerate(self.matched):
-            self.patterns[k, : len(t)] = self.code[[ord(c) for c in t]]
+            low[k, : len(t)] = high[k, : len(t)] = self.code[[ord(c) for c in t]]
+        self.bounds = [self._words(np.concatenate([v.ravel(), np.zeros(3, np.uint64)]))[: v.size : 4].reshape(len(v), -1) for v in (low, high)]
         self.pattern_id = np.array([self.id[t] for t in self.matched])
         self.pattern_len = np.array([len(t) for t in self.matched])
 
+    def stable_pair(self, a: int, b: int) -> bool:
+        """``stable`` of one pair, remembered."""
+        n = len(self.texts)
+        if (known := self._pairs.get(a * n + b)) is not None:
+            return known
+        if len(self._pairs) > PAIRS:
+            self._pairs.clear()
+        for spines, ids, times, k in ((self._right, self.right, self.right_time, a), (self._left, self.left, self.left_time, b)):
+            if k not in spines:
+                spines[k] = ids[k].tolist(), times[k].tolist()
+        (left_ids, left_times), (right_ids, right_times) = self._right[a], self._left[b]
+        i = j = 0
+        while True:
+            rank, next_a, next_b = self.cross.get(left_ids[i] * n + right_ids[j]), left_times[i + 1], right_times[j + 1]
+            if rank is not None and rank < next_a and rank <= next_b:
+                ok = False
+                break
+            if next_a == next_b == math.inf:
+                ok = True
+                break
+            if next_a <= next_b:
+                i += 1
+            else:
+                j += 1
+        self._pairs[a * n + b] = ok
+        return ok
+
+    @staticmethod
+    def _words(codes: np.ndarray) -> np.ndarray:
+        """At each place, the code there and the three after it, as one number."""
+        c = codes.astype(np.uint64)
+        n = len(c) - 3
+        return c[:n] << np.uint64(48) | c[1 : n + 1] << np.uint64(32) | c[2 : n + 2] << np.uint64(16) | c[3:]
+
     def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece a before piece b stays as it is: no merge across their border comes first."""
         n = len(self.texts)
@@ -156,66 +207,57 @@ class Codec:
 
     # -- matching
 
-    def _suffixes(self, text: np.ndarray) -> np.ndarray:
-        """Suffix array by prefix doubling, as far as the longest piece."""
-        n, rank, width = len(text), text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
+    def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, end and id of all occurrences of pieces in the codes ``text``, and of unknown characters (id -1), in no order."""
+        n = len(text)
+        word = self._words(np.concatenate([text, np.zeros(self.longest + 3, text.dtype)]))
+        # suffix array: ranks of 4 characters, then of twice as many, up to the longest piece
+        order = np.argsort(word[:n], kind="stable")
+        k, width = word[order], 4
         while width < self.longest:
-            second = np.zeros(n, np.int64)
-            second[: n - width] = rank[width:] + 1 if n > width else 0
-            key = rank * (int(rank.max()) + 2 if n else 1) + second
+            rank = np.zeros(n + width, np.int64)
+            rank[order] = np.concatenate([[1], 1 + np.cumsum(k[1:] != k[:-1])]) if n else k
+            key = rank[:n] * (n + 2) + rank[width:]
             order = np.argsort(key, kind="stable")
-            k = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])]) if n else k
-            width *= 2
-        return order
-
-    def _ranges(self, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last place in the suffix array of every piece, all searched together."""
-        padded = np.concatenate([text, np.zeros(self.longest + 1, text.dtype)])
-        size, found = len(self.patterns), []
-        for upper in (False, True):
-            lo, hi = np.zeros(size, np.int64), np.full(size, len(order), np.int64)
-            while True:
-                live = np.flatnonzero(lo < hi)
-                if not len(live):
-                    break
+            k, width = key[order], 2 * width
+        # ranges of all pieces, searched together
+        found = []
+        for upper, bound in enumerate(self.bounds):
+            lo, hi = np.zeros(len(bound), np.int64), np.full(len(bound), n, np.int64)
+            while len(live := np.flatnonzero(lo < hi)):
                 mid = (lo[live] + hi[live]) // 2
                 suffix = order[mid]
                 less, equal = np.zeros(len(live), bool), np.ones(len(live), bool)
-                for k in range(self.longest):
-                    inside = k < self.pattern_len[live]
-                    s, p = padded[np.minimum(suffix + k, len(padded) - 1)], self.patterns[live, k]
-                    less |= equal & inside & (s < p)
-                    equal &= ~inside | (s == p)
+                for w in range(bound.shape[1]):
+                    s, p = word[suffix + 4 * w], bound[live, w]
+                    less |= equal & (s < p)
+                    equal &= s == p
                 right = less | (equal if upper else False)
                 lo[live[right]] = mid[right] + 1
                 hi[live[~right]] = mid[~right]
             found.append(lo)
-        return found[0], found[1]
+        lo, count = found[0], found[1] - found[0]
+        some = np.flatnonzero(count)
+        alone = np.flatnonzero(text == 1)
+        n_each = count[some]
+        at = np.arange(n_each.sum()) + np.repeat(lo[some] - (np.cumsum(n_each) - n_each), n_each)
+        start = np.concatenate([order[at], alone]).astype(np.int32)
+        ids = np.concatenate([np.repeat(self.pattern_id[some], n_each), np.full(len(alone), -1)]).astype(np.int32)
+        size = np.concatenate([np.repeat(self.pattern_len[some], n_each), np.ones(len(alone), np.int64)]).astype(np.int32)
+        return start, start + size, ids
 
     def match(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths of the encodings of units; each is encoded on its own."""
         sizes = np.array([len(u) for u in units], np.int64)
-        joined = "\0".join(units) + "\0"
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        points = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le"), np.uint32)
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         text = self.code[points]
         text[begin + sizes] = 0
-        order = self._suffixes(text).astype(np.int32)
-        lo, hi = self._ranges(text, order)
-        count = hi - lo
-        # edges are held as 32-bit numbers; characters that are in no piece are edges of their own, to their bytes
-        alone = np.flatnonzero(text == 1).astype(np.int32)
-        some = np.flatnonzero(count)
-        start = np.concatenate([*(order[lo[k] : hi[k]] for k in some), alone])
-        ids = np.concatenate([np.repeat(self.pattern_id[some].astype(np.int32), count[some]), np.full(len(alone), -1, np.int32)])
-        end = start + np.concatenate([np.repeat(self.pattern_len[some].astype(np.int32), count[some]), np.ones(len(alone), np.int32)])
-        level = end - np.repeat(begin.astype(np.int32), sizes + 1)[start]
-        by = np.argsort(level, kind="stable").astype(np.int32)
+        start, end, ids = self._edges(text)
+        level = (end - np.repeat(begin.astype(np.int32), sizes + 1)[start]).astype(np.uint16)
+        by = np.argsort(level, kind="stable")
         start, end, ids, level = start[by], end[by], ids[by], level[by]
-        cuts = np.searchsorted(level, np.arange(1, (level[-1] if len(level) else 0) + 2))
+        cuts = np.searchsorted(level, np.arange(1, (int(level[-1]) if len(level) else 0) + 2))
         # relax: last piece of the encoding up to a place (-2: none yet), and where that piece starts
         last, back = np.full(len(text) + 1, -2, np.int32), np.zeros(len(text) + 1, np.int32)
         first = np.zeros(len(text) + 1, bool)
@@ -251,6 +293,39 @@ class Codec:
             unit, out = np.repeat(unit, width), np.array([i for r in raw for i in r], np.int64)
         return out.astype(np.int32), np.bincount(unit, minlength=len(units))
 
+    def match_long(self, unit: str) -> np.ndarray:
+        """The ids of one unit of any length: edges window by window, relaxed one by one in the order of their ends."""
+        points = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+        n = len(points)
+        last, back = array("i", [-2]) * (n + 1), array("i", [0]) * (n + 1)
+        last[0] = -1  # nothing to merge with; so is an unknown character, which is edge -1
+        rest = (np.zeros(0, np.int64),) * 3
+        for at in range(0, n, WINDOW):
+            start, end, ids = (v.astype(np.int64) for v in self._edges(self.code[points[at : at + WINDOW + self.longest]]))
+            own = start < WINDOW
+            start, end, ids = (np.concatenate([r, v]) for r, v in zip(rest, (start[own] + at, end[own] + at, ids[own]), strict=True))
+            done = (end <= at + WINDOW) | (at + WINDOW >= n)
+            rest = start[~done], end[~done], ids[~done]
+            start, end, ids = start[done], end[done], ids[done]
+            by = np.argsort(end, kind="stable")
+            for k in range(0, len(by), 1 << 18):
+                part = by[k : k + (1 << 18)]
+                for s, e, t in zip(start[part].tolist(), end[part].tolist(), ids[part].tolist(), strict=True):
+                    before = last[s]
+                    if before == -2 or last[e] != -2:
+                        continue
+                    if before >= 0 and t >= 0 and not self.stable_pair(before, t):
+                        continue
+                    last[e], back[e] = t, s
+        out, e = [], n
+        while e > 0:
+            s, t = back[e], last[e]
+            if t == -2:
+                raise AssertionError("a unit without an encoding")
+            out.extend([t] if t >= 0 else [self.byte_id[b] for b in reversed(chr(points[s]).encode())])
+            e = s
+        return np.array(out[::-1], np.int32)
+
     # -- texts
 
     @staticmethod
@@ -279,57 +354,44 @@ class Codec:
 
     def _run(self, n: int) -> list[int]:
         """A run of n space marks."""
-        if n not in self.runs:
-            self.runs[n] = [self.id[t] for t, *_ in self.merge([MARK] * n)]
-        return self.runs[n]
-
-    def learn(self, units: list[str]) -> None:
-        """Encode new units and keep their ids."""
-        plain, spaced = [], []
-        for u in units:
-            (spaced if u[0] == " " else plain).append(u)
-        cores = [u.lstrip(" ") for u in spaced]
-        todo = [u if u[0] == "\n" else MARK + u for u in plain] + [MARK + c for c in cores if c]
-        parts, lengths, at = [], [], 0
-        while at < len(todo):
+        return [self.id[t] for t, *_ in self.merge([MARK] * n)]
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of distinct units, and where each begins (and the last one ends)."""
+        # spaces before a word are set apart from its last one; what is left is matched
+        cores = [u.lstrip(" ") if u[0] == " " else u for u in units]
+        todo = [c if c[:1] == "\n" else MARK + c if c else "" for c in cores]
+        short = [k for k, c in enumerate(todo) if 0 < len(c) <= LONG]
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+        at = 0
+        while at < len(short):
             size, stop = 0, at
-            while stop < len(todo) and (size < INDEXED or stop == at):
-                size += len(todo[stop]) + 1
+            while stop < len(short) and (size < INDEXED or stop == at):
+                size += len(todo[short[stop]]) + 1
                 stop += 1
-            ids, n = self.match(todo[at:stop])
-            parts.append(ids)
-            lengths.append(n)
+            flat, n = self.match([todo[k] for k in short[at:stop]])
+            for k, x in zip(short[at:stop], np.split(flat, np.cumsum(n)[:-1]), strict=True):
+                ids[k] = x
             at = stop
-        flat, n = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (parts, lengths))
-        ends = np.cumsum(n)
-        keep = ends[len(plain) - 1] if plain else 0
-        extra, k = [], len(plain)
-        for u, c in zip(spaced, cores, strict=True):
-            spaces = len(u) - len(c)
-            if not c:
-                extra.append(self._run(spaces))
-                continue
-            ids = flat[ends[k] - n[k] : ends[k]].tolist()
-            k += 1
-            # the last mark merges with the word if it can, else with the marks before it
-            extra.append(self._run(spaces + 1) + ids[1:] if ids[0] == self.id[MARK] else self._run(spaces) + ids)
-        m = len(self.place)
-        self.place.update(zip(plain + spaced, range(m, m + len(units)), strict=True))
-        self.flat = np.concatenate([self.flat, flat[:keep].astype(np.int32), *(np.array(x, np.int32) for x in extra)])
-        added = np.concatenate([n[: len(plain)], np.array([len(x) for x in extra], np.int64)]).astype(np.int64)
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(added)])
+        for k, c in enumerate(todo):
+            if len(c) > LONG:
+                ids[k] = self.match_long(c)
+        for k, (u, c) in enumerate(zip(units, cores, strict=True)):
+            if spaces := len(u) - len(c):
+                # the last mark merges with the word if it can, else with the marks before it
+                one = c and ids[k][0] == self.id[MARK]
+                ids[k] = np.concatenate([np.array(self._run(spaces + 1 if one else spaces), np.int32), ids[k][1:] if one else ids[k]])
+        return np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text begins (and the last one ends)."""
         split = [self.units(t) for t in texts]
-        if len(self.place) > KEPT:
-            self.clear()
-        if new := list({u for s in split for u in s if u not in self.place}):
-            self.learn(new)
-        index = np.fromiter((self.place[u] for s in split for u in s), np.int64, sum(map(len, split)))
-        sizes = self.begin[index + 1] - self.begin[index]
+        place: dict[str, int] = {}
+        index = np.fromiter((place.setdefault(u, len(place)) for s in split for u in s), np.int64, sum(map(len, split)))
+        flat, begin = self.encode_units(list(place))
+        sizes = begin[index + 1] - begin[index]
         before = np.concatenate([[0], np.cumsum(sizes)])
-        out = self.flat[np.repeat(self.begin[index] - before[:-1], sizes) + np.arange(before[-1])]
+        out = flat[np.repeat(begin[index] - before[:-1], sizes) + np.arange(before[-1])]
         return out, before[np.concatenate([[0], np.cumsum([len(s) for s in split], dtype=np.int64)])]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -357,20 +419,27 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     """id, n_tokens, ids_crc32 (little-endian unsigned 32-bit), round_trip (decoding gives the text, its own space marks as spaces), ids."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                b = whole.slice(at, BATCH)
-                texts, c = [t or "" for t in b.column(1).to_pylist()], codec(model)
-                ids, begin = c.encode(texts)
-                cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
-                same = [c.decode(ids[x:y]) == t.replace(MARK, " ") for (x, y), t in zip(cuts, texts, strict=True)]
-                raw = ids.astype("<u4")
-                crc = [zlib.crc32(raw[x:y].tobytes()) for x, y in cuts]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.diff(begin)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids))],
-                    names=["id", "n_tokens", "ids_crc32", "round_trip", "ids"],
-                )
+            chars = np.cumsum(pc.fill_null(pc.utf8_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < whole.num_rows:
+                stop = max(int(np.searchsorted(chars, (chars[at - 1] if at else 0) + BATCH_CHARS, side="right")), at + 1)
+                yield whole.slice(at, min(stop - at, BATCH))
+                at += min(stop - at, BATCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            texts, c = [t or "" for t in b.column(1).to_pylist()], codec(model)
+            ids, begin = c.encode(texts)
+            cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
+            same = [c.decode(ids[x:y]) == t.replace(MARK, " ") for (x, y), t in zip(cuts, texts, strict=True)]
+            raw = ids.astype("<u4")
+            crc = [zlib.crc32(raw[x:y].tobytes()) for x, y in cuts]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.diff(begin)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids))],
+                names=["id", "n_tokens", "ids_crc32", "round_trip", "ids"],
+            )
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_crc32 long, round_trip boolean, ids array<int>")
 

@@ -45,15 +45,19 @@ def test_hard_texts(codec, library):
 
 
 def test_small_cache_gives_the_same(codec, library, monkeypatch):
-    monkeypatch.setattr(S, "KEPT", 3)
+    monkeypatch.setattr(S, "BATCH_CHARS", 40)
     monkeypatch.setattr(S, "INDEXED", 20)
     same(codec, library, ["many small words in here", "and in here some more words"])
     same(codec, library, ["words again", ""])
 
 
-def test_suffix_array_and_ranges(codec):
-    text = codec.code[[ord(c) for c in "banana"]]
-    assert codec._suffixes(np.append(text, 0).astype(np.int32)).tolist() == [6, 5, 3, 1, 0, 4, 2]
+def test_edges_are_all_occurrences(codec):
+    text = "▁banana\0▁the\0日é🙂n"
+    codes = np.array([0 if c == "\0" else codec.code[ord(c)] for c in text], np.int32)
+    got = sorted(zip(*(v.tolist() for v in codec._edges(codes)), strict=True))
+    pieces = {i: codec.texts[i] for i in codec.pattern_id.tolist()}
+    want = [(k, k + len(t), i) for i, t in pieces.items() for k in range(len(text)) if text.startswith(t, k)]
+    assert got == sorted(want + [(k, k + 1, -1) for k, c in enumerate(codes) if c == 1])
 
 
 def test_odd_rows(spark, library, empty, sf_dir):
@@ -64,3 +68,26 @@ def test_odd_rows(spark, library, empty, sf_dir):
     docs = S.decode_ids(spark.createDataFrame([(1, library.encode("Hello  there\n")), (2, None)], "doc_id long, ids array<int>"), PATH)
     assert {tuple(r) for r in docs.collect()} == {(1, "Hello  there\n"), (2, "")}
     assert S.encode_documents(empty, PATH).count() == 0
+
+
+def test_long_units_equal_the_library(monkeypatch):
+    """Units above LONG are matched in windows; spaces, unknown characters and single letters too."""
+    rng = random.Random(5)
+    c, library = S.codec(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(3000)), "a" * 2500, "日本語𐍈é" * 500, "the" * 700 + " x" + "ing" * 900, "\n" + "tion" * 600]
+    for window in (200_000, 97):
+        monkeypatch.setattr(S, "WINDOW", window)
+        ids, begin = c.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == library.encode(texts)
+
+
+def test_other_models_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as model
+
+    for change in (lambda m: setattr(m.trainer_spec, "model_type", 1), lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False), lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"), lambda m: setattr(m.pieces[500], "type", 4)):
+        m = model.ModelProto()
+        m.ParseFromString(open(PATH, "rb").read())
+        change(m)
+        (tmp_path / "other.model").write_bytes(m.SerializeToString())
+        with pytest.raises(ValueError):
+            S.Codec(str(tmp_path / "other.model"))
