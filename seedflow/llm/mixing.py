@@ -2,21 +2,24 @@
 
 Every source's documents, in a fixed order, are one stream of words that is cut into blocks of
 ``BLOCK`` words; a document overlaps one or more blocks. Targets come from the weights by water
-filling, never above ``CAP`` times a source's size. The mix is a list of slots, dealt over output
-shards of ``SHARD_SLOTS`` slots:
+filling, never above ``CAP`` times a source's size. The mix is a list of slots in output shards of
+``SHARD_SLOTS`` slots:
 
 1. every source gets its number of slots (blocks * target / size); the slots of all sources stand in
    line, and a pseudorandom permutation of the line deals them to shards. The counts of sources in a
    shard are then a multinomial draw conditional on the totals (without the noise in the totals that
    would push a source off its target or above its cap);
-2. slot j of a source (numbered through the shards' counts) is mapped to a block by a pseudorandom
-   permutation of the source's blocks, another one for every round through them;
+2. each shard has a span of its own of every source's index permutations, its share of the source's
+   blocks, and takes as many of it as its count says: once, then again through the permutation of the
+   next turn, up to ``CAP`` turns. So the draw decides which blocks are taken how often. What a shard's
+   count has above ``CAP`` spans goes to the source's other shards in proportion to the room they have;
 3. blocks are joined to documents by (source, index), and a document's taken words are summed up.
 
 Both permutations are swap-or-not shuffles: rounds of arithmetic on the index alone, exact for any
 length, so that no sort is needed. All is DataFrame functions. Hot sources: positions in a source are
 prefix sums in two levels over ``CHUNKS`` hashed chunks; slots are exploded in pieces of
-``PIECE``; joins are on (source, index). Reruns agree: nothing depends on partitioning or time.
+``PIECE``; joins are on (source, index). Tables of one row a source are ordered in one task; there is
+one row a (source, shard) with blocks. Reruns agree: nothing depends on partitioning or time.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a
 document without words takes 0; equal rows are separate documents, each with its own place; an empty
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint, load, source_key
 
 BLOCK = 128
-SHARD_SLOTS = 4096
+SHARD_SLOTS = 65536
 WEIGHTS = (5, 2, 1)
 CAP = 3
 CHUNKS = 512
@@ -72,16 +75,18 @@ def permuted(index: Column, how: Column) -> Column:
 def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: str) -> DataFrame:
     """Rows with their size, source key and the chunk and rank which order them inside their source."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     out = docs.select(
         F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("tie"), (_md5_int(name, 1) % CHUNKS).cast("int").alias("chunk"), *more,
+        F.crc32(text.cast("binary")).alias("tie"), *more,
     )
+    # rows without an id are told apart by their size
+    name = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string"))
+    out = out.withColumn("chunk", (_md5_int(name, 1) % CHUNKS).cast("int"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("key", "chunk").orderBy("id", "size", "tie")))
 
 
 def targets(placed: DataFrame, block: int = BLOCK, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """key, source_size, target, n_blocks, slots, first_slot: one row a source."""
+    """key, source_size, target, n_blocks, slots, first_slot, all_slots: one row a source."""
     per = placed.groupBy("key").agg(F.sum("size").alias("source_size"))
     # the key of a null source is empty, and stands last
     order = F.row_number().over(Window.orderBy((F.col("key") == ""), "key")) - 1
@@ -109,17 +114,34 @@ def _pieces(df: DataFrame, count: str, base: Column) -> DataFrame:
     return parts.withColumn("n", F.explode(F.sequence(base + first, base + F.least(first + PIECE, F.col(count)) - 1))).drop("_part")
 
 
-def draw(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """shard, key, block: the mix, one row a slot."""
+def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """key, shard, start, span, n: the shard's span of the source's indexes, and how many slots it takes; drawn, and kept within ``CAP`` spans."""
     line = sources.withColumn("how", rounds(F.lit(f"{seed}:line"), F.col("all_slots")))
     line = _pieces(line, "slots", F.col("first_slot")).select("key", F.floor(permuted(F.col("n"), F.col("how")) / shard_slots).alias("shard"))
-    counts = line.groupBy("key", "shard").agg(F.count("*").alias("n_in_shard"))
-    counts = counts.withColumn("first", F.sum("n_in_shard").over(Window.partitionBy("key").orderBy("shard")) - F.col("n_in_shard"))
-    numbered = _pieces(counts, "n_in_shard", F.col("first")).join(_small(sources.select("key", "n_blocks")), "key")
-    turns = F.transform(F.sequence(F.lit(0), F.lit(CAP)), lambda e: rounds(F.concat(F.lit(f"{seed}:"), F.col("key"), F.lit(":"), e.cast("string")), F.col("n_blocks")))
+    drawn = line.groupBy("key", "shard").agg(F.count("*").alias("drawn"))
+    shards = F.ceil(F.col("all_slots") / shard_slots)
+    blocks = F.col("n_blocks")
+    # shards that have a span: all of them, or those of the source's few blocks
+    k = F.when(blocks >= shards, F.col("i")).otherwise(F.ceil((F.col("i") + 1) * shards / blocks) - 1).cast("long")
+    owned = sources.filter("slots > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(shards, blocks) - 1)))
+    owned = owned.select("key", "slots", k.alias("shard"), F.floor(blocks * k / shards).alias("start"), F.floor(blocks * (k + 1) / shards).alias("_end")).withColumn("span", F.col("_end") - F.col("start"))
+    both = owned.join(drawn, ["key", "shard"], "left")
+    both = both.withColumn("kept", F.least(F.coalesce("drawn", F.lit(0)), CAP * F.col("span"))).withColumn("room", CAP * F.col("span") - F.col("kept"))
+    of = Window.partitionBy("key")
+    both = both.withColumn("missing", F.col("slots") - F.sum("kept").over(of)).withColumn("rooms", F.sum("room").over(of))
+    both = both.withColumn("upto", F.sum("room").over(of.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)))
+    share = lambda c: F.when(F.col("rooms") > 0, F.floor(c.cast("decimal(19,0)") * F.col("missing").cast("decimal(19,0)") / F.col("rooms"))).otherwise(0).cast("long")
+    return both.select("key", "shard", "start", "span", (F.col("kept") + share(F.col("upto")) - share(F.col("upto") - F.col("room"))).cast("long").alias("n"))
+
+
+def draw(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """shard, key, block: the mix, one row a slot."""
+    counts = shard_counts(sources, shard_slots, seed).withColumnRenamed("n", "count")
+    numbered = _pieces(counts, "count", F.lit(0).cast("long")).join(_small(sources.select("key", "n_blocks")), "key")
+    turns = F.transform(F.sequence(F.lit(0), F.lit(CAP - 1)), lambda e: rounds(F.concat(F.lit(f"{seed}:"), F.col("key"), F.lit(":"), e.cast("string")), F.col("n_blocks")))
     numbered = numbered.join(_small(sources.select("key", turns.alias("turns"))), "key")
-    turn = F.get("turns", F.floor(F.col("n") / F.col("n_blocks")).cast("int"))
-    return numbered.select("shard", "key", permuted(F.col("n") % F.col("n_blocks"), turn).alias("block"))
+    turn = F.get("turns", F.floor(F.col("n") / F.col("span")).cast("int"))
+    return numbered.select("shard", "key", permuted(F.col("start") + F.col("n") % F.col("span"), turn).alias("block"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -127,16 +149,24 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def _started(placed: DataFrame) -> DataFrame:
+    """With ``start``, the number of words before the document in its source."""
+    chunks = placed.groupBy("key", "chunk").agg(F.sum("size").alias("_n")).withColumn("_base", F.sum("_n").over(Window.partitionBy("key").orderBy("chunk")) - F.col("_n")).drop("_n")
+    inside = F.sum("size").over(Window.partitionBy("key", "chunk").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return placed.withColumn("_in", inside).join(chunks, ["key", "chunk"]).withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in")
+
+
+def _parts(started: DataFrame, block: int) -> DataFrame:
+    """A row for each block that a document overlaps."""
+    return started.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.greatest(F.col("size") - 1, F.lit(0))) / block))))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """id, key, chunk, rank, size, start, source_size, target, taken, and times: how often each block is taken that the document overlaps, first to last."""
     placed = checkpoint(place(docs, id_col, text_col, source_col).drop("tie"))
     sources = checkpoint(targets(placed, block))
-    times = draw(sources, seed=seed).groupBy("key", "block").agg(F.count("*").alias("times"))
-    chunks = placed.groupBy("key", "chunk").agg(F.sum("size").alias("_n")).withColumn("_base", F.sum("_n").over(Window.partitionBy("key").orderBy("chunk")) - F.col("_n")).drop("_n")
-    inside = F.sum("size").over(Window.partitionBy("key", "chunk").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    started = placed.withColumn("_in", inside).join(chunks, ["key", "chunk"]).withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in")
-    parts = started.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.greatest(F.col("size") - 1, F.lit(0))) / block))))
-    joined = parts.join(times, ["key", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    times = draw(sources, shard_slots, seed).groupBy("key", "block").agg(F.count("*").alias("times"))
+    joined = _parts(_started(placed), block).join(times, ["key", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     per = joined.groupBy("key", "chunk", "rank", "id", "size", "start").agg(
         F.sum(words * F.col("times")).cast("long").alias("taken"), F.sort_array(F.collect_list(F.struct("block", "times"))).alias("_t")
@@ -144,6 +174,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return per.withColumn("times", F.transform("_t", lambda t: t["times"])).drop("_t").join(_small(sources.select("key", "source_size", "target")), "key")
 
 
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, key, block, text: the output shards, one row a slot, with the words of its block joined by spaces. Write it partitioned by shard."""
+    placed = checkpoint(place(docs, id_col, text_col, source_col, text_col))
+    sources = checkpoint(targets(placed, block))
+    slots = checkpoint(draw(sources, shard_slots, seed))
+    first = F.col("block") * block - F.col("start")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0)
+    parts = _parts(_started(placed.filter("size > 0")), block)
+    cut = parts.select("key", "block", "start", F.array_join(F.slice(words, F.greatest(first, F.lit(0)).cast("int") + 1, F.least(F.col("size"), first + block).cast("int") - F.greatest(first, F.lit(0)).cast("int")), " ").alias("_w"))
+    whole = cut.groupBy("key", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "_w"))), lambda p: p["_w"]), " ").alias("text"))
+    return slots.join(whole, ["key", "block"]).select("shard", "key", "block", "text")
+
+
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix as documents: all columns, one row for each time (1 to 3) a document, or part of it, is taken.
 
@@ -151,14 +194,15 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     joined by spaces, and ``n_chars`` its length.
     """
     taken = mix(docs, block=block, seed=seed).filter("taken > 0").select("key", "chunk", "rank", "start", "times")
-    texts = place(docs.withColumn("_row", F.struct(*docs.columns)), "doc_id", "text", "source", "_row").select("key", "chunk", "rank", "_row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    texts = place(docs.withColumn("_row", whole), "doc_id", "text", "source", "_row").select("key", "chunk", "rank", "_row")
     both = texts.join(taken, ["key", "chunk", "rank"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("times").cast("int"))))
     words = F.regexp_extract_all(F.col("_row")["text"], F.lit(WORD), 0)
     first = F.floor(F.col("start") / block)
     some = F.array_join(F.filter(words, lambda w, i: F.get("times", (F.floor((F.col("start") + i) / block) - first).cast("int")) >= F.col("_copy")), " ")
     text = F.when(F.array_min("times") >= F.col("_copy"), F.col("_row")["text"]).otherwise(some)
     out = both.withColumn("_text", text)
-    return out.select(*[(F.col("_text") if c == "text" else F.char_length("_text").cast("long") if c == "n_chars" else F.col("_row")[c]).alias(c) for c in docs.columns])
+    return out.select(*[(F.col("_text") if c == "text" else F.char_length("_text").cast("long") if c == "n_chars" else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +226,11 @@ def _sql_permuted(index: str, how: str) -> str:
 
 
 SQL = f"""
-WITH d AS (
+WITH d0 AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-    {_sql_int("coalesce(doc_id::VARCHAR, 'null')", 1)} % {CHUNKS} AS chunk, row_number() OVER () AS rid FROM documents
+    row_number() OVER () AS rid FROM documents
+), d AS (
+  SELECT *, {_sql_int("(coalesce(doc_id::VARCHAR, 'null') || ':' || size)", 1)} % {CHUNKS} AS chunk FROM d0
 ), s1 AS (
   SELECT key, sum(size)::BIGINT AS source_size, ([{", ".join(f"{w}.0::DOUBLE" for w in WEIGHTS)}])[(row_number() OVER (ORDER BY key = '', key) - 1) % {len(WEIGHTS)} + 1] AS w FROM d GROUP BY key
 ), s2 AS (SELECT *, source_size * {CAP} AS cap, source_size * {CAP} / w AS ratio FROM s1
@@ -199,14 +245,23 @@ WITH d AS (
   SELECT *, (sum(slots) OVER (ORDER BY key = '', key) - slots)::BIGINT AS first_slot, (sum(slots) OVER ())::BIGINT AS all_slots FROM s5
 ), line AS (
   SELECT key, {_sql_permuted("i", "how")} // {SHARD_SLOTS} AS shard FROM (SELECT key, {_sql_rounds(f"'{SEED}:line'", "all_slots")} AS how, unnest(range(first_slot, first_slot + slots)) AS i FROM s)
-), counts AS (SELECT key, shard, count(*) AS n FROM line GROUP BY ALL
-), firsts AS (SELECT key, n, (sum(n) OVER (PARTITION BY key ORDER BY shard) - n)::BIGINT AS f FROM counts
+), drawn AS (SELECT key, shard, count(*) AS drawn FROM line GROUP BY ALL
+), k AS (SELECT *, (all_slots + {SHARD_SLOTS} - 1) // {SHARD_SLOTS} AS shards FROM s WHERE slots > 0
+), own AS (
+  SELECT key, slots, shard, n_blocks * shard // shards AS start, n_blocks * (shard + 1) // shards - n_blocks * shard // shards AS span
+  FROM (SELECT key, slots, n_blocks, shards, CASE WHEN n_blocks >= shards THEN i ELSE ((i + 1) * shards + n_blocks - 1) // n_blocks - 1 END AS shard FROM (SELECT *, unnest(range(least(shards, n_blocks))) AS i FROM k))
+), kept AS (SELECT own.*, least(coalesce(drawn, 0), {CAP} * span) AS kept, {CAP} * span - least(coalesce(drawn, 0), {CAP} * span) AS room FROM own LEFT JOIN drawn USING (key, shard)
+), fill AS (
+  SELECT *, (slots - sum(kept) OVER (PARTITION BY key))::HUGEINT AS missing, (sum(room) OVER (PARTITION BY key))::HUGEINT AS rooms,
+    (sum(room) OVER (PARTITION BY key ORDER BY shard ROWS UNBOUNDED PRECEDING))::HUGEINT AS upto FROM kept
+), counts AS (
+  SELECT key, shard, start, span, (kept + CASE WHEN rooms > 0 THEN upto * missing // rooms - (upto - room) * missing // rooms ELSE 0 END)::BIGINT AS n FROM fill
 ), turns AS (
-  SELECT key, n_blocks, e, {_sql_rounds(f"'{SEED}:' || key || ':' || e", "n_blocks")} AS how FROM s, range({CAP + 1}) t(e)
+  SELECT key, n_blocks, e, {_sql_rounds(f"'{SEED}:' || key || ':' || e", "n_blocks")} AS how FROM s, range({CAP}) t(e)
 ), slot AS (
-  SELECT key, unnest(range(f, f + n)) AS j FROM firsts
+  SELECT key, start, span, unnest(range(n)) AS j FROM counts
 ), times AS (
-  SELECT key, block, count(*) AS times FROM (SELECT key, {_sql_permuted("j % n_blocks", "how")} AS block FROM slot JOIN s USING (key) JOIN turns USING (key, n_blocks) WHERE e = j // n_blocks) GROUP BY ALL
+  SELECT key, block, count(*) AS times FROM (SELECT key, {_sql_permuted("start + j % span", "how")} AS block FROM slot JOIN turns USING (key) WHERE e = j // span) GROUP BY ALL
 ), started AS (
   SELECT *, (sum(size) OVER (PARTITION BY key ORDER BY chunk, doc_id NULLS FIRST, size, rid ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d
 ), parts AS (SELECT rid, key, size, start, unnest(range(start // {BLOCK}, (start + greatest(size - 1, 0)) // {BLOCK} + 1)) AS block FROM started

@@ -59,15 +59,50 @@ def test_reruns_and_partitions_agree(sourced):
     assert one == two
 
 
-def test_shards_draw_different_counts(spark, sourced):
-    placed = M.place(sourced, "doc_id", "text", "source")
-    slots = M.draw(M.targets(placed, 16), shard_slots=500)
+def test_shard_counts_are_a_draw(sourced):
+    """Counts of a source over the full shards: their squared deviations from its share are those of a draw, and all slots are dealt out."""
+    sources = M.checkpoint(M.targets(M.place(sourced, "doc_id", "text", "source"), 4))
+    slots = {r["key"]: (r["slots"], r["all_slots"], r["n_blocks"]) for r in sources.collect()}
     counts = defaultdict(dict)
-    for r in slots.groupBy("shard", "key").count().collect():
-        counts[r["shard"]][r["key"]] = r["count"]
-    whole = [c for c in counts.values() if sum(c.values()) == 500]
-    hot = [c.get("=hot", 0) for c in whole]
-    assert len(whole) >= 10 and len(set(hot)) > 3 and min(hot) > 0
+    for r in M.shard_counts(sources, shard_slots=1000).collect():
+        assert 0 <= r["n"] <= M.CAP * r["span"]
+        counts[r["key"]][r["shard"]] = r["n"]
+    tried = 0
+    for key, (n, total, blocks) in slots.items():
+        assert sum(counts[key].values()) == n
+        shards, p = total // 1000, n / total
+        got = [counts[key].get(k, 0) for k in range(shards)]
+        if n < 2 * blocks and 1000 * p > 20:  # far from the cap of three spans
+            tried += 1
+            chi = sum((c - 1000 * p) ** 2 for c in got) / (1000 * p * (1 - p))
+            assert 0.4 * shards < chi < 1.9 * shards, (key, got)
+    assert tried >= 2
+
+
+def test_the_draw_decides(spark, sourced):
+    """Another size of shards, or another seed, takes other blocks; the totals of each source stay."""
+    times, totals = {}, {}
+    sources = M.checkpoint(M.targets(M.place(sourced, "doc_id", "text", "source"), 16))
+    limit = {r["key"]: r["n_blocks"] for r in sources.collect()}
+    for how in ((100, 1), (500, 1), (10**9, 1), (500, 2)):
+        rows = M.draw(sources, *how).groupBy("key", "block").count().collect()
+        times[how] = {(r["key"], r["block"]): r["count"] for r in rows}
+        totals[how] = Counter({k: sum(v for (key, _), v in times[how].items() if key == k) for k in {k for k, _ in times[how]}})
+        assert all(1 <= v <= M.CAP and b < limit[k] for (k, b), v in times[how].items())
+    assert len({str(sorted(t.items())) for t in times.values()}) == 4
+    assert len({str(sorted(t.items())) for t in totals.values()}) == 1
+
+
+def test_output_shards_hold_the_blocks(sourced):
+    texts = {r["doc_id"]: r["text"] for r in sourced.collect()}
+    docs = sourced.withColumn("text", F.concat_ws(" ", F.transform(F.split("text", " "), lambda w, i: F.concat(F.col("doc_id"), F.lit("."), i.cast("string")))))
+    rows = M.mixed_blocks(docs, block=16, shard_slots=300).collect()
+    taken = {r["id"]: r["taken"] for r in M.mix(docs, block=16, shard_slots=300).collect()}
+    seen = Counter(w.split(".")[0] for r in rows for w in r["text"].split(" "))
+    assert {i: seen[str(i)] for i in texts} == {i: taken[i] for i in texts}
+    assert max(len(r["text"].split(" ")) for r in rows) == 16
+    sizes = Counter(r["shard"] for r in rows)
+    assert len(sizes) > 3 and max(sizes.values()) < 450
 
 
 def test_mixed_documents_hold_the_taken_words(sourced):
@@ -80,6 +115,11 @@ def test_mixed_documents_hold_the_taken_words(sourced):
     assert max(Counter(r["doc_id"] for r in rows).values()) <= 3
 
 
+def test_extra_columns_of_any_name(odd):
+    wide = odd.withColumnRenamed("slot", "a.b").withColumn("taken", F.lit(1)).withColumn("key", F.lit("k"))
+    assert M.mixed_documents(wide).columns == wide.columns and M.mixed_documents(wide).count() > 0
+
+
 def test_odd_rows(spark, odd, empty, sf_dir):
     rows = M.op7_mixing(spark, sf_dir).collect()
     assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((r[0], len((r[1] or "").encode().split())) for r in ROWS)
