@@ -8,12 +8,16 @@ random-access point (adaptation field with the random-access flag and a PCR).
 Reading: packets are found on the sync byte, program tables are parsed (section length and CRC-32/MPEG
 checked), continuity counters are checked per PID, elementary packets are reassembled from
 payload-unit starts, and PTS and random-access points are stored with packet number and payload
-offset. Everything is vectorised over the packets of one stream with numpy.
+offset. An elementary packet that is shorter than its header says, or ends without one of its packets, is
+counted as damaged. Everything is vectorised over the packets of one stream with numpy.
+
+The query writes the media column as Parquet to the shared folder, and reads it back from there.
 
 Defined cases: a null text is empty; the payload is padded with zero bytes to a positive multiple of
 64, so it is never empty; equal texts give equal streams; an empty table gives an empty result; a
 stream with a lost sync byte, a bad table or no program raises ``ValueError``, while a continuity
-error only counts; other columns are not read. One row is held at a time.
+error only counts; other columns are not read. A task holds one Arrow batch of rows, and of streams and
+payloads those of at most ``HELD`` bytes of text, or of one text that is longer.
 """
 
 from __future__ import annotations
@@ -25,16 +29,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import load
+from .common import checkpoint_table, load
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, ES_PID = 0x1000, 0x0100
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # private PES data, private_stream_1
 UNIT, TICKS, GOP = 4096, 3600, 8
+#: Bytes of texts or streams that are worked on at a time.
+HELD = 8 << 20
 
 
 def _crc_table() -> list[int]:
@@ -113,6 +120,9 @@ class Demuxed:
     pid: int
     stream_type: int
     continuity_errors: int
+    units: int = 0
+    #: units whose bytes are fewer than announced
+    damaged: int = 0
     pts: list[int] = field(default_factory=list)
     #: (pts, packet number, offset in the payload) of every random-access point
     access_points: list[tuple[int, int, int]] = field(default_factory=list)
@@ -180,6 +190,8 @@ def demux(stream: bytes) -> Demuxed:
                 out.access_points.append((pts, int(own[k]), done))
         size = int.from_bytes(pes[4:6], "big")
         part = pes[9 + pes[8] : 6 + size if size else None]
+        out.units += 1
+        out.damaged += size > 0 and len(pes) < 6 + size
         parts.append(part)
         done += len(part)
     out.payload = b"".join(parts)
@@ -191,23 +203,32 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(-(-len(raw) // 64), 1) * 64, b"\0")
 
 
+def held(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in slices of at most ``HELD`` bytes in one column, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, side="right")), at + 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and the stored transport stream ``media`` of every row."""
     ship(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # bounds the bytes held, however long the texts are
-                b = batch.slice(at, 64)
+            for b in held(batch, 1):
                 made = [payload_of(t.as_py()) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([mux(x) for _, x in made], pa.large_binary()).cast(pa.binary())], names=["id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([mux(x) for _, x in made], pa.binary())], names=["id", "n_bytes", "media"])
 
     return docs.select(id_col, text_col).mapInArrow(write, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
 READ = (
     "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, program int, stream_type int, packets long, "
-    "continuity_errors long, first_pts long, last_pts long, access_points array<struct<pts:long,packet:long,offset:long>>"
+    "continuity_errors long, units long, damaged long, first_pts long, last_pts long, access_points array<struct<pts:long,packet:long,offset:long>>"
 )
 
 
@@ -219,8 +240,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id", payload: bool = True) -
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                b = batch.slice(at, 64)
+            for b in held(batch, 2):
                 raw = [m.as_py() for m in b.column(2)]
                 got = [demux(m) for m in raw]
                 columns = [
@@ -228,7 +248,8 @@ def read_media(media: DataFrame, id_col: str = "doc_id", payload: bool = True) -
                     pa.array([zlib.crc32(d.payload[-64:]) for d in got], pa.int64()), pa.array([len(m) for m in raw], pa.int64()),
                     pa.array([hashlib.sha256(m).hexdigest() for m in raw], pa.string()), pa.array([d.program for d in got], pa.int32()),
                     pa.array([d.stream_type for d in got], pa.int32()), pa.array([d.packets for d in got], pa.int64()),
-                    pa.array([d.continuity_errors for d in got], pa.int64()), pa.array([min(d.pts, default=None) for d in got], pa.int64()),
+                    pa.array([d.continuity_errors for d in got], pa.int64()), pa.array([d.units for d in got], pa.int64()),
+                    pa.array([d.damaged for d in got], pa.int64()), pa.array([min(d.pts, default=None) for d in got], pa.int64()),
                     pa.array([max(d.pts, default=None) for d in got], pa.int64()),
                     pa.array([[dict(zip(("pts", "packet", "offset"), x, strict=True)) for x in d.access_points] for d in got], points),
                 ]
@@ -239,14 +260,14 @@ def read_media(media: DataFrame, id_col: str = "doc_id", payload: bool = True) -
     return media.select(id_col, "n_bytes", "media").mapInArrow(read, f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, n_bytes long, {READ}" + ", payload binary" * payload)
 
 
-def feature(ticks: int = TICKS) -> Column:
-    """One line on a read stream: packets, units, continuity errors, access points, first and last timestamp."""
-    units = ((F.col("last_pts") - F.col("first_pts")) / ticks + 1).cast("long")
-    return F.format_string("packets=%d;units=%d;cc=%d;rap=%d;pts=%d-%d", "packets", units, "continuity_errors", F.size("access_points"), "first_pts", "last_pts")
+def feature() -> Column:
+    """One line on a read stream: packets, units, damaged units, continuity errors, access points, first and last timestamp."""
+    return F.format_string("packets=%d;units=%d;damaged=%d;cc=%d;rap=%d;pts=%d-%d", "packets", "units", "damaged", "continuity_errors", F.size("access_points"), "first_pts", "last_pts")
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_media(media_column(load(spark, sf_dir, "documents")), payload=False)
+    stored = checkpoint_table(media_column(load(spark, sf_dir, "documents")), "op3-media")
+    read = read_media(stored, payload=False)
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature().alias("feature"))
 
 
