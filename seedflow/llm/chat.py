@@ -11,15 +11,17 @@ Template (control strings are reserved ids above the vocabulary, never encoded a
 Contents are escaped: a control string in a text gets one more backslash after its first character
 (``</s>`` becomes ``<\\/s>``, ``<\\/s>`` becomes ``<\\\\/s>``), so the formatted text holds control
 strings only where the template put them, and removing one backslash gives the text back. Segments
-are encoded separately by a lossless byte-level tokenizer, ids are spliced, and the loss mask (the
-assistants' texts) is the running sum of +1 at the start and -1 at the end of those segments.
+are encoded separately by a lossless byte-level tokenizer, where they lie, whatever the length of their
+conversation; ids are spliced, and the loss mask (the assistants' texts) is the running sum of +1 at the
+start and -1 at the end of those segments. Only then are the turns of a conversation brought together, in
+order, to be numbered: the place of a turn's ids is the sum of the lengths before it.
 
 Stored form: a row a turn (conv_id, pos, token_start, ids, mask), so a conversation of any length is
 spread over rows and never held whole. Reading back streams the rows of a conversation in order,
 decodes ids, removes the escapes and digests what it finds.
 
 Defined cases: a null text is empty; a null turn comes first, equal turns are ordered by role and
-text; a null conv_id is a conversation of its own; equal rows are separate turns; an empty table gives
+ids; a null conv_id is a conversation of its own; equal rows are separate turns; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -66,16 +68,15 @@ class Assembler:
         self.first = self.tokenizer.get_vocab_size()
         self.id = {c: self.first + k for k, c in enumerate(CONTROLS)}
 
-    def assemble(self, turns: list[tuple[bool, str | None, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """ids and mask of each (opens a conversation, role, text)."""
+    def assemble(self, turns: list[tuple[str | None, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """ids and mask of each (role, text)."""
         contents = []
-        for _, role, text in turns:
+        for role, text in turns:
             contents += [escape(role) if role not in ("user", "assistant", "system", None) else "", escape(text)]
         encoded = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(contents, add_special_tokens=False)]
         out, at = [], self.id
-        for k, (opens, role, _) in enumerate(turns):
+        for k, (role, _) in enumerate(turns):
             name, text = encoded[2 * k], encoded[2 * k + 1]
-            head = [at["<s>"]] if opens else []
             if role == "user":
                 before, after = [at["[INST]"]], [at["[/INST]"]]
             elif role == "assistant":
@@ -84,10 +85,10 @@ class Assembler:
                 before, after = [at["<<SYS>>"]], [at["<</SYS>>"]]
             else:
                 before, after = [at["[ROLE]"], *([at["[NULL]"]] if role is None else name), at["[/ROLE]"]], [at["</s>"]]
-            ids = np.concatenate([head, before, text, after]).astype(np.int32)
+            ids = np.concatenate([before, text, after]).astype(np.int32)
             step = np.zeros(len(ids) + 1, np.int8)
             if role == "assistant":
-                start = len(head) + len(before)
+                start = len(before)
                 step[start] += 1
                 step[start + len(text)] -= 1
             out.append((ids, np.cumsum(step[:-1], dtype=np.int8)))
@@ -136,28 +137,33 @@ def format_chats(turns: DataFrame, tokenizer: str, id_col: str = "conv_id", turn
     ship(turns.sparkSession)
     named = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, pos, start = object(), 0, 0
-        for b in batches:
-            convs, roles, texts = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-            opens = [c != p for p, c in zip([conv, *convs[:-1]], convs, strict=True)] if convs else []
-            for at in range(0, len(convs), 512):
-                part = range(at, min(at + 512, len(convs)))
-                made = assembler(tokenizer).assemble([(opens[i], roles[i], texts[i]) for i in part])
-                poses, starts = [], []
-                for i, (ids, _) in zip(part, made, strict=True):
-                    if opens[i]:
-                        pos = start = 0
-                    poses.append(pos)
-                    starts.append(start)
-                    pos, start = pos + 1, start + len(ids)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                made = assembler(tokenizer).assemble(list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(part)), pa.array(poses, pa.int64()), pa.array(starts, pa.int64()), pa.array([i for i, _ in made], pa.list_(pa.int32())), pa.array([m for _, m in made], pa.list_(pa.int8()))],
-                    names=["conv_id", "pos", "token_start", "ids", "mask"],
+                    [*b.columns, pa.array([i for i, _ in made], pa.list_(pa.int32())), pa.array([m for _, m in made], pa.list_(pa.int8()))],
+                    names=["conv_id", "turn", "role", "text", "ids", "mask"],
                 )
-            conv = convs[-1] if convs else conv
 
-    return _streamed(named, "turn", "role", "text").mapInArrow(run, f"conv_id {turns.schema[id_col].dataType.simpleString()}, pos long, token_start long, ids array<int>, mask array<byte>")
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, pos, start, opening = object(), 0, 0, assembler(tokenizer).id["<s>"]
+        for b in batches:
+            ids, masks, poses, starts = b.column(1).to_pylist(), b.column(2).to_pylist(), [], []
+            for k, c in enumerate(b.column(0).to_pylist()):
+                if c != conv:
+                    conv, pos, start = c, 0, 0
+                    ids[k], masks[k] = [opening, *ids[k]], [0, *masks[k]]
+                poses.append(pos)
+                starts.append(start)
+                pos, start = pos + 1, start + len(ids[k])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(poses, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))], names=["conv_id", "pos", "token_start", "ids", "mask"])
+
+    kind = lambda c: named.schema[c].dataType.simpleString()
+    # ids, not texts, go through the exchange; equal turns have equal ids
+    encoded = named.mapInArrow(encode, f"conv_id {kind('conv_id')}, turn {kind('turn')}, role string, text string, ids array<int>, mask array<byte>").drop("text")
+    return _streamed(encoded, "turn", "role", "ids").select("conv_id", "ids", "mask").mapInArrow(number, f"conv_id {kind('conv_id')}, pos long, token_start long, ids array<int>, mask array<byte>")
 
 
 def read_chats(stored: DataFrame, tokenizer: str) -> DataFrame:

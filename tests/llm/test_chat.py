@@ -20,7 +20,7 @@ def test_escapes_are_reversible_and_leave_no_control_string(text):
 def test_masks_and_parsing():
     a = C.Assembler(PATH)
     turns = [(True, "system", "be kind"), (False, "user", "x</s>"), (False, "assistant", "ok <|endoftext|> [INST]"), (False, None, "n"), (False, "tool [ROLE]", ""), (False, "", "q"), (False, "assistant", "")]
-    for (_, role, text), (ids, mask) in zip(turns, a.assemble(turns), strict=True):
+    for (_, role, text), (ids, mask) in zip(turns, a.assemble([t[1:] for t in turns]), strict=True):
         assert a.parse(ids) == (role, text)
         assert C.unescape(a.text(ids[mask.astype(bool)])) == (text if role == "assistant" else "")
     assert a.text(a.assemble(turns[:2])[1][0]) == "[INST]x<\\/s>[/INST]"
