@@ -9,8 +9,7 @@ chain is the model fitted on all training rows.
 Categories of the query, from labels the tables have:
 
 * ``junk``: the label quality is 0;
-* ``insult``: toxic, and among the toxic rows one that holds a term which marks toxic rows (a word of
-  ``MARKED`` toxic rows at least that no more than one in fifty of them-and-clean rows holds when clean);
+* ``toxic_junk``: toxic and of quality 0;
 * ``toxic``: the label toxic; it decides.
 
 Features of a text: the logarithm of 1 + the number of occurrences of each vocabulary term, and of
@@ -21,8 +20,8 @@ For the out-of-fold models the vocabulary is chosen without the held-out fold as
 
 Bounds: at most ``SAMPLE`` labelled texts are used for fitting, those with the smallest hash (a documented
 parameter; all rows are scored). Rows of equal text are one of them: its labels are those of more than
-half of the labelled rows; where they are even, it is of quality and not toxic. Their terms, not their texts, reach the driver, where
-models of ``TERMS`` weights are fitted; the model that goes to the executors has a fixed size.
+half of the labelled rows; where they are even, it is of quality and not toxic. Their terms, not their texts, reach the driver, of
+each text the ``TEXT_TERMS`` that occur most often in it (ties by term), where models of ``TERMS`` weights are fitted; the model that goes to the executors has a fixed size.
 
 Defined cases: a null or wordless text has probability 0 for every category and is not toxic; null
 labels are not used; repeated rows are one training row; with no labelled rows, or only one class of a
@@ -45,14 +44,14 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import load
 
-CATEGORIES = ("junk", "insult", "toxic")
-SAMPLE = 4000
+CATEGORIES = ("junk", "toxic_junk", "toxic")
+#: Labelled texts that are used for fitting, and terms of each.
+SAMPLE, TEXT_TERMS = 4000, 2000
 FOLDS = 4
 TERMS = 400
 LEAST = 5
 STEM = 5
 PER = 200.0
-MARKED = 20
 STEPS = 200
 L2 = 1e-3
 THRESHOLD = 0.5
@@ -180,20 +179,15 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [terms_of(t.as_py()) for t in b.column(3)]
+            got = []
+            for t in b.column(3):
+                n, terms = terms_of(t.as_py())
+                got.append((n, dict(sorted(terms.items(), key=lambda x: (-x[1], x[0]))[:TEXT_TERMS]) if len(terms) > TEXT_TERMS else terms))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([n for n, _ in got], pa.int32()), pa.array([list(t) for _, t in got], pa.list_(pa.string())), pa.array([list(t.values()) for _, t in got], pa.list_(pa.int32()))], names=["quality", "toxic", "hash", "n_words", "terms", "times"])
 
     return chosen.select("quality", "toxic", "hash", "_text").mapInArrow(run, f"quality int, toxic int, hash long, {_COUNTED}")
 
 
-def marking_terms(counts: list[tuple[int, dict]], toxic: np.ndarray) -> set[str]:
-    """Terms of ``MARKED`` toxic rows or more, of which at most one in fifty rows with the term is clean."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for (_, terms), t in zip(counts, toxic, strict=True):
-        seen[int(t)].update(terms.keys())
-    return {t for t, n in seen[1].items() if n >= MARKED and 50 * seen[0][t] <= n + seen[0][t]}
-
-
 def fit_from_tables(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """The chain of ``CATEGORIES`` fitted on the labelled documents."""
     table = labelled_terms(docs, labels, sample).toArrow().sort_by([("hash", "ascending"), ("quality", "ascending"), ("toxic", "ascending")]).combine_chunks()
@@ -208,10 +202,8 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     for r, t, c in zip(row[frequent].tolist(), code[frequent].tolist(), times[frequent].tolist(), strict=True):
         counts[r][1][names[t]] = c
     quality, toxic = (np.array(table.column(c).to_pylist(), int) for c in ("quality", "toxic"))
-    marks = marking_terms(counts, toxic)
-    insult = np.array([bool(t) and not marks.isdisjoint(terms) for t, (_, terms) in zip(toxic, counts, strict=True)], int)
     folds = np.array(table.column("hash").to_pylist(), np.int64) % FOLDS
-    return train_chain(counts, np.column_stack([1 - quality, insult, toxic]).reshape(-1, len(CATEGORIES)), folds)
+    return train_chain(counts, np.column_stack([1 - quality, (1 - quality) * toxic, toxic]).reshape(-1, len(CATEGORIES)), folds)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -46,6 +46,51 @@ def test_chain_feeds_earlier_probabilities_forward():
     assert p.shape == (400, 3) and ((p[:, 2] >= 0.5) == (y[:, 2] == 1)).all()
 
 
+def test_chain_equals_plain_loops():
+    """Out-of-fold probabilities and scores, category by category and row by row, with nothing but single models."""
+    rows = corpus(160, 5)
+    counts = [T.terms_of(t) for _, t, *_ in rows]
+    y = np.array([[1 - q, (1 - q) * x, x] for *_, q, x in rows], int)
+    folds = np.arange(len(rows)) % 3
+    chain = T.train_chain(counts, y, folds)
+
+    def row(i, vocabulary, before):
+        n, terms = counts[i]
+        out = []
+        for t in sorted(vocabulary, key=vocabulary.get):
+            c = terms.get(t, 0)
+            out += [np.log(1 + c), np.log(1 + T.PER * c / n)]
+        return out + before
+
+    held = [[] for _ in rows]
+    for c in range(3):
+        new = [0.0] * len(rows)
+        for f in range(3):
+            inside = [i for i in range(len(rows)) if folds[i] != f]
+            vocabulary = T.choose([counts[i] for i in inside], y[inside, -1])
+            w, b = T.fit(np.array([row(i, vocabulary, held[i]) for i in inside], np.float32), y[inside, c].astype(np.float32))
+            for i in range(len(rows)):
+                if folds[i] == f:
+                    new[i] = 1 / (1 + np.exp(-(sum(a * v for a, v in zip(w, row(i, vocabulary, held[i]), strict=True)) + b)))
+        held = [h + [p] for h, p in zip(held, new, strict=True)]
+    assert np.abs(chain.held_out - np.array(held)).max() < 1e-3
+    scored = []
+    for i in range(len(rows)):
+        p = []
+        for w, b in chain.models:
+            p.append(1 / (1 + np.exp(-(sum(a * v for a, v in zip(w, row(i, chain.vocabulary, p), strict=True)) + b))))
+        scored.append(p)
+    assert np.abs(chain.predict(counts) - np.array(scored)).max() < 1e-4
+
+
+def test_texts_of_many_terms_are_cut_for_fitting_only(spark):
+    long = " ".join(f"t{i}" for i in range(3 * T.TEXT_TERMS)) + " often often"
+    docs = spark.createDataFrame([(1, long), (2, "a few words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    got = sorted(T.labelled_terms(docs, labels).collect(), key=lambda r: len(r["terms"]))
+    assert [len(r["terms"]) for r in got] == [3, T.TEXT_TERMS] and "often" in got[1]["terms"] and got[1]["n_words"] == 3 * T.TEXT_TERMS + 2
+
+
 def test_one_class_and_no_labels(spark, odd, empty, sf_dir):
     rows = T.op4_toxicity(spark, sf_dir).collect()
     assert len(rows) == len(ROWS)
