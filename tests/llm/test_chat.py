@@ -23,7 +23,7 @@ def test_masks_and_parsing():
     for (_, role, text), (ids, mask) in zip(turns, a.assemble([t[1:] for t in turns]), strict=True):
         assert a.parse(ids) == (role, text)
         assert C.unescape(a.text(ids[mask.astype(bool)])) == (text if role == "assistant" else "")
-    assert a.text(a.assemble(turns[:2])[1][0]) == "[INST]x<\\/s>[/INST]"
+    assert a.text(a.assemble([("user", "x</s>")])[0][0]) == "[INST]x<\\/s>[/INST]"
 
 
 def brute(turns):
