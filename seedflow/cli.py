@@ -66,14 +66,7 @@ def load(spark: SparkSession, a: argparse.Namespace) -> Graph:
 
 
 def stored_sets(spark: SparkSession, graph: Graph, a: argparse.Namespace) -> influence.Sets:
-    if a.rr_store_dir:
-        try:
-            rows, drawn = edges.reload_sets(spark, a.rr_store_dir)
-            return influence.Sets(graph, a.diffusion_model, seed=a.seed, stored=rows, drawn=drawn)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    return influence.Sets(graph, a.diffusion_model, seed=a.seed)
+    return edges.reload_sets(graph, a.rr_store_dir, a.diffusion_model, a.seed) if a.rr_store_dir else influence.Sets(graph, a.diffusion_model, seed=a.seed)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[dict]:
@@ -111,18 +104,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     elif a.command == "tim":
         name, run, more = "TIM", lambda: influence.tim(graph, k, a.epsilon, model, a.seed), {"Epsilon": a.epsilon}
     elif a.command == "hill-climbing":
-        name, run = "HillClimbing", lambda: influence.hill_climb(graph, k, a.samples, a.seed)
+        name, run = "HillClimbing", lambda: influence.hill_climb(graph, k, a.samples, a.seed, model=model)
     else:
         labels = edges.read_communities(spark, a.community_map)
 
         def run() -> influence.Result:
             rows = influence.community_imm(graph, labels, k, a.epsilon, model, a.seed).orderBy(F.desc("gain"), "vid").collect()
-            return influence.Result([r["vid"] for r in rows], 0, 0.0, sum(r["gain"] for r in rows))
+            return influence.Result([r["vid"] for r in rows], 0, 0.0, sum(r["gain"] for r in rows), all(r["guaranteed"] for r in rows))
 
         name, more = "CommunityIMM", {"Epsilon": a.epsilon}
     result, ms = timed(run)
     if a.command == "imm" and a.rr_store_dir and sets.drawn > known:
-        edges.store_sets(sets.rows.filter(F.col("sid") >= known), a.rr_store_dir, sets.drawn)
+        edges.store_sets(sets, a.rr_store_dir, known)
     out = [record(name, a.input, a.output, model, k, graph.original_list(result.seeds), ms, result, **more)]
     edges.write_records(out, a.output)
     return out

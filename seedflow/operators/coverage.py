@@ -12,6 +12,8 @@ from ..functions.session import checkpoint
 
 #: Sets with up to this many entries in all (16 bytes each) are brought to the driver for the greedy rounds.
 LOCAL_ENTRIES = 10_000_000
+#: Seeds of up to this many parts are sent to every executor.
+SMALL_PARTS = 100_000
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,32 @@ def uncovered_by(rrr: DataFrame, seed: int) -> DataFrame:
     return rrr.join(rrr.filter(F.col("v") == seed).select("sid"), "sid", "left_anti")
 
 
+def partition(rrr: DataFrame, v: int) -> DataFrame:
+    """sid, holds: whether each set holds ``v``."""
+    return rrr.groupBy("sid").agg(F.bool_or(F.col("v") == int(v)).alias("holds"))
+
+
+def greedy_grouped(rrr: DataFrame, k: DataFrame, most: int) -> DataFrame:
+    """part, rank, v, gain: greedy maximum coverage in every part of ``rrr`` (part, sid, v) on its own; ``k``: part, k; ``most``: the largest k.
+
+    All parts go through a round together, so the number of jobs does not depend on theirs. Ties to the smaller v.
+    """
+    rest, picked = checkpoint(rrr), []
+    for rank in range(1, most + 1):
+        counts = rest.groupBy("part", "v").agg(F.count("*").alias("n"))
+        best = counts.groupBy("part").agg(F.max(F.struct("n", (-F.col("v")).alias("m"))).alias("b"))
+        best = best.join(k, "part").filter(F.col("k") >= rank).select("part", F.lit(rank).alias("rank"), (-F.col("b.m")).alias("v"), F.col("b.n").alias("gain"))
+        picked.append(checkpoint(best))
+        if not picked[-1].count():
+            break
+        covered = rest.join(F.broadcast(picked[-1].select("part", "v")) if picked[-1].count() <= SMALL_PARTS else picked[-1].select("part", "v"), ["part", "v"]).select("part", "sid")
+        rest = checkpoint(rest.join(covered, ["part", "sid"], "left_anti"))
+    out = picked[0]
+    for p in picked[1:]:
+        out = out.union(p)
+    return out
+
+
 def seed_coverage(rrr: DataFrame, seeds: list[int]) -> int:
     """Number of sets that hold any of the seeds."""
     return rrr.filter(F.col("v").isin([int(s) for s in seeds])).select("sid").distinct().count() if seeds else 0
@@ -72,6 +100,8 @@ def greedy_distributed(rrr: DataFrame, k: int, sets: int) -> Greedy:
 
 def max_coverage(rrr: DataFrame, k: int, sets: int, strategy: str = "auto") -> Greedy:
     """Up to k vertices that cover most sets, ties to the smaller one; stops when all sets are covered."""
+    if strategy == "auto":
+        rrr = checkpoint(rrr.select("sid", "v"))  # counted first, and not drawn twice
     local = rrr.count() <= LOCAL_ENTRIES if strategy == "auto" else strategy == "local"
     if not local:
         return greedy_distributed(rrr, k, sets)

@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bounds
+from ..functions.rng import fold, salted
 from ..functions.session import checkpoint
 from ..shipping import ship
-from .coverage import Greedy, max_coverage, seed_coverage
+from .coverage import Greedy, greedy_grouped, max_coverage, seed_coverage
 from .graph import Graph
-from .sampling import batches_of, check_model, reach, reach_ic, rrr_sets, samples
+from .sampling import check_model, live_out, reach, rrr_sets, samples, sets_of_roots, sweep
 
-#: No estimator draws more sets than this, unless told.
+#: No estimator draws more sets than this, unless told; where one would need more, its result says ``guaranteed`` False. None: no limit.
 MAX_SETS = 2_000_000
-MAX_ROUNDS = 40
+#: Candidates that a round of hill climbing evaluates at a time.
+LAZY = 64
 
 
 @dataclass
@@ -30,6 +33,8 @@ class Result:
     sets: int
     fraction: float
     spread: float
+    #: whether as many sets were drawn as the approximation guarantee needs
+    guaranteed: bool = True
     details: dict = field(default_factory=dict)
 
 
@@ -39,12 +44,16 @@ class Sets:
     def __init__(self, graph: Graph, model: str, stream: str = "sample", seed: int = 0, stored: DataFrame | None = None, drawn: int = 0):
         self.graph, self.model, self.stream, self.seed = graph, model, stream, seed
         self.rows, self.drawn = stored, drawn
+        #: milliseconds by phase
+        self.times = {"GenerateRRRSets": [], "FindMostInfluentialSet": []}
 
     def grow(self, theta: int) -> Sets:
         if theta > self.drawn:
+            began = time.perf_counter()
             new = checkpoint(rrr_sets(self.graph, theta, self.model, self.stream, self.seed, start=self.drawn))
             self.rows = new if self.rows is None else self.rows.union(new)
             self.drawn = theta
+            self.times["GenerateRRRSets"].append((time.perf_counter() - began) * 1000)
         return self
 
     def first(self, theta: int) -> DataFrame:
@@ -52,7 +61,18 @@ class Sets:
 
     def greedy(self, k: int, theta: int | None = None) -> Greedy:
         theta = self.drawn if theta is None else min(theta, self.drawn)
-        return max_coverage(self.first(theta), k, theta)
+        began = time.perf_counter()
+        got = max_coverage(self.first(theta), k, theta)
+        self.times["FindMostInfluentialSet"].append((time.perf_counter() - began) * 1000)
+        return got
+
+    def phases(self) -> dict:
+        """Times, and the bytes of the sets at four a member."""
+        return {**self.times, "RRRSetSizeBytes": 4 * self.rows.count() if self.rows is not None else 0}
+
+
+def _most(theta: int, max_sets: int | None) -> int:
+    return theta if max_sets is None else min(theta, max_sets)
 
 
 def _check(graph: Graph, k: int, model: str) -> int:
@@ -64,49 +84,55 @@ def _check(graph: Graph, k: int, model: str) -> int:
     return min(k, graph.n)
 
 
-def imm_sampling(sets: Sets, k: int, eps: float, l: float, max_sets: int) -> tuple[int, float, list[int]]:
-    """Theta, the lower bound, and the sizes that were tried."""
-    n, e, tried = sets.graph.n, math.sqrt(2) * eps, []
-    bound = 0.0
-    for x in range(1, max(int(math.log2(n)), 2)):
-        theta = min(bounds.imm_theta_prime(x, e, l, k, n), max_sets)
+def imm_sampling(sets: Sets, k: int, eps: float, l: float, max_sets: int | None) -> tuple[int, float, list[int], bool]:
+    """Theta, the lower bound, the sizes that were tried, and whether the guarantee holds. Sets that are there already skip the guesses that they suffice for."""
+    n, e, tried, bound = sets.graph.n, math.sqrt(2) * eps, [], 0.0
+    last = max(int(math.log2(n)), 2) - 1
+    x = min(max(int(bounds.imm_inverse_theta_prime(sets.drawn, e, l, k, n)), 1), last) if sets.drawn else 1
+    while x <= last:
+        need = bounds.imm_theta_prime(x, e, l, k, n)
+        theta = _most(need, max_sets)
         tried.append(theta)
-        f = sets.grow(theta).greedy(k).fraction
+        f = sets.grow(theta).greedy(k, theta).fraction
         if f >= 2.0**-x:
             bound = n * f / (1 + e)
             break
-        if theta == max_sets:
+        if theta < need:
             break
-    theta = min(bounds.imm_theta(eps, l, k, bound, n), max_sets) or sets.drawn
+        x += 1
+    need = bounds.imm_theta(eps, l, k, bound, n)
+    theta = _most(need, max_sets) or sets.drawn
     sets.grow(theta)
-    return theta, bound, tried
+    return theta, bound, tried, bool(need) and theta >= need and tried[-1] == bounds.imm_theta_prime(x, e, l, k, n)
 
 
-def imm(graph: Graph, k: int = 10, eps: float = 0.5, model: str = "IC", seed: int = 0, max_sets: int = MAX_SETS, sets: Sets | None = None) -> Result:
+def imm(graph: Graph, k: int = 10, eps: float = 0.5, model: str = "IC", seed: int = 0, max_sets: int | None = MAX_SETS, sets: Sets | None = None) -> Result:
     k = _check(graph, k, model)
     l = 1 + 1 / math.log2(graph.n)
     sets = sets or Sets(graph, model, seed=seed)
-    theta, bound, tried = imm_sampling(sets, k, eps, l, max_sets)
+    theta, bound, tried, sure = imm_sampling(sets, k, eps, l, max_sets)
     got = sets.greedy(k, theta)
-    return Result(got.seeds, theta, got.fraction, got.fraction * graph.n, {"lower_bound": bound, "theta_primes": tried})
+    return Result(got.seeds, theta, got.fraction, got.fraction * graph.n, sure, {"lower_bound": bound, "theta_primes": tried, **sets.phases()})
 
 
-def opimc(graph: Graph, k: int = 10, eps: float = 0.5, delta: float = 0.05, model: str = "IC", seed: int = 0, max_sets: int = MAX_SETS) -> Result:
+def opimc(graph: Graph, k: int = 10, eps: float = 0.5, delta: float = 0.05, model: str = "IC", seed: int = 0, max_sets: int | None = MAX_SETS) -> Result:
     k = _check(graph, k, model)
     n = graph.n
     first, most = bounds.opim_limits(eps, delta, k, n)
     rounds = max(math.ceil(math.log2(most / first)), 1) if most > first else 1
     d = delta / (3 * rounds)
-    r1, r2, theta, alpha = Sets(graph, model, "r1", seed), Sets(graph, model, "r2", seed), min(first, max_sets), 0.0
-    for turn in range(1, MAX_ROUNDS + 1):
+    r1, r2, theta, alpha = Sets(graph, model, "r1", seed), Sets(graph, model, "r2", seed), _most(first, max_sets), 0.0
+    for turn in range(1, rounds + 1):
         got = r1.grow(theta).greedy(k)
         covered = seed_coverage(r2.grow(theta).rows, got.seeds)
         upper = bounds.opim_upper(n, theta, got.fraction * theta, d)
         alpha = bounds.opim_lower(n, theta, covered, d) / upper if upper else 0.0
-        if alpha >= bounds.APPROX - eps or turn >= rounds or theta >= max_sets:
+        if alpha >= bounds.APPROX - eps or (max_sets is not None and theta >= max_sets):
             break
-        theta = min(2 * theta, max_sets)
-    return Result(got.seeds, theta, got.fraction, covered / theta * n, {"alpha": alpha, "rounds": turn, "theta_zero": first, "theta_max": most})
+        if turn < rounds:
+            theta = _most(2 * theta, max_sets)
+    sure = alpha >= bounds.APPROX - eps or theta >= most
+    return Result(got.seeds, theta, got.fraction, covered / theta * n, sure, {"alpha": alpha, "rounds": turn, "theta_zero": first, "theta_max": most, **r1.phases()})
 
 
 def widths(graph: Graph, rrr: DataFrame) -> DataFrame:
@@ -120,102 +146,213 @@ def kpt_mean(graph: Graph, rrr: DataFrame, k: int) -> float:
     return widths(graph, rrr).agg(F.avg(share)).first()[0] or 0.0
 
 
-def tim(graph: Graph, k: int = 10, eps: float = 0.5, model: str = "IC", seed: int = 0, max_sets: int = MAX_SETS) -> Result:
+def tim(graph: Graph, k: int = 10, eps: float = 0.5, model: str = "IC", seed: int = 0, max_sets: int | None = MAX_SETS) -> Result:
     k = _check(graph, k, model)
-    n, kpt = graph.n, 1.0
+    n, kpt, sure = graph.n, 1.0, True
     sets = Sets(graph, model, "r1", seed)
     for i in range(1, max(int(math.log2(n)), 2)):
-        c = min(bounds.tim_kpt_samples(i, n), max_sets)
+        need = bounds.tim_kpt_samples(i, n)
+        c = _most(need, max_sets)
         mean = kpt_mean(graph, sets.grow(c).first(c), k)
-        if mean > 2.0**-i or c == max_sets:
-            kpt = max(n * mean / 2, 1.0)
+        if mean > 2.0**-i or c < need:
+            kpt, sure = max(n * mean / 2, 1.0), c >= need
             break
-    e, refine = bounds.tim_refine(eps, k, n, kpt)
-    refine = min(refine, max_sets)
+    e, need = bounds.tim_refine(eps, k, n, kpt)
+    refine = _most(need, max_sets)
     guess = sets.greedy(k)
     fresh = Sets(graph, model, "r2", seed).grow(refine)
     kpt_plus = max(kpt, seed_coverage(fresh.rows, guess.seeds) / refine * n / (1 + e))
-    theta = min(bounds.tim_theta(eps, k, n, kpt_plus), max_sets)
+    sure = sure and refine >= need
+    need = bounds.tim_theta(eps, k, n, kpt_plus)
+    theta = _most(need, max_sets)
     final = Sets(graph, model, "sample", seed).grow(theta)
     got = final.greedy(k)
-    return Result(got.seeds, theta, got.fraction, got.fraction * n, {"kpt": kpt, "kpt_refined": kpt_plus})
+    return Result(got.seeds, theta, got.fraction, got.fraction * n, sure and theta >= need, {"kpt": kpt, "kpt_refined": kpt_plus, **final.phases()})
 
 
-def community_imm(graph: Graph, labels: DataFrame, k: int = 10, eps: float = 0.5, model: str = "IC", seed: int = 0, max_sets: int = 200_000) -> DataFrame:
-    """vid, community, gain: the k best of the communities' own greedy seeds, by gain (expected vertices in their community).
+def community_imm(graph: Graph, labels: DataFrame, k: int = 10, eps: float = 0.5, model: str = "IC", seed: int = 0, max_sets: int | None = 200_000, strategy: str = "auto") -> DataFrame:
+    """vid, community, gain, guaranteed: the k best of the communities' own greedy seeds, by gain (expected vertices in their community).
 
-    Communities are worked on one after the other, each by distributed sampling; a community of fewer
-    than 3 vertices has no estimate and gives none.
+    All communities go through the guesses of IMM together: set i of a community is drawn from its own
+    root in one graph that holds the edges inside communities, and greedy rounds pick a seed of each, so
+    the number of jobs depends on the largest community's logarithm alone. A community of fewer than 3
+    vertices has no estimate and gives none.
     """
     check_model(model)
     inside = checkpoint(graph.communities(labels))
-    spark, found = inside.sparkSession, []
-    sizes = inside.groupBy("community").agg(F.countDistinct("gsrc", "src").alias("_"), F.max(F.greatest("src", "dst")).alias("top")).select("community", "top")
-    for community, top in sorted(map(tuple, sizes.toLocalIterator())):
-        n = top + 1
-        if n < 3:
-            continue
-        own = inside.filter(F.col("community") == community)
-        ids = own.select(F.col("gsrc").alias("orig"), F.col("src").alias("vid")).union(own.select("gdst", "dst")).distinct()
-        sub = Graph(checkpoint(ids), checkpoint(own.select("src", "dst", "k", "weight", "thr", "eh")))
-        sets = Sets(sub, model, seed=seed)
-        theta, _, _ = imm_sampling(sets, min(k, n), eps, 1 + 1 / math.log2(n), max_sets)
-        got = sets.greedy(min(k, n), theta)
-        names = sub.original_list(got.seeds)
-        found += [(int(v), int(community), g / theta * n) for v, g in zip(names, got.gains, strict=True)]
-    best = sorted(found, key=lambda r: (-r[2], r[0]))[:k]
-    return spark.createDataFrame(best, "vid long, community long, gain double")
-
-
-def marginal_spread(graph: Graph, seeds: list[int], count: int, seed: int = 0, strategy: str = "auto") -> DataFrame:
-    """v, total: over ``count`` live-edge worlds, the number of vertices reached from seeds and v together, for every v not a seed."""
-    spark, n = graph.edges.sparkSession, graph.n
-    worlds = samples(spark, 0, count, "sample", seed)
-    start = np.unique(np.array(seeds, np.int64))
-    if not (graph.fits_csr() if strategy == "auto" else strategy == "local"):
-        seeded = worlds.withColumn("v", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in start]))) if len(start) else None
-        base = reach(graph, seeded, "IC", forward=True).select("sid", "v") if seeded is not None else None
-        others = graph.vertices.select("vid").filter(~F.col("vid").isin(start.tolist()))
-        starts = others.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select((F.col("_s") * n + F.col("vid")).alias("sid"), fold_sample(F.col("_s"), seed).alias("sh"), F.col("vid").alias("v"))
-        got = reach(graph, starts, "IC", forward=True).select((F.col("sid") % n).alias("o"), F.floor(F.col("sid") / n).alias("sid"), "v")
-        got = got.join(base, ["sid", "v"], "left_anti") if base is not None else got
-        shared = base.count() if base is not None else 0
-        gains = got.groupBy(F.col("o").alias("v")).agg(F.count("*").alias("g"))
-        return others.withColumnRenamed("vid", "v").join(gains, "v", "left").select("v", (F.coalesce("g", F.lit(0)) + shared).cast("long").alias("total"))
-    ship(spark)
-    csr = graph.sent_csr("src")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, np.int64)
+    spark = inside.sparkSession
+    whole = Graph(graph.vertices, inside.select(F.col("gsrc").alias("src"), F.col("gdst").alias("dst"), "k", "weight", "thr", "eh"))
+    local = whole.fits_csr() if strategy == "auto" else strategy == "local"
+    names = inside.select("community", F.col("gsrc").alias("v"), F.col("src").alias("local")).union(inside.select("community", "gdst", "dst")).distinct()
+    names = checkpoint(names)
+    sizes = names.groupBy("community").agg(F.count("*").alias("n")).filter("n >= 3")
+    # one row a community: its number, size, and how many sets it has and needs
+    state = {r["community"]: {"n": r["n"], "drawn": 0, "bound": 0.0, "sure": True, "open": True} for r in sizes.toLocalIterator()}
+    if not state:
+        return spark.createDataFrame([], "vid long, community long, gain double, guaranteed boolean")
+    e, rows = math.sqrt(2) * eps, None
+    small = lambda s: (min(k, s["n"]), 1 + 1 / math.log2(s["n"]))
+
+    def grow(need: dict) -> None:
+        """Draw the sets that the communities still need."""
+        nonlocal rows
+        more = [(c, state[c]["n"], state[c]["drawn"], t) for c, t in need.items() if t > state[c]["drawn"]]
+        if not more:
+            return
+        ranges = spark.createDataFrame(pd.DataFrame(more, columns=["community", "n", "start", "stop"]), "community long, n long, start long, stop long")
+        pieces = ranges.withColumn("p", F.explode(F.sequence(F.floor(F.col("start") / 4096), F.floor((F.col("stop") - 1) / 4096)))).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+        drawn = pieces.withColumn("i", F.explode(F.sequence(F.greatest("start", F.col("p") * 4096), F.least("stop", (F.col("p") + 1) * 4096) - 1)))
+        drawn = drawn.withColumn("sh", fold(F.lit(salted("sample", seed)), F.col("i"))).withColumn("local", (fold(F.lit(salted("root")), F.col("sh")) % F.col("n")).cast("long"))
+        rooted = checkpoint(drawn.join(names, ["community", "local"]).select("community", "i", "sh", "v"))
+        # a set's number among all communities': its root's community tells them apart
+        ids = ranges.select("community").withColumn("c", F.row_number().over(Window.orderBy("community")) - 1)
+        keyed = checkpoint(rooted.join(F.broadcast(ids), "community").withColumn("sid", F.col("i") * len(more) + F.col("c")))
+        found = sets_of_roots(whole, keyed.select("sid", "sh", "v"), model, local)
+        new = checkpoint(found.withColumn("c", (F.col("sid") % len(more)).cast("int")).join(F.broadcast(ids), "c").select(F.col("community").alias("part"), F.floor(F.col("sid") / len(more)).alias("sid"), "v"))
+        rows = new if rows is None else rows.union(new)
+        for c, t in need.items():
+            state[c]["drawn"] = max(state[c]["drawn"], t)
+
+    def greedy(thetas: dict) -> DataFrame:
+        """part, rank, v, gain over the first theta sets of each community."""
+        use = spark.createDataFrame(pd.DataFrame([(c, t, small(state[c])[0]) for c, t in thetas.items()], columns=["part", "theta", "k"]), "part long, theta long, k int")
+        return greedy_grouped(rows.join(F.broadcast(use), "part").filter("sid < theta").select("part", "sid", "v"), use.select("part", "k"), max(small(state[c])[0] for c in thetas))
+
+    x = 1
+    while left := {c: s for c, s in state.items() if s["open"] and x < max(int(math.log2(s["n"])), 2)}:
+        need = {c: bounds.imm_theta_prime(x, e, small(s)[1], small(s)[0], s["n"]) for c, s in left.items()}
+        theta = {c: _most(t, max_sets) for c, t in need.items()}
+        grow(theta)
+        covered = dict(map(tuple, greedy(theta).groupBy("part").agg(F.sum("gain")).collect()))
+        for c in left:
+            f = covered.get(c, 0) / theta[c]
+            if f >= 2.0**-x:
+                state[c] |= {"bound": state[c]["n"] * f / (1 + e), "open": False}
+            elif theta[c] < need[c]:
+                state[c] |= {"sure": False, "open": False}
+        x += 1
+    need = {c: bounds.imm_theta(eps, small(s)[1], small(s)[0], s["bound"], s["n"]) for c, s in state.items()}
+    theta = {c: _most(t, max_sets) or state[c]["drawn"] for c, t in need.items()}
+    grow(theta)
+    scale = [(c, t, s["n"], bool(s["sure"] and 0 < need[c] <= t)) for c, t in theta.items() for s in [state[c]]]
+    scales = spark.createDataFrame(pd.DataFrame(scale, columns=["part", "theta", "n", "guaranteed"]), "part long, theta long, n long, guaranteed boolean")
+    best = greedy(theta).join(F.broadcast(scales), "part").select(F.col("v").alias("vid"), F.col("part").alias("community"), (F.col("gain") / F.col("theta") * F.col("n")).alias("gain"), "guaranteed")
+    return best.orderBy(F.desc("gain"), "vid").limit(k)
+
+
+class Spread:
+    """Live-edge worlds with what the seeds chosen so far reach in each; that reach is kept, and grows by the next seed alone.
+
+    ``local``: a world's reach is a bitmap in its row, and 64 candidates go through a world in one sweep of
+    bits. Else the reach is a table (sid, v), and candidates go through frontier joins.
+    """
+
+    def __init__(self, graph: Graph, count: int, seed: int = 0, strategy: str = "auto", model: str = "IC"):
+        check_model(model)
+        self.graph, self.count, self.model, self.seed = graph, count, model, seed
+        self.local = graph.fits_csr() if strategy == "auto" else strategy == "local"
+        worlds = samples(graph.edges.sparkSession, 0, count, "sample", seed)
+        self.total, self.seeds = 0, []
+        if self.local:
+            ship(graph.edges.sparkSession)
+            tasks = max(min(count, 4 * graph.edges.sparkSession.sparkContext.defaultParallelism), 1)
+            self.worlds = worlds.repartition(tasks).withColumn("seen", F.lit(None).cast("binary"))
+            heads = graph.sent_csr("dst")
+            self.arrays = graph.sent_csr("src"), heads
+        else:
+            self.worlds, self.seen = checkpoint(worlds), None
+
+    def _worlds(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """sid, sh, bitmap of what is reached, live tails and heads of every world."""
+        csr, heads = (a.value for a in self.arrays)
+        total, n = np.concatenate([[0], np.cumsum(heads.thr.astype(np.int64))]), csr.n
         for b in batches:
-            for sh in b.column(1).to_numpy():
-                one = np.array([sh])
-                seen = np.zeros(n, bool)
-                shared = len(reach_ic(csr.value, one, np.zeros(len(start), np.int64), start, seen)[1])
-                for part in batches_of(n, n):
-                    v = np.arange(n)[part]
-                    s, _, _ = reach_ic(csr.value, np.full(len(v), sh), np.arange(len(v)), v, np.tile(seen, len(v)))
-                    total[part] += shared + np.bincount(s, minlength=len(v))
-        rest = np.setdiff1d(np.arange(n), start)
-        yield pa.RecordBatch.from_arrays([pa.array(rest), pa.array(total[rest])], names=["v", "total"])
-
-    return worlds.mapInArrow(run, "v long, total long").groupBy("v").agg(F.sum("total").alias("total"))
-
-
-def fold_sample(sid, seed: int = 0):
-    from ..functions.rng import fold, salted
-
-    return fold(salted("sample", seed), sid)
-
-
-def hill_climb(graph: Graph, k: int = 10, count: int = 10_000, seed: int = 0, strategy: str = "auto") -> Result:
-    """Greedy over forward live-edge worlds: min(k, n) seeds, ties to the smaller id."""
-    seeds, total = [], 0
-    for _ in range(min(k, graph.n)):
-        best = marginal_spread(graph, seeds, count, seed, strategy).orderBy(F.desc("total"), "v").first()
-        seeds.append(best["v"])
-        total = best["total"]
-    return Result(seeds, count, 0.0, total / count if count else 0.0)
+            for sid, sh, seen in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                known = np.zeros(n, bool) if seen is None else np.unpackbits(np.frombuffer(seen, np.uint8), count=n).astype(bool)
+                yield sid, sh, known, *live_out(csr, heads, total, sh, self.model)
+
+    def add(self, seed: int) -> None:
+        """One more seed."""
+        self.seeds.append(int(seed))
+        if not self.local:
+            starts = self.worlds.select("sid", "sh", F.lit(int(seed)).cast("long").alias("v"))
+            new = checkpoint(reach(self.graph, starts, self.model, True, self.seen).select("sid", "v"))
+            self.total += new.count()
+            self.seen = new if self.seen is None else self.seen.union(new)
+            return
+        of_worlds = self._bare()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for sid, sh, seen, tail, head in of_worlds._worlds(batches):
+                seen |= sweep(len(seen), tail, head, np.array([seed])) > 0
+                yield pa.RecordBatch.from_arrays([pa.array([sid]), pa.array([sh]), pa.array([np.packbits(seen).tobytes()], pa.binary()), pa.array([int(seen.sum())])], names=["sid", "sh", "seen", "n"])
+
+        grown = checkpoint(self.worlds.mapInArrow(run, "sid long, sh long, seen binary, n long"))
+        self.total = grown.agg(F.sum("n")).first()[0] or 0
+        self.worlds = grown.drop("n")
+
+    def _bare(self) -> Spread:
+        """What tasks need of this object, without DataFrames."""
+        bare = object.__new__(Spread)
+        bare.arrays, bare.model = self.arrays, self.model
+        return bare
+
+    def gains(self, candidates: DataFrame) -> DataFrame:
+        """v, gain: what each candidate (v) reaches beyond the seeds, summed over all worlds."""
+        if not self.local:
+            worlds = candidates.select("v").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(self.count - 1)))) if self.count else candidates.select("v", F.lit(0).alias("_s")).limit(0)
+            starts = worlds.select((F.col("_s") * self.graph.n + F.col("v")).alias("sid"), fold(F.lit(salted("sample", self.seed)), F.col("_s")).alias("sh"), "v")
+            got = reach(self.graph, starts, self.model, True).select((F.col("sid") % self.graph.n).alias("o"), F.floor(F.col("sid") / self.graph.n).alias("sid"), "v")
+            got = got.join(self.seen, ["sid", "v"], "left_anti") if self.seen is not None else got
+            found = got.groupBy(F.col("o").alias("v")).agg(F.count("*").alias("gain"))
+            return candidates.select("v").join(found, "v", "left").select("v", F.coalesce("gain", F.lit(0)).alias("gain"))
+        v = np.sort(candidates.select("v").toArrow().column("v").to_numpy())  # at most as many as the arrays' vertices
+        of_worlds = self._bare()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(v), np.int64)
+            for _, _, seen, tail, head in of_worlds._worlds(batches):
+                for at in range(0, len(v), 64):
+                    some = v[at : at + 64]
+                    mask = sweep(len(seen), tail, head, some)[~seen]
+                    for k in range(len(some)):
+                        total[at + k] += int((mask >> np.uint64(k) & np.uint64(1)).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(total)], names=["v", "gain"])
+
+        return self.worlds.mapInArrow(run, "v long, gain long").groupBy("v").agg(F.sum("gain").alias("gain"))
+
+
+def marginal_spread(graph: Graph, seeds: list[int], count: int, seed: int = 0, strategy: str = "auto", model: str = "IC") -> DataFrame:
+    """v, total: over ``count`` live-edge worlds, the number of vertices reached from seeds and v together, for every v not a seed."""
+    spread = Spread(graph, count, seed, strategy, model)
+    for s in seeds:
+        spread.add(s)
+    others = graph.vertices.select(F.col("vid").alias("v")).filter(~F.col("v").isin([int(s) for s in seeds]))
+    return spread.gains(others).select("v", (F.col("gain") + spread.total).cast("long").alias("total"))
+
+
+def hill_climb(graph: Graph, k: int = 10, count: int = 10_000, seed: int = 0, strategy: str = "auto", model: str = "IC") -> Result:
+    """Greedy over forward live-edge worlds: min(k, n) seeds, ties to the smaller id.
+
+    Gains only fall as seeds are added, so an old gain is a bound: after the first round a round evaluates
+    the ``LAZY`` candidates of the largest bounds again, until the best of them is not below any other bound.
+    """
+    spread = Spread(graph, count, seed, strategy, model)
+    known = checkpoint(spread.gains(graph.vertices.select(F.col("vid").alias("v"))).withColumn("turn", F.lit(0)))
+    evaluated = graph.n
+    for turn in range(min(k, graph.n)):
+        while True:
+            top = known.orderBy(F.desc("gain"), "v").limit(LAZY).collect()
+            if top[0]["turn"] == turn:
+                break
+            stale = [r["v"] for r in top if r["turn"] < turn]
+            evaluated += len(stale)
+            some = graph.edges.sparkSession.createDataFrame([(v,) for v in stale], "v long")
+            fresh = spread.gains(some).withColumn("turn", F.lit(turn))
+            known = checkpoint(known.filter(~F.col("v").isin(stale)).union(fresh))
+        spread.add(top[0]["v"])
+        known = known.filter(F.col("v") != top[0]["v"])
+    return Result(spread.seeds, count, 0.0, spread.total / count if count else 0.0, True, {"Samples": count, "Evaluated": evaluated})
 
 
 def as_frame(graph: Graph, result: Result) -> DataFrame:

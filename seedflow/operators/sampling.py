@@ -135,6 +135,31 @@ def spread_lt(csr: Csr, sh: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray,
     return active.reshape(b, n).sum(axis=1), rounds
 
 
+def live_out(csr: Csr, heads: Csr, total: np.ndarray, sh: int, model: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tails and heads of the live edges of one world, ordered by head. csr by src, heads by dst; total: running sum of heads' thr, from 0."""
+    if model == "LT":
+        v = np.arange(csr.n)
+        ok, parent = lt_parents(heads, total, v, np.full(csr.n, sh, np.uint64))
+        return parent[ok].astype(np.int64), v[ok]
+    on = fold_np(heads.eh, np.full(len(heads.eh), sh, np.uint64)) < heads.thr
+    return heads.to[on].astype(np.int64), np.repeat(np.arange(csr.n), np.diff(heads.indptr))[on]
+
+
+def sweep(n: int, tail: np.ndarray, head: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Up to 64 starts at once: for each vertex, the bits of the starts that reach it along the edges, which are ordered by head."""
+    mask = np.zeros(n, np.uint64)
+    np.bitwise_or.at(mask, starts, np.uint64(1) << np.arange(len(starts), dtype=np.uint64))
+    if not len(head):
+        return mask
+    cut = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+    at = head[cut]
+    while True:
+        new = mask[at] | np.bitwise_or.reduceat(mask[tail], cut)
+        if (new == mask[at]).all():
+            return mask
+        mask[at] = new
+
+
 def batches_of(rows: int, n: int) -> Iterator[slice]:
     step = max(CELLS // max(n, 1), 1)
     return (slice(a, a + step) for a in range(0, rows, step))
@@ -155,9 +180,14 @@ def rrr_sets(graph: Graph, stop: int, model: str = "IC", stream: str = "sample",
         return spark.createDataFrame([], "sid long, v long")
     local = graph.fits_csr() if strategy == "auto" else strategy == "local"
     rooted = samples(spark, start, stop, stream, seed).withColumn("v", root_of(F.col("sh"), graph.n))
+    return sets_of_roots(graph, _tasks(rooted, stop - start) if local else rooted, model, local)
+
+
+def sets_of_roots(graph: Graph, rooted: DataFrame, model: str, local: bool) -> DataFrame:
+    """sid, v: the reverse-reachable set of every row of ``rooted`` (sid, sh, v)."""
     if not local:
         return reach(graph, rooted, model).select("sid", "v")
-    ship(spark)
+    ship(graph.edges.sparkSession)
     csr = graph.sent_csr("dst")
     walk = reach_ic if model == "IC" else reach_lt_back
 
@@ -168,30 +198,33 @@ def rrr_sets(graph: Graph, stop: int, model: str = "IC", stream: str = "sample",
                 s, u, _ = walk(csr.value, sh[part], np.arange(len(sh[part])), v[part])
                 yield pa.RecordBatch.from_arrays([pa.array(sid[part][s]), pa.array(u.astype(np.int64))], names=["sid", "v"])
 
-    return _tasks(rooted, stop - start).mapInArrow(run, "sid long, v long")
+    return rooted.select("sid", "sh", "v").mapInArrow(run, "sid long, v long")
 
 
-def reach(graph: Graph, starts: DataFrame, model: str = "IC", forward: bool = False) -> DataFrame:
-    """sid, v, hop: all that the starts (sid, sh, v) reach against the edges (or along them), by frontier joins.
+def reach(graph: Graph, starts: DataFrame, model: str = "IC", forward: bool = False, seen: DataFrame | None = None) -> DataFrame:
+    """sid, v, hop: all that the starts (sid, sh, v) reach against the edges (or along them), by frontier joins, but for ``seen`` (sid, v).
 
-    The edges are bucketed by the vertex they are looked up by, once; a hop shuffles its frontier, not the graph.
+    The edges are bucketed by the vertex they are looked up by, once; a hop shuffles its frontier, not the
+    graph. Each hop is stored once, as it is found.
     """
     tail, head = ("src", "dst") if forward else ("dst", "src")
     edges = graph.edges if model == "IC" else lt_intervals(graph.edges)
     edges, table = bucketed(edges.select(F.col(tail).alias("v"), F.col(head).alias("_to"), "thr", "eh", *(["lo", "hi"] if model == "LT" else [])), "v")
-    frontier = checkpoint(starts.select("sid", "sh", "v", F.lit(0).alias("hop")).distinct())
+    first = starts.select("sid", "sh", "v", F.lit(0).alias("hop")).distinct()
+    frontier = checkpoint(first.join(seen.select("sid", "v"), ["sid", "v"], "left_anti").select("sid", "sh", "v", "hop") if seen is not None else first)
     visited, hop = frontier.select("sid", "v", "hop"), 0
     while frontier.limit(1).count():
         hop += 1
+        known = visited.select("sid", "v") if seen is None else visited.select("sid", "v").union(seen.select("sid", "v"))
         joined = frontier.select("sid", "sh", "v").join(edges, "v")
         if model == "IC":
             joined = joined.filter(live(edges, F.col("sh")))
         else:
-            coin = vertex_coin(F.col("v"), F.col("sh"))
+            coin = vertex_coin(F.col("_to" if forward else "v"), F.col("sh"))  # the coin of the edge's head
             joined = joined.filter((F.col("lo") <= coin) & (coin < F.col("hi")))
-        new = joined.select("sid", "sh", F.col("_to").alias("v")).distinct().join(visited, ["sid", "v"], "left_anti")
+        new = joined.select("sid", "sh", F.col("_to").alias("v")).distinct().join(known, ["sid", "v"], "left_anti")
         frontier = checkpoint(new.select("sid", "sh", "v", F.lit(hop).alias("hop")))
-        visited = checkpoint(visited.union(frontier.select("sid", "v", "hop")))
+        visited = visited.union(frontier.select("sid", "v", "hop"))
     edges.sparkSession.sql(f"DROP TABLE {table}")
     return visited
 

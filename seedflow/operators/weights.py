@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import ONE, fold, salted
@@ -20,8 +20,10 @@ def edge_coin(purpose: str = "weight", seed: int = 0) -> Column:
     return fold(F.col("eh"), F.lit(salted(purpose, seed)))
 
 
-def constant(edges: DataFrame, mean: float = 0.5, scale: float = 1.0) -> DataFrame:
-    return _weighted(edges, F.lit(float(mean * scale)))
+def constant(edges: DataFrame, mean: float = 0.5) -> DataFrame:
+    if not 0 <= mean <= 1:
+        raise ValueError("a constant weight lies between 0 and 1")
+    return _weighted(edges, F.lit(float(mean)))
 
 
 def uniform(edges: DataFrame, scale: float = 1.0, seed: int = 0) -> DataFrame:
@@ -47,16 +49,28 @@ def weighted_cascade(edges: DataFrame) -> DataFrame:
 
 
 def lt_normalize(edges: DataFrame, by: str = "dst", seed: int = 0) -> DataFrame:
-    """Divide by the sum of the weights at ``by`` plus a draw for "none of them"; by="src" is the compatible form."""
-    rest = fold(F.lit(salted("rest", seed)), F.col(by)) / float(ONE)
-    return _weighted(edges.withColumn("_rest", rest), F.col("weight") / (F.sum("weight").over(Window.partitionBy(by)) + F.col("_rest"))).drop("_rest")
+    """Divide by the sum of the weights at ``by`` plus a draw for "none of them"; by="src" is the compatible form.
+
+    The sum is of integers (``thr``), so it does not depend on the order of the edges; it is an
+    aggregation joined back, so a hub's edges are not gathered in one task.
+    """
+    total = edges.groupBy(by).agg(F.sum("thr").alias("_sum")).withColumn("_total", (F.col("_sum") + fold(F.lit(salted("rest", seed)), F.col(by))) / float(ONE))
+    return _weighted(edges.join(total.drop("_sum"), by), F.col("weight") / F.col("_total")).select(*edges.columns)
 
 
 def quantize(edges: DataFrame, bits: int = 8) -> DataFrame:
-    """Weights as integers of 8 or 16 bits, column ``wq``."""
+    """Weights as integers of 8 or 16 bits, column ``wq``; an edge is then live when the first bits of its coin are at most ``wq``."""
+    return edges.withColumn("wq", quantum(F.col("weight"), bits)).withColumn("thr", quantum_threshold(F.col("wq"), bits))
+
+
+def quantum(weight: Column, bits: int) -> Column:
     if bits not in (8, 16):
         raise ValueError("8 or 16 bits")
-    return edges.withColumn("wq", F.floor(F.col("weight") * float((1 << bits) - 1)).cast("int"))
+    return F.floor(weight * float((1 << bits) - 1)).cast("int")
+
+
+def quantum_threshold(wq: Column, bits: int) -> Column:
+    return (wq.cast("long") + 1) * F.lit(1 << (32 - bits))
 
 
 def undirected(edges: DataFrame, shared: bool = True) -> DataFrame:

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import bounds
 from ..functions.rng import ONE, fold_int, fold_sql, salted
 from ..operators import influence, weights
-from ..operators.coverage import coverage, max_coverage, uncovered_by
+from ..functions.session import fresh_path
+from ..operators.coverage import coverage, max_coverage, partition, uncovered_by
+from ..operators.coverage import seed_coverage as covered_by
 from ..operators.graph import Graph
 from ..operators.sampling import live_edges, live_parents, root_of, rrr_sets, samples, simulate
+from ..sources import edges as stored
 from ..sources import generators, tables
 from ..sources.edges import parse_lines
 
@@ -282,8 +285,7 @@ def max_coverage_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EV + RRR + " SELECT count(DISTINCT sid) AS covered FROM rrr WHERE v IN (0, 1, 2)")
 def seed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rrr = rrr_sets(ev(spark, sf_dir), THETA)
-    return rrr.filter(F.col("v").isin(0, 1, 2)).agg(F.countDistinct("sid").alias("covered"))
+    return spark.createDataFrame([(covered_by(rrr_sets(ev(spark, sf_dir), THETA), [0, 1, 2]),)], "covered long")
 
 
 @query(EV + RRR + ", L AS MATERIALIZED (SELECT sid, v FROM rrr) SELECT v, count(*) AS covered FROM L WHERE sid NOT IN (SELECT sid FROM L WHERE v = 0) GROUP BY v")
@@ -293,7 +295,7 @@ def coverage_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EV + RRR + ", L AS MATERIALIZED (SELECT sid, v FROM rrr) SELECT sid IN (SELECT sid FROM L WHERE v = 0) AS holds, count(DISTINCT sid) AS sets FROM L GROUP BY 1")
 def partition_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rrr_sets(ev(spark, sf_dir), THETA).groupBy("sid").agg(F.bool_or(F.col("v") == 0).alias("holds")).groupBy("holds").agg(F.count("*").alias("sets"))
+    return partition(rrr_sets(ev(spark, sf_dir), THETA), 0).groupBy("holds").agg(F.count("*").alias("sets"))
 
 
 @query(EV + _samples_sql("S", REPLICAS, "simulation") + f""", hop AS (
@@ -305,7 +307,17 @@ def sim_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate(ev(spark, sf_dir), [0, 1, 2], REPLICAS)
 
 
-@query()
+def _lt_rounds_sql(seeds: list[int], most: int = 40) -> str:
+    """Rounds one after the other: a vertex joins when the weights of its active tails reach its coin. The graph's activity ends long before the last one."""
+    out = VHASH + f", a0 AS MATERIALIZED (SELECT sid, sh, v, 0 AS h FROM S, (VALUES {', '.join(f'({s})' for s in seeds)}) t(v))"
+    for i in range(1, most + 1):
+        out += f""", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION ALL SELECT sid, sh, dst, {i} FROM (
+  SELECT t.*, {fold_sql('vh', 't.sh')} AS c FROM (SELECT sid, sh, dst, sum(thr) AS w FROM a{i - 1} JOIN E ON src = v GROUP BY sid, sh, dst) t
+  JOIN P ON vid = dst LEFT JOIN a{i - 1} o ON o.sid = t.sid AND o.v = t.dst WHERE o.v IS NULL) WHERE w >= c)"""
+    return out + f" SELECT sid AS replica, count(*) AS activated, (max(h) + 1)::BIGINT AS rounds FROM a{most} GROUP BY sid"
+
+
+@query(EV + _samples_sql("S", REPLICAS, "simulation") + _lt_rounds_sql([0, 1, 2]))
 def sim_lt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate(ev(spark, sf_dir), [0, 1, 2], REPLICAS, "LT")
 
@@ -331,6 +343,40 @@ def hc_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return influence.as_frame(g, influence.hill_climb(g, 2, 4))
 
 
+CLOSURE_LT = _samples_sql("S", 4, "sample") + VHASH + f""", T AS (
+  SELECT sid, sh, vid AS o, vid AS v FROM S, V
+  UNION
+  SELECT sid, sh, o, dst FROM (SELECT T.sid, T.sh, T.o, I.dst, I.hi, I.thr, {fold_sql('vh', 'T.sh')} AS c FROM T JOIN I ON I.src = T.v JOIN P ON vid = I.dst) WHERE c < hi AND c >= hi - thr
+), Z AS MATERIALIZED (SELECT sid, o, v FROM T)"""
+
+
+@query(ORACLES["hc_k2"].replace(CLOSURE, CLOSURE_LT))
+def hc_lt_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ev(spark, sf_dir)
+    return influence.as_frame(g, influence.hill_climb(g, 2, 4, model="LT"))
+
+
+@query(EV + RRR + " SELECT sid, count(*) AS size FROM rrr GROUP BY sid")
+def rrr_store_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the sets are stored; the store is opened again and grows by the other half, which is stored as well."""
+    g, path = ev(spark, sf_dir), fresh_path(spark, "rrr-store")
+    stored.store_sets(stored.reload_sets(g, path, "IC").grow(THETA // 2), path)
+    again = stored.reload_sets(g, path, "IC")
+    stored.store_sets(again.grow(THETA), path, THETA // 2)
+    return stored.reload_sets(g, path, "IC").rows.groupBy("sid").agg(F.count("*").alias("size"))
+
+
+U8 = ", QE AS MATERIALIZED (SELECT src, dst, k, eh, (floor(1.0::DOUBLE / count(*) OVER (PARTITION BY dst) * 255)::BIGINT + 1) * 16777216 AS thr FROM E)"
+
+
+@query(EV + U8 + RRR.replace("JOIN E ON E.dst", "JOIN QE ON QE.dst").replace(" E.src", " QE.src") + " SELECT sid, count(*) AS size FROM rrr GROUP BY sid")
+def rrr_sizes_ic_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights stored as integers of 8 bits, read again and sampled from."""
+    path = fresh_path(spark, "graph-u8")
+    stored.write_graph(ev(spark, sf_dir), path, bits=8)
+    return rrr_sets(stored.reload_graph(spark, path), THETA).groupBy("sid").agg(F.count("*").alias("size"))
+
+
 @query()
 def imm(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ev(spark, sf_dir)

@@ -18,7 +18,10 @@ def record(algorithm: str, source: str, output: str, model: str, k: int, seeds:
     """Keys of an experiment; seeds are original ids, times milliseconds."""
     out = {"Algorithm": algorithm, "Input": source, "Output": output, "DiffusionModel": model, "K": k, "L": 1, "Total": total_ms, "Seeds": seeds}
     if algorithm in ("IMM", "OPIMC", "TIM"):
-        out |= {"Theta": result.sets, "RRRSetsGenerated": result.sets, "CoveredFraction": result.fraction, "Spread": result.spread}
+        out |= {"Theta": result.sets, "RRRSetsGenerated": result.sets, "CoveredFraction": result.fraction, "Spread": result.spread, "Guaranteed": result.guaranteed}
+        out |= {k: result.details[k] for k in ("GenerateRRRSets", "FindMostInfluentialSet", "RRRSetSizeBytes") if k in result.details}
+    if algorithm == "HillClimbing":
+        out |= {"Samples": result.sets, "Spread": result.spread, "Evaluated": result.details["Evaluated"]}
     if algorithm == "IMM":
         out["ThetaPrimes"] = result.details.get("theta_primes", [])
     if algorithm == "OPIMC":

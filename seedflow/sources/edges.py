@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import weights
 from ..operators.graph import Graph
+from ..operators.influence import Sets
 
 EDGES = "src long, dst long, weight double"
 
@@ -22,7 +23,11 @@ def parse_lines(lines: DataFrame, weighted: bool, column: str = "value") -> Data
     """
     kept = lines.filter((F.trim(F.col(column)) != "") & ~F.col(column).rlike("[%#]"))
     part = F.split(F.trim(F.regexp_replace(F.col(column), r"\s+", " ")), " ")
-    return kept.select(F.get(part, F.lit(0)).cast("long").alias("src"), F.get(part, F.lit(1)).cast("long").alias("dst"), (F.get(part, F.lit(2)).cast("double") if weighted else F.lit(None).cast("double")).alias("weight"))
+
+    def field(at: int, kind: str):
+        return F.coalesce(F.get(part, F.lit(at)).cast(kind), F.raise_error(F.concat(F.lit("an edge lacks a field: "), F.col(column))).cast(kind))
+
+    return kept.select(field(0, "long").alias("src"), field(1, "long").alias("dst"), (field(2, "double") if weighted else F.lit(None).cast("double")).alias("weight"))
 
 
 def read_edges(spark: SparkSession, path: str, weighted: bool = False, undirected: bool = False, scale: float = 1.0) -> DataFrame:
@@ -42,18 +47,19 @@ def load_graph(spark: SparkSession, path: str, weighted: bool = False, undirecte
     graph = Graph.build(read_edges(spark, path, weighted, undirected, scale if weighted else 1.0), renumber)
     if weighted:
         return graph
-    how = {"uniform": {"scale": scale, "seed": seed}, "normal": {"mean": mean, "deviation": deviation, "scale": scale, "seed": seed}, "const": {"mean": mean, "scale": scale}}.get(distribution)
+    how = {"uniform": {"scale": scale, "seed": seed}, "normal": {"mean": mean, "deviation": deviation, "scale": scale, "seed": seed}, "const": {"mean": mean}}.get(distribution)
     if how is None:
         raise ValueError(f"unsupported distribution: {distribution}")
     edges = weights.assign(graph.edges, distribution, **how)
     return graph.with_weights(weights.lt_normalize(edges, normalize_by, seed) if model == "LT" else edges)
 
 
-def write_graph(graph: Graph, path: str) -> None:
-    """Store vertices and edges as Parquet, and what they are as JSON."""
+def write_graph(graph: Graph, path: str, bits: int | None = None) -> None:
+    """Store vertices and edges as Parquet, and what they are as JSON; ``bits`` (8 or 16): weights as integers of so many bits."""
     graph.vertices.write.parquet(f"{path}/vertices")
-    graph.edges.write.parquet(f"{path}/edges")
-    meta = [(json.dumps({"format": "seedflow-graph-1", "direction": graph.direction, "weight": "double", "vertices": graph.n, "edges": graph.m}),)]
+    edges = graph.edges if bits is None else graph.edges.withColumn("weight", weights.quantum(F.col("weight"), bits).cast("short" if bits == 8 else "int")).drop("thr")
+    edges.write.parquet(f"{path}/edges")
+    meta = [(json.dumps({"format": "seedflow-graph-1", "direction": graph.direction, "weight": "double" if bits is None else f"uint{bits}", "vertices": graph.n, "edges": graph.m}),)]
     graph.edges.sparkSession.createDataFrame(meta, "value string").coalesce(1).write.text(f"{path}/meta")
 
 
@@ -62,11 +68,16 @@ def reload_graph(spark: SparkSession, path: str, direction: str | None = None, s
     if scale > 1:
         raise ValueError("scale_factor must not exceed 1")
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    if meta.get("format") != "seedflow-graph-1" or meta.get("weight") != "double":
+    kinds = {"double": None, "uint8": 8, "uint16": 16}
+    if meta.get("format") != "seedflow-graph-1" or meta.get("weight") not in kinds:
         raise ValueError(f"not a stored graph: {path}")
     if direction and meta["direction"] != direction:
         raise ValueError(f"the stored graph is {meta['direction']}")
-    edges = spark.read.parquet(f"{path}/edges")
+    edges, bits = spark.read.parquet(f"{path}/edges"), kinds[meta["weight"]]
+    if bits:
+        if scale != 1:
+            raise ValueError("stored integers cannot be scaled")
+        edges = edges.withColumn("thr", weights.quantum_threshold(F.col("weight"), bits)).withColumn("weight", F.col("weight") / float((1 << bits) - 1))
     graph = Graph(spark.read.parquet(f"{path}/vertices"), edges, meta["direction"])
     if scale != 1:
         from ..operators.graph import threshold
@@ -99,14 +110,51 @@ def read_communities(spark: SparkSession, path: str, first: int = 1) -> DataFram
     return whole.select(F.posexplode(part)).filter("col <> ''").select((F.col("pos") + first).cast("long").alias("orig"), F.col("col").cast("long").alias("community"))
 
 
-def store_sets(rrr: DataFrame, path: str, drawn: int) -> None:
-    """Append a store of reverse-reachable sets; ``drawn`` is the number of sets so far."""
-    rrr.write.mode("append").parquet(f"{path}/sets")
-    rrr.sparkSession.createDataFrame([(drawn,)], "drawn long").coalesce(1).write.mode("overwrite").parquet(f"{path}/drawn")
+def fingerprint(graph: Graph, model: str, seed: int, stream: str = "sample") -> dict:
+    """What a set depends on: the edges (a sum of hashes, whatever their order), their number, the model, the seed and the stream."""
+    total = graph.edges.agg(F.sum(F.xxhash64("src", "dst", "k", "thr").cast("decimal(38,0)"))).first()[0]
+    return {"format": "seedflow-sets-2", "edges": str(total or 0), "n": graph.n, "m": graph.m, "model": model, "seed": seed, "stream": stream}
+
+
+def store_sets(sets: Sets, path: str, since: int = 0) -> None:
+    """Add the sets ``since`` to ``sets.drawn - 1`` to a store. A range is a folder that is written whole; written again, it replaces itself."""
+    spark, mark = sets.graph.edges.sparkSession, fingerprint(sets.graph, sets.model, sets.seed, sets.stream)
+    _check_mark(spark, path, mark)
+    if since == 0:
+        spark.createDataFrame([(json.dumps(mark),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/mark")
+    if sets.drawn > since:
+        sets.rows.filter((F.col("sid") >= since) & (F.col("sid") < sets.drawn)).write.mode("overwrite").parquet(f"{path}/sets/start={since}/stop={sets.drawn}")
+
+
+def _check_mark(spark: SparkSession, path: str, mark: dict) -> bool:
+    """Whether there is a store; one of other sets raises ValueError."""
+    try:
+        found = json.loads(spark.read.text(f"{path}/mark").first()[0])
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return False
+    if found != mark:
+        raise ValueError(f"the stored sets are of another graph, model or seed: {[k for k in mark if mark[k] != found.get(k)]}")
+    return True
 
 
-def reload_sets(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    return spark.read.parquet(f"{path}/sets"), spark.read.parquet(f"{path}/drawn").first()[0]
+def reload_sets(graph: Graph, path: str, model: str, seed: int = 0, stream: str = "sample") -> Sets:
+    """The stored sets of this graph, model and seed (none where there is no store), as many as follow each other from 0."""
+    spark = graph.edges.sparkSession
+    if not _check_mark(spark, path, fingerprint(graph, model, seed, stream)):
+        return Sets(graph, model, stream, seed)
+    try:
+        rows = spark.read.schema("sid long, v long, start long, stop long").parquet(f"{path}/sets")
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return Sets(graph, model, stream, seed)
+    drawn, used = 0, []
+    for start, stop in sorted(map(tuple, rows.select("start", "stop").distinct().collect())):
+        if start == drawn:
+            drawn, used = stop, [*used, start]
+    return Sets(graph, model, stream, seed, rows.filter(F.col("start").isin(used) & (F.col("sid") < drawn)).select("sid", "v").distinct(), drawn)
 
 
 def write_records(records: list[dict], path: str) -> None:

@@ -177,3 +177,112 @@ def test_command_line(spark, tmp_path, club_edges):
     assert len(json.loads((tmp_path / "sim.json").read_text())[0]["Simulations"]) == 7
     cli.main(["dump-graph", "-i", str(path), "-w", "-o", str(tmp_path / "dump"), "--transpose"], spark)
     assert spark.read.text(str(tmp_path / "dump")).count() == 78
+
+
+def _live(edges, sid, model):
+    """The live edges of one world, edge by edge; edges: rows of Graph.edges."""
+    from seedflow.functions.rng import fold_int, salted
+
+    sh = fold_int(salted("sample"), sid)
+    if model == "IC":
+        return [(e["src"], e["dst"]) for e in edges if fold_int(e["eh"], sh) < e["thr"]]
+    out = []
+    for v in sorted({e["dst"] for e in edges}):
+        coin, low = fold_int(fold_int(salted("vertex"), v), sh), 0
+        for e in sorted((e for e in edges if e["dst"] == v), key=lambda e: (e["src"], e["k"])):
+            if low <= coin < low + e["thr"]:
+                out.append((e["src"], v))
+            low += e["thr"]
+    return out
+
+
+def _reached(live, starts):
+    seen, todo = set(starts), list(starts)
+    while todo:
+        u = todo.pop()
+        for a, b in live:
+            if a == u and b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
+@pytest.mark.parametrize("model", ["IC", "LT"])
+def test_hill_climbing_equals_plain_greedy(spark, club, model):
+    from seedflow.operators import weights
+    from seedflow.operators.influence import hill_climb
+
+    g = club.with_weights(weights.weighted_cascade(club.edges))
+    edges, worlds = g.edges.collect(), 6
+    live, seeds = [_live(edges, s, model) for s in range(worlds)], []
+    for _ in range(4):
+        total = {v: sum(len(_reached(w, [*seeds, v])) for w in live) for v in range(g.n) if v not in seeds}
+        seeds.append(min(total, key=lambda v: (-total[v], v)))
+    got = hill_climb(g, 4, worlds, model=model)
+    assert got.seeds == seeds and got.spread * worlds == sum(len(_reached(w, seeds)) for w in live)
+    assert hill_climb(g, 2, worlds, model=model, strategy="frontier").seeds == seeds[:2]
+
+
+def test_stored_sets_know_what_they_are_of(spark, club, tmp_path):
+    from seedflow.operators import weights
+    from seedflow.operators.influence import Sets, imm
+    from seedflow.sources import edges as E
+
+    path, g = str(tmp_path / "store"), club.with_weights(weights.weighted_cascade(club.edges))
+    first = E.reload_sets(g, path, "IC").grow(40)
+    assert first.drawn == 40
+    E.store_sets(first, path)
+    E.store_sets(first, path)  # written again, a range replaces itself
+    again = E.reload_sets(g, path, "IC")
+    assert again.drawn == 40 and again.rows.count() == first.rows.count()
+    E.store_sets(again.grow(70), path, 40)
+    third = E.reload_sets(g, path, "IC")
+    assert third.drawn == 70 and sorted(map(tuple, third.rows.collect())) == sorted(map(tuple, Sets(g, "IC").grow(70).rows.collect()))
+    for other, model, seed in ((club, "IC", 0), (g, "LT", 0), (g, "IC", 1)):
+        with pytest.raises(ValueError):
+            E.reload_sets(other, path, model, seed)
+    assert imm(g, 2, sets=third).seeds and third.drawn >= 70
+
+
+def test_capped_estimates_say_so(club):
+    from seedflow.operators import weights
+    from seedflow.operators.influence import imm, opimc, tim
+
+    g = club.with_weights(weights.weighted_cascade(club.edges))
+    for run in (imm, opimc, tim):
+        assert run(g, 2, 0.5).guaranteed and not run(g, 2, 0.1, max_sets=20).guaranteed
+
+
+def test_communities_together_equal_each_alone(spark, club):
+    from seedflow.operators import weights
+    from seedflow.operators.influence import community_imm
+    from tests.conftest import LABELS
+
+    g = club.with_weights(weights.weighted_cascade(club.edges))
+    labels = spark.createDataFrame([(i + 1, int(c)) for i, c in enumerate(LABELS.split())], "orig long, community long")
+    together = {(r["vid"], r["community"], round(r["gain"], 9)) for r in community_imm(g, labels, 3).collect()}
+    alone = []
+    for c in range(4):
+        alone += [(r["vid"], r["community"], round(r["gain"], 9)) for r in community_imm(g, labels.filter(f"community = {c}"), 3).collect()]
+    assert together == set(sorted(alone, key=lambda r: (-r[2], r[0]))[:3])
+
+
+def test_bit_sweep_is_reachability():
+    from seedflow.operators.sampling import sweep
+
+    rng = np.random.default_rng(3)
+    tail, head = rng.integers(0, 40, 90), np.sort(rng.integers(0, 40, 90))
+    starts = np.arange(40)
+    mask = sweep(40, tail, head, starts)
+    for s in starts:
+        assert {v for v in range(40) if int(mask[v]) >> int(s) & 1} == _reached(list(zip(tail.tolist(), head.tolist(), strict=True)), [int(s)])
+
+
+def test_short_lines_raise(spark):
+    from seedflow.sources.edges import parse_lines
+
+    lines = lambda *t: spark.createDataFrame([(x,) for x in t], "value string")
+    assert parse_lines(lines("1 2 0.5 x", "", "# 1"), True).count() == 1
+    for bad, weighted in (("1", False), ("1 2", True)):
+        with pytest.raises(Exception, match="lacks a field"):
+            parse_lines(lines(bad), weighted).collect()
