@@ -37,6 +37,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet in the shared folder: cuts the lineage, and columns stay prunable."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
     """The rows as a table bucketed and sorted by ``key`` in the warehouse, and its name, to be dropped after use.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import fold, fold_np, salted
-from ..functions.session import bucketed, checkpoint
+from ..functions.session import bucketed, checkpoint, stored
 from ..shipping import ship
 from .graph import Csr, Graph
 
@@ -223,7 +223,7 @@ def reach(graph: Graph, starts: DataFrame, model: str = "IC", forward: bool = Fa
             coin = vertex_coin(F.col("_to" if forward else "v"), F.col("sh"))  # the coin of the edge's head
             joined = joined.filter((F.col("lo") <= coin) & (coin < F.col("hi")))
         new = joined.select("sid", "sh", F.col("_to").alias("v")).distinct().join(known, ["sid", "v"], "left_anti")
-        frontier = checkpoint(new.select("sid", "sh", "v", F.lit(hop).alias("hop")))
+        frontier = stored(new.select("sid", "sh", "v", F.lit(hop).alias("hop")), "frontier")
         visited = visited.union(frontier.select("sid", "v", "hop"))
     edges.sparkSession.sql(f"DROP TABLE {table}")
     return visited
