@@ -7,7 +7,7 @@ Line rules (a line without a word is neutral and stays as layout):
 * punctuation: the line ends with a sentence mark, or has ``LONG_LINE`` words and a sentence mark
   followed by a space (text that was cut inside a sentence);
 * navigation: at most ``NAV_WORDS`` words and either two separators ``| > » ·`` standing between
-  spaces, or a first word and a whole that are a menu phrase;
+  spaces, or a first word and a whole that are a menu phrase (in English, German, French or Spanish);
 * boilerplate: the line holds one of the fixed phrases below, whatever the case of its letters.
 
 A document is kept when the base rules hold and the kept lines hold at least ``1 - MAX_LOSS`` of the
@@ -33,18 +33,38 @@ LONG_LINE = 10
 NAV_WORDS = 12
 SYMBOLS = "[#*$%&|<>]"
 
-#: Fixed phrases of page furniture.
-BOILERPLATE = [
-    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "accept cookies",
-    "enable javascript", "javascript is disabled", "lorem ipsum", "subscribe to our newsletter", "sign up for our newsletter",
-]
-MENU = ["home", "menu", "login", "log in", "sign in", "sign up", "next", "previous", "back to top", "read more", "click here", "skip to content", "share this", "search"]
+#: Phrases of page furniture, by language of the corpus; every rule applies to every text, whatever its label.
+BOILERPLATE = {
+    "en": [
+        "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "accept cookies",
+        "enable javascript", "javascript is disabled", "lorem ipsum", "subscribe to our newsletter", "sign up for our newsletter",
+    ],
+    "de": [
+        "alle rechte vorbehalten", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "cookie-richtlinie",
+        "verwendet cookies", "cookies akzeptieren", "javascript aktivieren", "javascript ist deaktiviert", "newsletter abonnieren", "newsletter anmelden",
+    ],
+    "fr": [
+        "tous droits réservés", "conditions d'utilisation", "mentions légales", "politique de confidentialité", "utilise des cookies",
+        "accepter les cookies", "activer javascript", "javascript est désactivé", "abonnez-vous à notre newsletter", "inscrivez-vous à notre newsletter",
+    ],
+    "es": [
+        "todos los derechos reservados", "condiciones de uso", "términos de uso", "aviso legal", "política de privacidad", "política de cookies",
+        "utiliza cookies", "aceptar cookies", "activar javascript", "javascript está desactivado", "suscríbete a nuestro boletín",
+    ],
+}
+#: Whole lines of menus.
+MENU = {
+    "en": ["home", "menu", "login", "log in", "sign in", "sign up", "next", "previous", "back to top", "read more", "click here", "skip to content", "share this", "search"],
+    "de": ["startseite", "menü", "anmelden", "einloggen", "registrieren", "weiter", "zurück", "nach oben", "weiterlesen", "mehr lesen", "hier klicken", "zum inhalt springen", "teilen", "suche", "suchen", "impressum"],
+    "fr": ["accueil", "connexion", "se connecter", "s'inscrire", "suivant", "précédent", "haut de page", "lire la suite", "en savoir plus", "cliquez ici", "aller au contenu", "partager", "rechercher"],
+    "es": ["inicio", "menú", "iniciar sesión", "registrarse", "siguiente", "anterior", "volver arriba", "leer más", "haga clic aquí", "saltar al contenido", "compartir", "buscar"],
+}
 
 ENDS = r"[.!?:;…。！？][\x22\x27”’»)\]]*[\x20\x09-\x0D]*$"
 INSIDE = r"[.!?…][\x22\x27”’»)\]]*[\x20\x09]"
 SEPARATED = r"[\x20\x09][|>»·][\x20\x09].*[\x20\x09][|>»·][\x20\x09]"
-_MENU = rf"^[{SPACE}]*(?:" + "|".join(MENU) + rf")[{SPACE}.:>»]*$"
-_BOILER = "|".join(BOILERPLATE)
+_MENU = rf"^[{SPACE}]*(?:" + "|".join(p for ps in MENU.values() for p in ps) + rf")[{SPACE}.:>»]*$"
+_BOILER = "|".join(p for ps in BOILERPLATE.values() for p in ps)
 
 
 def count_words(text: Column) -> Column:

@@ -47,6 +47,9 @@ def test_line_rules(spark):
         "This is a plain sentence.": True, "He said “stop!”": True, "A heading without an end": False, "Home": False, "Home | News | Sport | More.": False,
         "Read more.": False, "All rights reserved.": False, "We use cookies to make this site better for all of you who read it.": False,
         "One sentence ends here. And then another one begins but it is cut in the mid": True, "a | b.": True, "Ça va bien ?": True,
+        "Alle Rechte vorbehalten.": False, "Zurück": False, "Weiterlesen.": False, "Die Suche nach dem Weg zurück war lang.": True,
+        "Tous droits réservés.": False, "Lire la suite...": False, "Il va lire la suite du livre.": True,
+        "Todos los derechos reservados.": False, "Iniciar sesión.": False, "Al inicio no pasa nada.": True,
     }
     got = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in lines], "x string").select("x", Q.line_ok(F.col("x"))).collect()}
     assert got == lines
