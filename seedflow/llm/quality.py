@@ -110,12 +110,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = lambda line: line.rlike(f"[^{SPACE}]")
     judged = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), has_word(x).alias("word"), (~has_word(x) | line_ok(x)).alias("ok")))
-    one = docs.select(F.col(id_col), text.alias("_t"), judged.alias("_lines")).select(
+    counted = bound(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("repeated")))
+    one = docs.select(F.col(id_col), text.alias("_t"), judged.alias("_lines"), counted.alias("_words")).select(
         id_col, "_lines",
-        F.size(F.regexp_extract_all("_t", F.lit(WORD), 0)).cast("long").alias("n_words"),
+        F.col("_words")["n"].alias("n_words"),
         F.char_length(F.regexp_replace("_t", f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        repeated_words(F.regexp_extract_all("_t", F.lit(WORD), 0)).cast("long").alias("n_repeat_words"),
+        F.col("_words")["repeated"].alias("n_repeat_words"),
     )
     two = one.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_repeat_words",
