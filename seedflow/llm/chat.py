@@ -217,5 +217,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(spark.read.parquet(path), tokenizer)
 
 
+_SQL_PROBE = f"SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'"
+#: A text's escapes are one more character for each control string in it, backslashes or none after its first character.
+_SQL_ESCAPES = "len(regexp_extract_all({text}, '[<\\[]\\\\*(?:" + _TAIL.replace("'", "''") + ")'))"
+_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL {_SQL_PROBE}),
+sized AS (
+  SELECT conv_id, turn, role, text, length(text) + {_SQL_ESCAPES.format(text="text")} AS chars,
+    length(role) + {_SQL_ESCAPES.format(text="role")} AS role_chars
+  FROM turns),
+marked AS (
+  SELECT *, chars + CASE role WHEN 'user' THEN {len("[INST]" + "[/INST]")} WHEN 'assistant' THEN {len("[ANS]" + "</s>")} WHEN 'system' THEN {len("<<SYS>>" + "<</SYS>>")}
+    ELSE {len("[ROLE]" + "[/ROLE]" + "</s>")} + coalesce(role_chars, {len("[NULL]")}) END AS formatted
+  FROM sized)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(formatted) + {len("<s>")})::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
 QUERIES = {"op10_chat_format": op10_chat_format}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_chat_format": _SQL}
