@@ -11,6 +11,8 @@ Encoding: white space parts words in this tokenizer and is dropped, so a text's
 chunks between ASCII white space, in order. Each worker keeps the chunks it has encoded (at most
 ``KEPT`` of them, then it starts anew) and puts a batch together with array gathers.
 
+Tokenizers of another kind, for which this would not hold, raise ValueError.
+
 Defined cases: a null text is empty and has the end id alone; equal rows are stored as often as they
 occur; null ids come first; an empty table gives an empty result; other columns are not read. A task
 holds one Arrow batch.
@@ -18,6 +20,7 @@ holds one Arrow batch.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -41,6 +44,9 @@ STRIPE_BYTES = 32 << 20
 #: Sums of up to this many parts are sent to every executor.
 BROADCAST_PARTS = 100_000
 
+#: The steps before BPE, in order, of a tokenizer whose texts may be encoded in chunks between white space.
+STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+
 #: A full stop or comma after an ASCII letter or digit, before white space.
 _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
 
@@ -54,12 +60,26 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.check(json.loads(self.tokenizer.to_str()))
         self.kept = kept
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
+    @staticmethod
+    def check(made: dict) -> None:
+        """White space must part words and vanish, and words must end in a token of their own."""
+        steps = [s for part, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for s in (made[part] or {}).get(of, [])]
+        replace, split = ([s for s in steps if s["type"] == t] for t in ("Replace", "Split"))
+        if (
+            [s["type"] for s in steps] != STEPS
+            or (replace[0]["pattern"], replace[0]["content"]) != ({"Regex": r"\s+"}, " ")
+            or (split[0]["behavior"], split[0]["invert"]) != ("Removed", True)
+            or (made["model"]["type"], made["model"]["end_of_word_suffix"]) != ("BPE", "</w>")
+        ):
+            raise ValueError("not a tokenizer of words parted by white space")
+
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.int32)

@@ -30,6 +30,11 @@ def test_chunks_give_the_library_s_ids(library):
             assert ids[begin[k] : begin[k + 1]].tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], repr(t)
 
 
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        T.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_odd_rows(spark, library, empty, sf_dir, tmp_path):
     rows = sorted(map(tuple, T.op9_token_orc(spark, sf_dir).collect()), key=lambda r: r[1])
     want, start = [], 0
@@ -56,3 +61,30 @@ def test_files_can_be_pruned(spark, tmp_path):
         assert ids == sorted(ids) and ids[0] > last
         last = ids[-1]
     assert last == 14997
+
+
+def test_files_have_row_indexes_and_bloom_filters(spark, tmp_path):
+    """Stripes, row groups and the filters of the ids, read by ORC's own reader."""
+    path = tmp_path / "orc"
+    T.write_tokens(spark.range(5000).selectExpr("id * 3 AS doc_id", "concat('text number ', id) AS text").coalesce(1), str(path), PATH)
+    jvm, rows = spark._jvm, 0
+    for f in sorted(path.glob("*.orc")):
+        conf = jvm.org.apache.hadoop.conf.Configuration()
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == T.ROW_INDEX
+        read, column = reader.rows(), list(reader.getSchema().getFieldNames()).index("id") + 1
+        for k, stripe in enumerate(reader.getStripes()):
+            rows += stripe.getNumberOfRows()
+            streams = read.readStripeFooter(stripe).getStreamsList()
+            kinds = {(s.getColumn(), s.getKind().toString()) for s in streams}
+            assert (column, "ROW_INDEX") in kinds and (column, "BLOOM_FILTER_UTF8") in kinds
+            assert {c for c, kind in kinds if kind == "BLOOM_FILTER_UTF8"} == {column}
+            every = spark.sparkContext._gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+            for c in range(len(every)):
+                every[c] = True
+            index = read.readRowIndex(k, every, every)
+            groups = list(index.getRowGroupIndex())[column].getEntryList()
+            assert len(list(index.getBloomFilterIndex())[column].getBloomFilterList()) == len(groups) == -(-stripe.getNumberOfRows() // T.ROW_INDEX)
+            bounds = [(g.getStatistics().getIntStatistics().getMinimum(), g.getStatistics().getIntStatistics().getMaximum()) for g in groups]
+            assert bounds == sorted(bounds) and all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+    assert rows == 5000
