@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sharding", "licenses", "media", "toxicity", "sentencepiece_bpe", "quality", "mixing", "simhash", "tokens", "chat", "spelling")
+MODULES = ("sharding", "licenses", "media", "toxicity", "sentencepiece_bpe", "quality", "mixing", "simhash", "tokens", "chat", "spelling", "lexical", "setsketch")
 
 
 def queries() -> dict:
