@@ -1,8 +1,10 @@
 """Mixing sources to target weights, by blocks.
 
-Every source's documents, in a fixed order, are one stream of words that is cut into blocks of
-``BLOCK`` words; a document overlaps one or more blocks. Targets come from the weights by water
-filling, never above ``CAP`` times a source's size. The mix is a list of slots in output shards of
+Every source's documents, in a fixed order, are one stream of words that is cut into blocks; a document
+overlaps one or more blocks. Targets come from the weights by water filling, never above ``CAP`` times a
+source's size; of equal ratios of limit and weight, the first source in order tells the level. A block has
+``BLOCK`` words, or a ``GRAIN``-th of the source's target where that is less (one word at least), so rounding
+to whole blocks moves a source by less than a hundredth. The mix is a list of slots in output shards of
 ``SHARD_SLOTS`` slots:
 
 1. every source gets its number of slots (blocks * target / size); the slots of all sources stand in
@@ -17,7 +19,8 @@ filling, never above ``CAP`` times a source's size. The mix is a list of slots i
 
 Both permutations are swap-or-not shuffles: rounds of arithmetic on the index alone, exact for any
 length, so that no sort is needed. All is DataFrame functions. Hot sources: positions in a source are
-prefix sums in two levels over ``CHUNKS`` hashed chunks; slots are exploded in pieces of
+prefix sums in two levels over ``CHUNKS`` hashed chunks, and room in a source's shards in two levels over
+``CHUNK_SHARDS`` shards; slots are exploded in pieces of
 ``PIECE``; joins are on (source, index). Tables of one row a source are ordered in one task; there is
 one row a (source, shard) with blocks. Reruns agree: nothing depends on partitioning or time.
 
@@ -34,10 +37,14 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint, load, source_key
 
 BLOCK = 128
-SHARD_SLOTS = 65536
+#: A source takes at least so many blocks, if its target has as many words.
+GRAIN = 64
+#: An output shard is one training batch: so many blocks.
+SHARD_SLOTS = 256
 WEIGHTS = (5, 2, 1)
 CAP = 3
 CHUNKS = 512
+CHUNK_SHARDS = 4096
 PIECE = 4096
 ROUNDS = 16
 SEED = 20
@@ -86,7 +93,7 @@ def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: s
 
 
 def targets(placed: DataFrame, block: int = BLOCK, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """key, source_size, target, n_blocks, slots, first_slot, all_slots: one row a source."""
+    """key, source_size, target, block, n_blocks, slots, first_slot, all_slots: one row a source. ``block``: the longest block."""
     per = placed.groupBy("key").agg(F.sum("size").alias("source_size"))
     # the key of a null source is empty, and stands last
     order = F.row_number().over(Window.orderBy((F.col("key") == ""), "key")) - 1
@@ -96,13 +103,14 @@ def targets(placed: DataFrame, block: int = BLOCK, weights=WEIGHTS, cap: int = C
     rest = up.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(everything) - (F.sum("limit").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("limit"))) / F.sum("w").over(rest)
-    filled = weighed.withColumn("level", level).withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(everything)["level"])
+    filled = weighed.withColumn("level", level).withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", (F.col("key") == "").alias("last"), "key", "level"))).over(everything)["level"])
     return (
         filled.withColumn("target", F.least(F.col("limit").cast("double"), F.col("w") * F.col("level")))
-        .withColumn("n_blocks", F.ceil(F.col("source_size") / block))
+        .withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / GRAIN))).cast("long"))
+        .withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")))
         .withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("n_blocks") * F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("first_slot", F.sum("slots").over(Window.orderBy((F.col("key") == ""), "key")) - F.col("slots"))
-        .select("key", "source_size", "target", "n_blocks", "slots", "first_slot", F.sum("slots").over(everything).alias("all_slots"))
+        .select("key", "source_size", "target", "block", "n_blocks", "slots", "first_slot", F.sum("slots").over(everything).alias("all_slots"))
     )
 
 
@@ -127,9 +135,11 @@ def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int =
     owned = owned.select("key", "slots", k.alias("shard"), F.floor(blocks * k / shards).alias("start"), F.floor(blocks * (k + 1) / shards).alias("_end")).withColumn("span", F.col("_end") - F.col("start"))
     both = owned.join(drawn, ["key", "shard"], "left")
     both = both.withColumn("kept", F.least(F.coalesce("drawn", F.lit(0)), CAP * F.col("span"))).withColumn("room", CAP * F.col("span") - F.col("kept"))
-    of = Window.partitionBy("key")
-    both = both.withColumn("missing", F.col("slots") - F.sum("kept").over(of)).withColumn("rooms", F.sum("room").over(of))
-    both = both.withColumn("upto", F.sum("room").over(of.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)))
+    both = checkpoint(both.withColumn("chunk", F.floor(F.col("shard") / CHUNK_SHARDS)))
+    sums = both.groupBy("key").agg((F.first("slots") - F.sum("kept")).alias("missing"), F.sum("room").alias("rooms"))
+    chunks = both.groupBy("key", "chunk").agg(F.sum("room").alias("_n")).withColumn("_base", F.sum("_n").over(Window.partitionBy("key").orderBy("chunk")) - F.col("_n")).drop("_n")
+    inside = F.sum("room").over(Window.partitionBy("key", "chunk").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_in", inside).join(chunks, ["key", "chunk"]).join(_small(sums), "key").withColumn("upto", F.col("_base") + F.col("_in"))
     share = lambda c: F.when(F.col("rooms") > 0, F.floor(c.cast("decimal(19,0)") * F.col("missing").cast("decimal(19,0)") / F.col("rooms"))).otherwise(0).cast("long")
     return both.select("key", "shard", "start", "span", (F.col("kept") + share(F.col("upto")) - share(F.col("upto") - F.col("room"))).cast("long").alias("n"))
 
@@ -156,22 +166,25 @@ def _started(placed: DataFrame) -> DataFrame:
     return placed.withColumn("_in", inside).join(chunks, ["key", "chunk"]).withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in")
 
 
-def _parts(started: DataFrame, block: int) -> DataFrame:
-    """A row for each block that a document overlaps."""
-    return started.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.greatest(F.col("size") - 1, F.lit(0))) / block))))
+def _parts(started: DataFrame, sources: DataFrame) -> DataFrame:
+    """A row for each block that a document overlaps, with the source's block length ``long``."""
+    started = started.join(_small(sources.select("key", F.col("block").alias("long"))), "key")
+    return started.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("long")), F.floor((F.col("start") + F.greatest(F.col("size") - 1, F.lit(0))) / F.col("long")))))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """id, key, chunk, rank, size, start, source_size, target, taken, and times: how often each block is taken that the document overlaps, first to last."""
+    """id, key, chunk, rank, size, start, source_size, target, long (the source's block length), taken; times: how often each
+    block is taken that the document overlaps, first to last; shards: the output shards that hold some of them."""
     placed = checkpoint(place(docs, id_col, text_col, source_col).drop("tie"))
     sources = checkpoint(targets(placed, block))
-    times = draw(sources, shard_slots, seed).groupBy("key", "block").agg(F.count("*").alias("times"))
-    joined = _parts(_started(placed), block).join(times, ["key", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    times = draw(sources, shard_slots, seed).groupBy("key", "block").agg(F.count("*").alias("times"), F.collect_set("shard").alias("shards"))  # a block is taken CAP times at most
+    joined = _parts(_started(placed), sources).join(times, ["key", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("long")) - F.greatest(F.col("start"), F.col("block") * F.col("long"))
     per = joined.groupBy("key", "chunk", "rank", "id", "size", "start").agg(
-        F.sum(words * F.col("times")).cast("long").alias("taken"), F.sort_array(F.collect_list(F.struct("block", "times"))).alias("_t")
-    )
-    return per.withColumn("times", F.transform("_t", lambda t: t["times"])).drop("_t").join(_small(sources.select("key", "source_size", "target")), "key")
+        F.sum(words * F.col("times")).cast("long").alias("taken"), F.sort_array(F.collect_list(F.struct("block", "times"))).alias("_t"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("size") > 0, F.col("shards")))))).alias("shards"),
+    )
+    return per.withColumn("times", F.transform("_t", lambda t: t["times"])).drop("_t").join(_small(sources.select("key", "source_size", "target", F.col("block").alias("long"))), "key")
 
 
 def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -179,10 +192,10 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = checkpoint(place(docs, id_col, text_col, source_col, text_col))
     sources = checkpoint(targets(placed, block))
     slots = checkpoint(draw(sources, shard_slots, seed))
-    first = F.col("block") * block - F.col("start")
+    first = F.col("block") * F.col("long") - F.col("start")
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0)
-    parts = _parts(_started(placed.filter("size > 0")), block)
-    cut = parts.select("key", "block", "start", F.array_join(F.slice(words, F.greatest(first, F.lit(0)).cast("int") + 1, F.least(F.col("size"), first + block).cast("int") - F.greatest(first, F.lit(0)).cast("int")), " ").alias("_w"))
+    parts = _parts(_started(placed.filter("size > 0")), sources)
+    cut = parts.select("key", "block", "start", F.array_join(F.slice(words, F.greatest(first, F.lit(0)).cast("int") + 1, F.least(F.col("size"), first + F.col("long")).cast("int") - F.greatest(first, F.lit(0)).cast("int")), " ").alias("_w"))
     whole = cut.groupBy("key", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "_w"))), lambda p: p["_w"]), " ").alias("text"))
     return slots.join(whole, ["key", "block"]).select("shard", "key", "block", "text")
 
@@ -193,20 +206,22 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     Where all of a document is taken, its text stays as it is; else ``text`` holds the taken words,
     joined by spaces, and ``n_chars`` its length.
     """
-    taken = mix(docs, block=block, seed=seed).filter("taken > 0").select("key", "chunk", "rank", "start", "times")
+    taken = mix(docs, block=block, seed=seed).filter("taken > 0").select("key", "chunk", "rank", "start", "times", "long")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     texts = place(docs.withColumn("_row", whole), "doc_id", "text", "source", "_row").select("key", "chunk", "rank", "_row")
     both = texts.join(taken, ["key", "chunk", "rank"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("times").cast("int"))))
     words = F.regexp_extract_all(F.col("_row")["text"], F.lit(WORD), 0)
-    first = F.floor(F.col("start") / block)
-    some = F.array_join(F.filter(words, lambda w, i: F.get("times", (F.floor((F.col("start") + i) / block) - first).cast("int")) >= F.col("_copy")), " ")
+    first = F.floor(F.col("start") / F.col("long"))
+    some = F.array_join(F.filter(words, lambda w, i: F.get("times", (F.floor((F.col("start") + i) / F.col("long")) - first).cast("int")) >= F.col("_copy")), " ")
     text = F.when(F.array_min("times") >= F.col("_copy"), F.col("_row")["text"]).otherwise(some)
     out = both.withColumn("_text", text)
     return out.select(*[(F.col("_text") if c == "text" else F.char_length("_text").cast("long") if c == "n_chars" else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(load(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    """Also n_shards and first_shard: how many output shards hold some of the document, and the least of them."""
+    mixed = mix(load(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("shards").cast("long").alias("n_shards"), F.array_min("shards").alias("first_shard"))
 
 
 def _sql_int(text: str, at: int) -> str:
@@ -238,9 +253,11 @@ WITH d0 AS (
   SELECT *, (sum(source_size) OVER () - (sum(cap) OVER (ORDER BY ratio, key = '', key ROWS UNBOUNDED PRECEDING) - cap))::DOUBLE
     / sum(w) OVER (ORDER BY ratio, key = '', key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM s2
 ), s4 AS (
-  SELECT key, source_size, least(cap::DOUBLE, w * (SELECT arg_min(lev, ratio) FROM s3 WHERE ratio >= lev)) AS target, ceil(source_size / {BLOCK})::BIGINT AS n_blocks FROM s3
+  SELECT key, source_size, least(cap::DOUBLE, w * (SELECT lev FROM s3 WHERE ratio >= lev ORDER BY ratio, key = '', key LIMIT 1)) AS target FROM s3
+), s45 AS (
+  SELECT *, ceil(source_size / block)::BIGINT AS n_blocks FROM (SELECT *, greatest(1, least({BLOCK}, floor(target / {GRAIN})))::BIGINT AS block FROM s4)
 ), s5 AS (
-  SELECT *, CASE WHEN source_size > 0 THEN round(n_blocks * target / source_size) ELSE 0 END::BIGINT AS slots FROM s4
+  SELECT *, CASE WHEN source_size > 0 THEN round(n_blocks * target / source_size) ELSE 0 END::BIGINT AS slots FROM s45
 ), s AS (
   SELECT *, (sum(slots) OVER (ORDER BY key = '', key) - slots)::BIGINT AS first_slot, (sum(slots) OVER ())::BIGINT AS all_slots FROM s5
 ), line AS (
@@ -259,16 +276,18 @@ WITH d0 AS (
 ), turns AS (
   SELECT key, n_blocks, e, {_sql_rounds(f"'{SEED}:' || key || ':' || e", "n_blocks")} AS how FROM s, range({CAP}) t(e)
 ), slot AS (
-  SELECT key, start, span, unnest(range(n)) AS j FROM counts
+  SELECT key, shard, start, span, unnest(range(n)) AS j FROM counts
 ), times AS (
-  SELECT key, block, count(*) AS times FROM (SELECT key, {_sql_permuted("start + j % span", "how")} AS block FROM slot JOIN turns USING (key) WHERE e = j // span) GROUP BY ALL
+  SELECT key, shard, {_sql_permuted("start + j % span", "how")} AS number FROM slot JOIN turns USING (key) WHERE e = j // span
 ), started AS (
   SELECT *, (sum(size) OVER (PARTITION BY key ORDER BY chunk, doc_id NULLS FIRST, size, rid ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d
-), parts AS (SELECT rid, key, size, start, unnest(range(start // {BLOCK}, (start + greatest(size - 1, 0)) // {BLOCK} + 1)) AS block FROM started
+), parts AS (
+  SELECT rid, key, size, start, block, unnest(range(start // block, (start + greatest(size - 1, 0)) // block + 1)) AS number FROM started JOIN (SELECT key, block FROM s) USING (key)
 ), taken AS (
-  SELECT rid, sum((least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK})) * coalesce(times, 0))::BIGINT AS taken FROM parts LEFT JOIN times USING (key, block) GROUP BY rid
+  SELECT rid, coalesce(sum(least(start + size, (number + 1) * block) - greatest(start, number * block)) FILTER (shard IS NOT NULL), 0)::BIGINT AS taken,
+    count(DISTINCT shard) FILTER (size > 0) AS n_shards, min(shard) FILTER (size > 0) AS first_shard FROM parts LEFT JOIN times USING (key, number) GROUP BY rid
 )
-SELECT doc_id, size, source_size, target, taken FROM d JOIN taken USING (rid) JOIN s USING (key)
+SELECT doc_id, size, source_size, target, taken, n_shards, first_shard FROM d JOIN taken USING (rid) JOIN s USING (key)
 """
 
 QUERIES = {"op7_mixing": op7_mixing}

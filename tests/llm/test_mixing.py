@@ -128,3 +128,59 @@ def test_odd_rows(spark, odd, empty, sf_dir):
     assert M.mixed_documents(odd).columns == odd.columns
     plan = M.mix(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def by_source(rows):
+    taken, target, size = Counter(), {}, Counter()
+    for r in rows:
+        taken[r["key"]] += r["taken"]
+        size[r["key"]] += r["size"]
+        target[r["key"]] = r["target"]
+    return taken, target, size
+
+
+@pytest.mark.parametrize("sizes", [[1000] * 4, [100] * 300, [90 + i for i in range(60)], [500, 500, 500, 20, 20, 20, 20, 3000], [7] * 1000, [1, 1, 1]])
+def test_tied_and_small_sources(spark, sizes):
+    """Targets are those of the rule as it is told, share all words out, and what is taken is near them."""
+    rows = [(i, " ".join(["w"] * n), f"s{i:04d}") for i, n in enumerate(sizes)]
+    taken, target, size = by_source(M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    want = water({k[1:]: n for k, n in size.items()})
+    assert all(abs(t - want[k[1:]]) < 1e-6 for k, t in target.items())
+    assert abs(sum(target.values()) - sum(sizes)) < 1e-6
+    assert all(abs(taken[k] - t) <= max(1, t / 64) and taken[k] <= 3 * size[k] for k, t in target.items())
+
+
+def test_equals_its_sql_on_ties(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, " ".join(["w"] * (40 + i // 6 % 3)), None if i % 6 == 5 else f"s{i % 6}") for i in range(300)] + [(300, None, "none"), (301, "", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = con.execute(M.SQL)
+    names = [d[0] for d in got.description]
+    want = sorted(tuple(dict(zip(names, r, strict=True))[c] for c in ("doc_id", "taken", "target", "n_shards", "first_shard")) for r in got.fetchall())
+    assert sorted(map(tuple, M.op7_mixing(spark, str(tmp_path)).select("doc_id", "taken", "target", "n_shards", "first_shard").collect()), key=str) == sorted(want, key=str)
+
+
+def test_the_draw_decides_the_result_on_the_tables(spark):
+    """With the registered shard size, the small table fills several shards, and another seed gives other counts and other takings."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sources = M.checkpoint(M.targets(M.place(docs, "doc_id", "text", "source")))
+    counts = [{(r["key"], r["shard"]): r["n"] for r in M.shard_counts(sources, seed=s).collect()} for s in (1, 2)]
+    shards = {k for _, k in counts[0]}
+    assert len(shards) > 8 and counts[0] != counts[1]
+    per = Counter()
+    for (_, shard), n in counts[0].items():
+        per[shard] += n
+    assert all(0.7 * M.SHARD_SLOTS < n < 1.3 * M.SHARD_SLOTS for s, n in per.items() if s < max(shards))
+    one, two = ({r["id"]: (r["taken"], tuple(r["shards"])) for r in M.mix(docs, seed=s).collect()} for s in (1, 2))
+    assert sum(one[i] != two[i] for i in one) > len(one) / 2
+
+
+def test_room_is_summed_in_two_levels(spark, sourced, monkeypatch):
+    sources = M.checkpoint(M.targets(M.place(sourced, "doc_id", "text", "source"), 4))
+    whole = sorted(map(tuple, M.shard_counts(sources, shard_slots=100).collect()))
+    monkeypatch.setattr(M, "CHUNK_SHARDS", 5)
+    assert sorted(map(tuple, M.shard_counts(sources, shard_slots=100).collect())) == whole
