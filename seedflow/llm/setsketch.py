@@ -10,7 +10,9 @@ with a probability of the sets' Jaccard similarity, or a little more.
 Join: equal sets are merged first. Runs of ``BAND`` registers are hashed to buckets. A pair of one bucket is
 compared by its counts of larger, smaller and equal registers: given both sizes, these have a likelihood for
 every similarity, and the pair is a candidate unless the likelihood at ``LEAST`` is below the greatest one by
-``DOUBT`` standard deviations. Candidates are verified by their whole sets. A pair of similarity 0.85 shares no
+``DOUBT`` standard deviations. Verification begins with an exact bound that needs no sets: the sets' bitmaps of
+parities (``verify``) differ in at most as many bits as the sets in shingles. What passes is verified by the whole
+sets; a pair goes there from its first common band only. A pair of similarity 0.85 shares no
 band with probability (1 - 0.85^5)^25 = 4e-7, and is dropped by its estimate with one of about 1e-9.
 
 Rounds: (1) every text with the text of least key in each bucket, which is linear in rows; (2) between texts
@@ -132,7 +134,7 @@ def plausible(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray, leas
 
 
 def nodes_of(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """id, th (a hash of the text), key, size and sketch of the set of every row."""
+    """id, th (a hash of the text), key, size, sketch and bits of the set of every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +144,12 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
                 sets = [verify.shingles(t.as_py(), shingle) for t in b.column(2)]
                 found = sketches(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array([verify.key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in found], pa.binary())],
-                    names=["id", "th", "key", "size", "sketch"],
+                    [b.column(0), b.column(1), pa.array([verify.key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in found], pa.binary()), pa.array([verify.bitmap(s) for s in sets], pa.binary())],
+                    names=["id", "th", "key", "size", "sketch", "bits"],
                 )
 
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, th long, key long, size long, sketch binary")
+    return named.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, th long, key long, size long, sketch binary, bits binary")
 
 
 def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -168,10 +170,10 @@ def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int = SH
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """bucket, key: a row for each band."""
+    """bucket, band, key: a row for each band."""
     wide = 2 * BAND
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * wide + 1, wide)) for k in range(BANDS)])
-    return nodes.select("key", F.explode(bands).alias("bucket"))
+    return nodes.select("key", F.posexplode(bands).alias("band", "bucket"))
 
 
 def compared(nodes: DataFrame, pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -180,12 +182,14 @@ def compared(nodes: DataFrame, pairs: DataFrame, least: tuple[int, int]) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("a", "b"))
-            ok, _ = plausible(x, y, b.column("na").to_numpy(), b.column("nb").to_numpy(), least)
+            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("p", "q"))
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            ok = plausible(x, y, na, nb, least)[0] & verify.close(p, q, na + nb, least)
             yield b.select(["u", "v"]).filter(pa.array(ok))
 
-    side = lambda key, n, s: nodes.select(F.col("key").alias(key), F.col("size").alias(n), F.col("sketch").alias(s))
-    one = checkpoint(join_hot(pairs, side("u", "na", "a"), "u", broadcast=0))
-    return join_hot(one, side("v", "nb", "b"), "v", broadcast=0).select("u", "v", "na", "nb", "a", "b").mapInArrow(run, "u long, v long")
+    side = lambda key, n, s, t: nodes.select(F.col("key").alias(key), F.col("size").alias(n), F.col("sketch").alias(s), F.col("bits").alias(t))
+    one = checkpoint(join_hot(pairs, side("u", "na", "a", "p"), "u", broadcast=0))
+    return join_hot(one, side("v", "nb", "b", "q"), "v", broadcast=0).select("u", "v", "na", "nb", "a", "b", "p", "q").mapInArrow(run, "u long, v long")
 
 
 def in_bucket_pairs(start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -218,7 +222,7 @@ def forest(root: np.ndarray, i: np.ndarray, j: np.ndarray, equal: np.ndarray) ->
 
 def members_of(entries: DataFrame, nodes: DataFrame, roots: DataFrame, shard: int, most: int) -> DataFrame:
     """Texts of the buckets that hold several components, with the task (k, block) they go to and whether they are probes there."""
-    rooted = checkpoint(join_hot(entries, roots, "key", "u", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")))
+    rooted = checkpoint(join_hot(entries, roots, "key", "u", "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root")))
     per = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket", "n")
     open_ = checkpoint(join_hot(rooted, checkpoint(per), "bucket"))
     # a bucket's largest component only waits for probes
@@ -230,11 +234,11 @@ def members_of(entries: DataFrame, nodes: DataFrame, roots: DataFrame, shard: in
     total = open_.count()
     small = F.pmod(F.xxhash64("bucket"), F.lit(max(total // shard, 1)))
     dealt = cut.select(
-        F.when(F.col("n") > most, F.col("bucket")).otherwise(small).alias("k"), (F.col("n") > most).alias("heavy"), "block", "bucket", "key", "root",
+        F.when(F.col("n") > most, F.col("bucket")).otherwise(small).alias("k"), (F.col("n") > most).alias("heavy"), "block", "bucket", "band", "key", "root",
         # 0: waits; 1: probes, and waits here; 2: only probes here
         F.when(F.col("n") <= most, 1).when(F.col("root") == F.col("main"), 0).when(F.col("block") == F.col("own"), 1).otherwise(2).alias("role"),
     )
-    return join_hot(dealt, nodes.select("key", "size", "sketch"), "key", broadcast=0)
+    return join_hot(dealt, nodes.select("key", "size", "sketch", "bits"), "key", broadcast=0)
 
 
 def candidates(members: DataFrame, how: str, least: tuple[int, int]) -> DataFrame:
@@ -242,10 +246,11 @@ def candidates(members: DataFrame, how: str, least: tuple[int, int]) -> DataFram
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
-        bucket, name, root, size, role = (t.column(c).to_numpy() for c in ("bucket", "key", "root", "size", "role"))
+        bucket, band, name, root, size, role = (t.column(c).to_numpy() for c in ("bucket", "band", "key", "root", "size", "role"))
         order = np.lexsort((role == 2, bucket))  # texts that wait stand first
-        bucket, name, root, size, role = (v[order] for v in (bucket, name, root, size, role))
+        bucket, band, name, root, size, role = (v[order] for v in (bucket, band, name, root, size, role))
         x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(name), -1)[order]
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(name), -1)[order]
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         size_of = np.diff(np.append(cut, len(bucket)))
         start = np.repeat(cut, size_of)
@@ -259,6 +264,10 @@ def candidates(members: DataFrame, how: str, least: tuple[int, int]) -> DataFram
             i, j = i[fresh], j[fresh]
             ok, equal = plausible(x[i], x[j], size[i], size[j], least)
             i, j, equal = i[ok], j[ok], equal[ok]
+            near = verify.close(bits[i], bits[j], size[i] + size[j], least)
+            i, j, equal = i[near], j[near], equal[near]
+            here = (x[i, : BANDS * BAND] == x[j, : BANDS * BAND]).reshape(len(i), BANDS, BAND).all(axis=2).argmax(axis=1) == band[i]
+            i, j, equal = i[here], j[here], equal[here]
             if how == "forest":
                 found.append((i, j, equal))
                 if sum(len(f[0]) for f in found) > 1 << 20:
@@ -285,10 +294,10 @@ def _least(root: np.ndarray, name: np.ndarray, found: list[tuple[np.ndarray, ...
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """id, n_shingles, component_id (the least id of all that is linked with the row), kept (whether that is its own)."""
     rows = checkpoint_table(nodes_of(docs, id_col, text_col, shingle), "setsketch-rows")
-    nodes = checkpoint_table(rows.filter("size > 0").select("key", "th", "size", "sketch").dropDuplicates(["key"]), "setsketch-nodes")
+    nodes = checkpoint_table(rows.filter("size > 0").select("key", "th", "size", "sketch", "bits").dropDuplicates(["key"]), "setsketch-nodes")
     entries = checkpoint(buckets(nodes))
     hubs = checkpoint(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("hub")).filter("n > 1").select("bucket", "hub"))
-    shared = checkpoint(join_hot(entries, hubs, "bucket").select("bucket", "key", "hub"))
+    shared = checkpoint(join_hot(entries, hubs, "bucket").select("bucket", "band", "key", "hub"))
     stars = checkpoint(compared(nodes, shared.filter("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct(), least))
     some = shared.select("key").distinct()
     wanted = checkpoint(nodes.join(some, "key", "left_semi").select("th").distinct())
@@ -296,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = checkpoint(verify.verified(sets, stars, least))
     tried = stars
     for how in ("forest", "all"):
-        members = members_of(shared.select("bucket", "key"), nodes, components(edges), shard, most)
+        members = members_of(shared.select("bucket", "band", "key"), nodes, components(edges), shard, most)
         found = checkpoint(candidates(members, how, least).join(tried, ["u", "v"], "left_anti"))
         edges = checkpoint(edges.union(verify.verified(sets, found, least)))
         tried = tried.union(found)
