@@ -16,7 +16,7 @@ ONE = 1 << 32
 MUL_1, MUL_2 = 0x2C1B3C6D, 0x297A2D39
 
 #: What a coin is for.
-SALTS = {"weight": 1, "root": 2, "edge": 3, "vertex": 4, "r1": 5, "r2": 6, "simulation": 7, "rest": 8, "sample": 9}
+SALTS = {"weight": 1, "root": 2, "edge": 3, "vertex": 4, "r1": 5, "r2": 6, "simulation": 7, "rest": 8, "sample": 9, "rank": 10, "race": 11}
 
 
 def fold_int(h: int, key: int) -> int:
@@ -43,6 +43,17 @@ def fold_np(h: np.ndarray, key: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(15)
 
 
+def fold_u32(h: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The same in 32-bit arrays, whose arithmetic wraps round."""
+    h = h + key
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(MUL_1)
+    h ^= h >> np.uint32(12)
+    h *= np.uint32(MUL_2)
+    h ^= h >> np.uint32(15)
+    return h
+
+
 def fold(h: Column | int, key: Column | int) -> Column:
     as_col = lambda v: F.lit(v).cast("long") if isinstance(v, int) else v.cast("long")
 

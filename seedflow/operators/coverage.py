@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import checkpoint
+from ..functions.session import bucketed, checkpoint, stored
 
 #: Sets with up to this many entries in all (16 bytes each) are brought to the driver for the greedy rounds.
 LOCAL_ENTRIES = 10_000_000
@@ -21,6 +21,8 @@ class Greedy:
     seeds: list[int]
     gains: list[int]
     fraction: float
+    #: of the distributed rounds: how each changed the counts, and the sets' members that were left
+    rounds: list[tuple[str, int]] = field(default_factory=list)
 
 
 def coverage(rrr: DataFrame) -> DataFrame:
@@ -49,9 +51,10 @@ def greedy_grouped(rrr: DataFrame, k: DataFrame, most: int) -> DataFrame:
         best = counts.groupBy("part").agg(F.max(F.struct("n", (-F.col("v")).alias("m"))).alias("b"))
         best = best.join(k, "part").filter(F.col("k") >= rank).select("part", F.lit(rank).alias("rank"), (-F.col("b.m")).alias("v"), F.col("b.n").alias("gain"))
         picked.append(checkpoint(best))
-        if not picked[-1].count():
+        parts = picked[-1].count()
+        if not parts:
             break
-        covered = rest.join(F.broadcast(picked[-1].select("part", "v")) if picked[-1].count() <= SMALL_PARTS else picked[-1].select("part", "v"), ["part", "v"]).select("part", "sid")
+        covered = rest.join(F.broadcast(picked[-1].select("part", "v")) if parts <= SMALL_PARTS else picked[-1].select("part", "v"), ["part", "v"]).select("part", "sid")
         rest = checkpoint(rest.join(covered, ["part", "sid"], "left_anti"))
     out = picked[0]
     for p in picked[1:]:
@@ -86,24 +89,60 @@ def greedy_local(sid: np.ndarray, v: np.ndarray, k: int, sets: int) -> Greedy:
     return Greedy(seeds, gains, float(covered.sum() / sets) if sets else 0.0)
 
 
-def greedy_distributed(rrr: DataFrame, k: int, sets: int) -> Greedy:
-    rest, seeds, gains = rrr, [], []
-    while len(seeds) < k:
-        top = coverage(rest).orderBy(F.desc("covered"), "v").first()
-        if top is None:
-            break
-        seeds.append(top["v"])
-        gains.append(top["covered"])
-        rest = checkpoint(uncovered_by(rest, top["v"]))
-    return Greedy(seeds, gains, sum(gains) / sets if sets else 0.0)
-
+def greedy_distributed(rrr: DataFrame, k: int, sets: int, local_entries: int = LOCAL_ENTRIES) -> Greedy:
+    """Greedy rounds over a kept table of counts.
 
-def max_coverage(rrr: DataFrame, k: int, sets: int, strategy: str = "auto") -> Greedy:
-    """Up to k vertices that cover most sets, ties to the smaller one; stops when all sets are covered."""
+    The sets are stored twice, bucketed by vertex (an inverted index: a round reads its seed's bucket) and by set.
+    The counts of a round are those of the round before, lowered by the members of the newly covered sets, or
+    counted again from what is left where that is less; so a round shuffles no more than the smaller of both. Once
+    ``local_entries`` members are left, the remaining rounds are run on the driver.
+    """
+    sets_by_v, index = bucketed(rrr.select("v", "sid"), "v")
+    sets_by_sid, forward = bucketed(rrr.select("sid", "v"), "sid")
+    seeds, gains, covered, rounds = [], [], None, []
+    try:
+        counts = checkpoint(coverage(sets_by_v))
+        while True:
+            best, left = counts.agg(F.max(F.struct("covered", (-F.col("v")).alias("m"))), F.coalesce(F.sum("covered"), F.lit(0))).first()
+            if len(seeds) == k or best is None:
+                break
+            rest = sets_by_sid if covered is None else sets_by_sid.join(covered, "sid", "left_anti")
+            if left <= local_entries:
+                rounds.append(("local", left))
+                t = rest.select("sid", "v").toArrow()
+                last = greedy_local(t.column("sid").to_numpy(), t.column("v").to_numpy(), k - len(seeds), 0)
+                seeds, gains = seeds + last.seeds, gains + last.gains
+                break
+            seed = -best["m"]
+            seeds.append(seed)
+            gains.append(best["covered"])
+            hit = sets_by_v.filter(F.col("v") == seed).select("sid")
+            hit = stored(hit if covered is None else hit.join(covered, "sid", "left_anti"), "covered")
+            members = sets_by_sid.join(hit, "sid").select("v")
+            gone = coverage(members).withColumnRenamed("covered", "_gone")
+            covered = hit if covered is None else covered.union(hit)
+            lost = members.count()
+            if 2 * lost <= left:
+                counts = counts.join(gone, "v", "left").select("v", (F.col("covered") - F.coalesce("_gone", F.lit(0))).alias("covered")).filter("covered > 0")
+            else:
+                counts = coverage(sets_by_sid.join(covered, "sid", "left_anti"))
+            rounds.append(("lowered" if 2 * lost <= left else "recounted", left - lost))
+            counts = checkpoint(counts)
+    finally:
+        for name in (index, forward):
+            rrr.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    return Greedy(seeds, gains, sum(gains) / sets if sets else 0.0, rounds)
+
+
+def max_coverage(rrr: DataFrame, k: int, sets: int, strategy: str = "auto", local_entries: int = LOCAL_ENTRIES) -> Greedy:
+    """Up to k vertices that cover most sets, ties to the smaller one; stops when all sets are covered.
+
+    ``distributed``: runs on the driver only what is left once that has ``local_entries`` members or fewer.
+    """
     if strategy == "auto":
         rrr = checkpoint(rrr.select("sid", "v"))  # counted first, and not drawn twice
-    local = rrr.count() <= LOCAL_ENTRIES if strategy == "auto" else strategy == "local"
+    local = rrr.count() <= local_entries if strategy == "auto" else strategy == "local"
     if not local:
-        return greedy_distributed(rrr, k, sets)
+        return greedy_distributed(rrr, k, sets, local_entries)
     t = rrr.select("sid", "v").toArrow()
     return greedy_local(t.column("sid").to_numpy(), t.column("v").to_numpy(), k, sets)

@@ -132,6 +132,14 @@ class Graph:
             raise ValueError(f"no such vertices: {missing}")
         return [found[v] for v in vids]
 
+    @cached_property
+    def _live_degree(self) -> float:
+        return (self.edges.agg(F.sum("thr")).first()[0] or 0) / ONE / max(self.n, 1)
+
+    def live_degree(self) -> float:
+        """Live in-edges of a vertex, on average, under independent cascades."""
+        return self._live_degree
+
     def fits_csr(self) -> bool:
         return self.m <= CSR_EDGES and self.n <= CSR_EDGES
 

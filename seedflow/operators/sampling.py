@@ -1,9 +1,12 @@
 """Reachability in sampled worlds: reverse-reachable sets, forward simulation, live edges.
 
-Two physical strategies give identical rows, since every coin is a hash of (edge or vertex, sample):
+Physical strategies give identical rows, since every coin is a hash of (edge or vertex, sample):
 
 * ``local``: the graph is small enough (``Graph.fits_csr``, checked by its counts) to be broadcast as
   arrays, and tasks traverse batches of samples with numpy, one job in all;
+* ``bits``: as ``local``, for independent cascades: a vertex has one bit for each of 64 samples, and a hop
+  passes over the edges once for all of them; an edge's 64 coins are drawn together, when it is first met.
+  ``auto`` takes it where a vertex has more than one live in-edge on average, so that samples overlap;
 * ``frontier``: any size; a driver loop joins the frontier with the edges, hop by hop, anti-joins what
   was visited, and checkpoints every hop.
 """
@@ -17,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.rng import fold, fold_np, salted
+from ..functions.rng import fold, fold_np, fold_u32, salted
 from ..functions.session import bucketed, checkpoint, stored
 from ..shipping import ship
 from .graph import Csr, Graph
 
 #: Cells (samples x vertices) of one batch's visited bitmap.
 CELLS = 1 << 25
+#: Live in-edges a vertex, on average, above which 64 samples share a pass over the edges.
+BITS_DEGREE = 1.5
 MODELS = ("IC", "LT")
 
 
@@ -87,6 +92,67 @@ def reach_ic(csr: Csr, sh: np.ndarray, at: np.ndarray, v: np.ndarray, seen: np.n
     return all_ // csr.n, all_ % csr.n, np.concatenate(hops)
 
 
+def coin_bits(eh: np.ndarray, thr: np.ndarray, sh: np.ndarray) -> np.ndarray:
+    """For each edge, one bit for each of up to 64 samples: whether it is live there."""
+    out, key = np.zeros(len(eh), np.uint64), sh.astype(np.uint32)
+    last = (np.maximum(thr, 1) - 1).astype(np.uint32)  # thr may be 2^32
+    for at in range(0, len(eh), 1 << 14):
+        on = fold_u32(eh[at : at + (1 << 14), None], key) <= last[at : at + (1 << 14), None]
+        packed = np.zeros((len(on), 8), np.uint8)
+        packed[:, : -(-len(sh) // 8)] = np.packbits(on, axis=1, bitorder="little")
+        out[at : at + (1 << 14)] = packed.view("<u8").ravel()
+    out[thr == 0] = 0
+    return out
+
+
+def or_at(n: int, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each of n places, the union of the bits that are sent there."""
+    out = np.zeros(n, np.uint64)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        at, bits = at[order], bits[order]
+        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out[at[cut]] = np.bitwise_or.reduceat(bits, cut)
+    return out
+
+
+def reach_bits(csr: Csr, sh: np.ndarray, v: np.ndarray, by_to: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The bits of the samples (up to 64, one start each) that reach each vertex. by_to: the edges' order by ``to``, their own vertices and the cuts."""
+    seen = or_at(csr.n, v, np.uint64(1) << np.arange(len(v), dtype=np.uint64))
+    live, drawn, new = np.zeros(len(csr.to), np.uint64), np.zeros(len(csr.to), bool), seen.copy()
+    while len(at := np.flatnonzero(new)):
+        which, e = _expand(csr, at)
+        fresh = e[~drawn[e]]
+        live[fresh] = coin_bits(csr.eh[fresh], csr.thr[fresh], sh)
+        drawn[fresh] = True
+        if by_to is not None and 4 * len(e) > len(csr.to):  # most edges: in their fixed order, without a sort
+            order, own, cut = by_to
+            sent = np.zeros(csr.n, np.uint64)
+            sent[csr.to[order[cut]]] = np.bitwise_or.reduceat(new[own] & live[order], cut)
+        else:
+            sent = or_at(csr.n, csr.to[e], new[at[which]] & live[e])
+        new = sent & ~seen
+        seen |= new
+    return seen
+
+
+def by_to(csr: Csr) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    if not len(csr.to):
+        return None
+    order = np.argsort(csr.to, kind="stable")
+    to = csr.to[order]
+    return order, np.repeat(np.arange(csr.n), np.diff(csr.indptr))[order], np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+
+
+def bit_rows(seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sample index and vertex of every bit."""
+    some = np.flatnonzero(seen)
+    for at in range(0, len(some), 1 << 17):
+        v = some[at : at + (1 << 17)]
+        k, s = np.nonzero(np.unpackbits(seen[v].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        yield s, v[k]
+
+
 def lt_parents(csr: Csr, total: np.ndarray, v: np.ndarray, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each vertex has a live in-edge in its sample, and its tail. csr by dst; total: running sum of thr, from 0."""
     coin = fold_np(fold_np(np.full(len(v), salted("vertex"), np.uint64), v), sh).astype(np.int64)
@@ -141,7 +207,7 @@ def live_out(csr: Csr, heads: Csr, total: np.ndarray, sh: int, model: str) -> tu
         v = np.arange(csr.n)
         ok, parent = lt_parents(heads, total, v, np.full(csr.n, sh, np.uint64))
         return parent[ok].astype(np.int64), v[ok]
-    on = fold_np(heads.eh, np.full(len(heads.eh), sh, np.uint64)) < heads.thr
+    on = (fold_u32(heads.eh, np.uint32(sh)) <= (np.maximum(heads.thr, 1) - 1).astype(np.uint32)) & (heads.thr > 0)
     return heads.to[on].astype(np.int64), np.repeat(np.arange(csr.n), np.diff(heads.indptr))[on]
 
 
@@ -178,17 +244,33 @@ def rrr_sets(graph: Graph, stop: int, model: str = "IC", stream: str = "sample",
     spark = graph.edges.sparkSession
     if graph.n == 0:
         return spark.createDataFrame([], "sid long, v long")
-    local = graph.fits_csr() if strategy == "auto" else strategy == "local"
+    if strategy == "auto":
+        strategy = "local" if graph.fits_csr() else "frontier"
+        if strategy == "local" and model == "IC" and graph.live_degree() > BITS_DEGREE:
+            strategy = "bits"
     rooted = samples(spark, start, stop, stream, seed).withColumn("v", root_of(F.col("sh"), graph.n))
-    return sets_of_roots(graph, _tasks(rooted, stop - start) if local else rooted, model, local)
+    return sets_of_roots(graph, _tasks(rooted, stop - start) if strategy in ("local", "bits") else rooted, model, strategy)
 
 
-def sets_of_roots(graph: Graph, rooted: DataFrame, model: str, local: bool) -> DataFrame:
+def sets_of_roots(graph: Graph, rooted: DataFrame, model: str, strategy: str) -> DataFrame:
     """sid, v: the reverse-reachable set of every row of ``rooted`` (sid, sh, v)."""
-    if not local:
+    if strategy not in ("local", "bits", "frontier") or (strategy == "bits" and model != "IC"):
+        raise ValueError(f"no strategy {strategy} for {model}")
+    if strategy == "frontier":
         return reach(graph, rooted, model).select("sid", "v")
     ship(graph.edges.sparkSession)
     csr = graph.sent_csr("dst")
+    if strategy == "bits":
+
+        def run_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            order = by_to(csr.value)
+            for b in batches:
+                sid, sh, v = (b.column(k).to_numpy() for k in range(3))
+                for at in range(0, len(sid), 64):
+                    for s, u in bit_rows(reach_bits(csr.value, sh[at : at + 64], v[at : at + 64], order)):
+                        yield pa.RecordBatch.from_arrays([pa.array(sid[at : at + 64][s]), pa.array(u.astype(np.int64))], names=["sid", "v"])
+
+        return rooted.select("sid", "sh", "v").mapInArrow(run_bits, "sid long, v long")
     walk = reach_ic if model == "IC" else reach_lt_back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +292,13 @@ def reach(graph: Graph, starts: DataFrame, model: str = "IC", forward: bool = Fa
     tail, head = ("src", "dst") if forward else ("dst", "src")
     edges = graph.edges if model == "IC" else lt_intervals(graph.edges)
     edges, table = bucketed(edges.select(F.col(tail).alias("v"), F.col(head).alias("_to"), "thr", "eh", *(["lo", "hi"] if model == "LT" else [])), "v")
+    try:
+        return _hops(edges, starts, model, forward, seen)
+    finally:
+        edges.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _hops(edges: DataFrame, starts: DataFrame, model: str, forward: bool, seen: DataFrame | None) -> DataFrame:
     first = starts.select("sid", "sh", "v", F.lit(0).alias("hop")).distinct()
     frontier = checkpoint(first.join(seen.select("sid", "v"), ["sid", "v"], "left_anti").select("sid", "sh", "v", "hop") if seen is not None else first)
     visited, hop = frontier.select("sid", "v", "hop"), 0
@@ -225,7 +314,6 @@ def reach(graph: Graph, starts: DataFrame, model: str = "IC", forward: bool = Fa
         new = joined.select("sid", "sh", F.col("_to").alias("v")).distinct().join(known, ["sid", "v"], "left_anti")
         frontier = stored(new.select("sid", "sh", "v", F.lit(hop).alias("hop")), "frontier")
         visited = visited.union(frontier.select("sid", "v", "hop"))
-    edges.sparkSession.sql(f"DROP TABLE {table}")
     return visited
 
 
@@ -283,15 +371,15 @@ def _simulate_frontier(graph: Graph, reps: DataFrame, seeds: list[int], model: s
     return reps.select("sid").join(got, "sid", "left").select(F.col("sid").alias("replica"), F.coalesce("a", F.lit(0)).cast("long").alias("activated"), rounds.cast("long").alias("rounds"))
 
 
-def live_edges(graph: Graph, count: int, seed: int = 0) -> DataFrame:
-    """sid and the edge (src, dst, k) of every live edge of ``count`` sampled worlds: each edge draws its own coin in every world."""
-    worlds = F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.cast("long").alias("sid"), fold(F.lit(salted("sample", seed)), i).alias("sh"))))
+def live_edges(graph: Graph, count: int, seed: int = 0, start: int = 0) -> DataFrame:
+    """sid and the edge (src, dst, k) of every live edge of the worlds ``start`` to ``count - 1``: each edge draws its own coin in every world."""
+    worlds = F.explode(F.transform(F.sequence(F.lit(start), F.lit(count - 1)), lambda i: F.struct(i.cast("long").alias("sid"), fold(F.lit(salted("sample", seed)), i).alias("sh"))))
     return graph.edges.withColumn("_w", worlds).filter(live(graph.edges, F.col("_w.sh"))).select(F.col("_w.sid").alias("sid"), "src", "dst", "k")
 
 
-def live_parents(graph: Graph, count: int, seed: int = 0) -> DataFrame:
-    """sid, v, parent: the one live in-edge of each vertex in ``count`` linear-threshold worlds, where it has one."""
-    worlds = F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.cast("long").alias("sid"), fold(F.lit(salted("sample", seed)), i).alias("sh"))))
+def live_parents(graph: Graph, count: int, seed: int = 0, start: int = 0) -> DataFrame:
+    """sid, v, parent: the one live in-edge of each vertex in the linear-threshold worlds ``start`` to ``count - 1``, where it has one."""
+    worlds = F.explode(F.transform(F.sequence(F.lit(start), F.lit(count - 1)), lambda i: F.struct(i.cast("long").alias("sid"), fold(F.lit(salted("sample", seed)), i).alias("sh"))))
     heads = graph.edges.select("dst").distinct().withColumn("_w", worlds).select("dst", F.col("_w.sid").alias("sid"), F.col("_w.sh").alias("sh"))
     heads = heads.withColumn("coin", vertex_coin(F.col("dst"), F.col("sh")))
     picked = heads.join(lt_intervals(graph.edges), "dst").filter("lo <= coin AND coin < hi")

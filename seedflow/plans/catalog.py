@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import bounds
 from ..functions.rng import ONE, fold_int, fold_sql, salted
 from ..operators import influence, weights
-from ..functions.session import fresh_path
+from ..functions.session import checkpoint, fresh_path
 from ..operators.coverage import coverage, max_coverage, partition, uncovered_by
 from ..operators.coverage import seed_coverage as covered_by
 from ..operators.graph import Graph
@@ -220,6 +220,22 @@ def rrr_frontier_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rrr_sets(ev(spark, sf_dir), THETA, strategy="frontier").groupBy("sid").agg(F.count("*").alias("size"))
 
 
+@query(EV + RRR + " SELECT sid, v FROM rrr")
+def rrr_bits_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 samples in one pass over the edges a hop."""
+    return rrr_sets(ev(spark, sf_dir), THETA, strategy="bits")
+
+
+HALF = RRR.replace("c < thr", f"c < {ONE // 2}")
+
+
+@query(EV + HALF + " SELECT sid, count(*) AS size FROM rrr GROUP BY sid")
+def rrr_sizes_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight 1/2 on every edge, where samples hold most of the graph."""
+    g = ev(spark, sf_dir, None)
+    return rrr_sets(g.with_weights(weights.constant(g.edges, 0.5)), THETA).groupBy("sid").agg(F.count("*").alias("size"))
+
+
 @query(EV + RRR_LT + " SELECT sid, count(*) AS size FROM rrr GROUP BY sid")
 def rrr_sizes_lt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rrr_sets(ev(spark, sf_dir), THETA, "LT").groupBy("sid").agg(F.count("*").alias("size"))
@@ -279,10 +295,19 @@ def max_coverage_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EV + RRR + _greedy_sql(3))
 def max_coverage_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = max_coverage(rrr_sets(ev(spark, sf_dir), THETA), 3, THETA, strategy="distributed")
+    """All rounds on the cluster: counts are kept and lowered."""
+    got = max_coverage(rrr_sets(ev(spark, sf_dir), THETA), 3, THETA, strategy="distributed", local_entries=0)
     return spark.createDataFrame(list(zip(range(1, 4), got.seeds, got.gains)), "rank long, v long, gain long")
 
 
+@query(EV + RRR + _greedy_sql(6))
+def max_coverage_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds on the cluster until half of the members are covered, then on the driver."""
+    sets = checkpoint(rrr_sets(ev(spark, sf_dir), THETA))
+    got = max_coverage(sets, 6, THETA, strategy="distributed", local_entries=sets.count() // 2)
+    return spark.createDataFrame(list(zip(range(1, 7), got.seeds, got.gains)), "rank long, v long, gain long")
+
+
 @query(EV + RRR + " SELECT count(DISTINCT sid) AS covered FROM rrr WHERE v IN (0, 1, 2)")
 def seed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(covered_by(rrr_sets(ev(spark, sf_dir), THETA), [0, 1, 2]),)], "covered long")

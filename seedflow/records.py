@@ -21,7 +21,7 @@ def record(algorithm: str, source: str, output: str, model: str, k: int, seeds:
         out |= {"Theta": result.sets, "RRRSetsGenerated": result.sets, "CoveredFraction": result.fraction, "Spread": result.spread, "Guaranteed": result.guaranteed}
         out |= {k: result.details[k] for k in ("GenerateRRRSets", "FindMostInfluentialSet", "RRRSetSizeBytes") if k in result.details}
     if algorithm == "HillClimbing":
-        out |= {"Samples": result.sets, "Spread": result.spread, "Evaluated": result.details["Evaluated"]}
+        out |= {"Samples": result.sets, "Spread": result.spread, **{k: result.details[k] for k in ("Evaluated", "Sampling", "SeedSelection")}}
     if algorithm == "IMM":
         out["ThetaPrimes"] = result.details.get("theta_primes", [])
     if algorithm == "OPIMC":

@@ -89,8 +89,8 @@ def test_coverage_goldens(spark):
     rest = uncovered_by(sets, 2)
     assert count(rest) == {1: 66, 3: 67, 4: 34, 5: 67}
     assert count(uncovered_by(rest, 1)) == {3: 34, 4: 34, 5: 34}
-    for strategy in ("local", "distributed"):
-        got = max_coverage(sets, 5, 1100, strategy)
+    for strategy, entries in (("local", 0), ("distributed", 0), ("distributed", 300), ("distributed", 10**6)):
+        got = max_coverage(sets, 5, 1100, strategy, entries)
         assert (got.seeds, got.gains, got.fraction) == ([2, 3, 1], [1000, 67, 33], 1.0)
     assert seed_coverage(sets, [1, 4]) == 100 and seed_coverage(sets, []) == 0
     assert max_coverage(sets.limit(0), 3, 0).seeds == []
@@ -286,3 +286,52 @@ def test_short_lines_raise(spark):
     for bad, weighted in (("1", False), ("1 2", True)):
         with pytest.raises(Exception, match="lacks a field"):
             parse_lines(lines(bad), weighted).collect()
+
+
+@pytest.mark.parametrize("weight", [0.1, 0.5, 1.0])
+def test_bits_agree_with_the_byte_map(spark, cyclic, weight):
+    g = cyclic.with_weights(weights.constant(cyclic.edges, weight))
+    want = rows(rrr_sets(g, 150, strategy="local"), "sid", "v")
+    assert rows(rrr_sets(g, 150, strategy="bits"), "sid", "v") == want == rows(rrr_sets(g, 150), "sid", "v")
+    with pytest.raises(ValueError):
+        rrr_sets(g, 5, "LT", strategy="bits")
+    loose = Graph.build(spark.createDataFrame([(1, 2, 0.0), (3, 4, 1.0)], "src long, dst long, weight double"))
+    assert rows(rrr_sets(loose, 70, strategy="bits"), "sid", "v") == rows(rrr_sets(loose, 70, strategy="local"), "sid", "v")
+
+
+@pytest.mark.parametrize("model", ["IC", "LT"])
+def test_sketches_bound_the_reach(cyclic, model):
+    """No bound is below the true reach, bounds are close where worlds are many, and joins give what arrays give."""
+    g = cyclic.with_weights(weights.weighted_cascade(cyclic.edges))
+    for count, slack in ((1, 6.0), (400, 1.3)):
+        spread = influence.Spread(g, count, model=model)
+        gain = dict(rows(spread.gains(g.vertices.select(F.col("vid").alias("v"))), "v", "gain"))
+        bound = dict(rows(spread.bounds(), "v", "bound"))
+        assert set(gain) == set(bound) and all(gain[v] <= bound[v] <= slack * gain[v] + 8 for v in gain)
+    a, b = (dict(rows(influence.Spread(g, 3, strategy=s, model=model).bounds(), "v", "bound")) for s in ("local", "frontier"))
+    assert all(abs(a[v] - b[v]) <= 1 for v in a)
+
+
+def test_hill_climbing_evaluates_few(spark):
+    from seedflow.sources import generators
+
+    g = Graph.build(generators.rmat(spark, 11, 8), weigh=weights.weighted_cascade)
+    got = influence.hill_climb(g, 3, 300)
+    assert len(got.seeds) == 3 and got.details["Evaluated"] < g.n / 4
+    spread = influence.Spread(g, 300)
+    first = max(rows(spread.gains(g.vertices.select(F.col("vid").alias("v"))), "v", "gain"), key=lambda r: (r[1], -r[0]))
+    assert got.seeds[0] == first[0]
+
+
+def test_distributed_counts_are_kept(wc):
+    """Counts are lowered where few members go and counted again where few are left; either way the greedy is the same."""
+    sets = rrr_sets(wc, 400)
+    want = max_coverage(sets, 12, 400, "local")
+    got = max_coverage(sets, 12, 400, "distributed", 0)
+    assert (got.seeds, got.gains) == (want.seeds, want.gains) and {how for how, _ in got.rounds} >= {"lowered"}
+    left = [n for _, n in got.rounds]
+    assert left == sorted(left, reverse=True)
+    star = [(i, 0) for i in range(90)] + [(i, i % 7 + 1) for i in range(100)]
+    df = wc.edges.sparkSession.createDataFrame(star, "sid long, v long")
+    got = max_coverage(df, 5, 100, "distributed", 0)
+    assert got.rounds[0] == ("recounted", 10) and (got.seeds, got.gains) == (max_coverage(df, 5, 100, "local").seeds, max_coverage(df, 5, 100, "local").gains)
