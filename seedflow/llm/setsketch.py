@@ -49,6 +49,8 @@ BASE, RATE = 1.001, 20.0
 TOP = (1 << 16) - 1
 DOUBT = 6.0
 SHARD, MOST = 8192, 4096
+#: Texts a task in stages over pairs and edges, which are few, and the least number of these tasks.
+TEXTS_A_TASK, TASKS = 25_000, 8
 #: Pairs that are compared at a time, and texts that are sketched at a time.
 PAIRS, TEXTS = 1 << 14, 256
 BROADCAST_ROWS = 100_000
@@ -176,7 +178,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("key", F.posexplode(bands).alias("band", "bucket"))
 
 
-def compared(nodes: DataFrame, pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
+def compared(nodes: DataFrame, pairs: DataFrame, least: tuple[int, int], tasks: int) -> DataFrame:
     """The pairs (u, v) of keys that may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +190,7 @@ def compared(nodes: DataFrame, pairs: DataFrame, least: tuple[int, int]) -> Data
             yield b.select(["u", "v"]).filter(pa.array(ok))
 
     side = lambda key, n, s, t: nodes.select(F.col("key").alias(key), F.col("size").alias(n), F.col("sketch").alias(s), F.col("bits").alias(t))
-    one = checkpoint(join_hot(pairs, side("u", "na", "a", "p"), "u", broadcast=0))
+    one = checkpoint(join_hot(pairs, side("u", "na", "a", "p"), "u", broadcast=0).coalesce(tasks))
     return join_hot(one, side("v", "nb", "b", "q"), "v", broadcast=0).select("u", "v", "na", "nb", "a", "b", "p", "q").mapInArrow(run, "u long, v long")
 
 
@@ -220,14 +222,14 @@ def forest(root: np.ndarray, i: np.ndarray, j: np.ndarray, equal: np.ndarray) ->
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (i[:0], j[:0])
 
 
-def members_of(entries: DataFrame, nodes: DataFrame, roots: DataFrame, shard: int, most: int) -> DataFrame:
+def members_of(entries: DataFrame, nodes: DataFrame, roots: DataFrame, shard: int, most: int, tasks: int) -> DataFrame:
     """Texts of the buckets that hold several components, with the task (k, block) they go to and whether they are probes there."""
     rooted = checkpoint(join_hot(entries, roots, "key", "u", "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root")))
     per = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket", "n")
-    open_ = checkpoint(join_hot(rooted, checkpoint(per), "bucket"))
+    open_ = checkpoint(join_hot(rooted, checkpoint(per.coalesce(tasks)), "bucket").coalesce(tasks))
     # a bucket's largest component only waits for probes
     large = open_.filter(F.col("n") > most).groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("w"))
-    large = checkpoint(large.select("bucket", F.col("w.root").alias("main")))
+    large = checkpoint(large.select("bucket", F.col("w.root").alias("main")).coalesce(tasks))
     cut = join_hot(open_, large, "bucket", how="left").withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
     own = F.when(F.col("n") > most, F.pmod(F.xxhash64("key"), F.col("blocks"))).otherwise(0).cast("int")
     cut = cut.withColumn("own", own).withColumn("block", F.explode(F.when((F.col("n") > most) & (F.col("root") != F.col("main")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
@@ -295,23 +297,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, component_id (the least id of all that is linked with the row), kept (whether that is its own)."""
     rows = checkpoint_table(nodes_of(docs, id_col, text_col, shingle), "setsketch-rows")
     nodes = checkpoint_table(rows.filter("size > 0").select("key", "th", "size", "sketch", "bits").dropDuplicates(["key"]), "setsketch-nodes")
+    tasks = max(nodes.count() // TEXTS_A_TASK, TASKS)
     entries = checkpoint(buckets(nodes))
-    hubs = checkpoint(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("hub")).filter("n > 1").select("bucket", "hub"))
-    shared = checkpoint(join_hot(entries, hubs, "bucket").select("bucket", "band", "key", "hub"))
-    stars = checkpoint(compared(nodes, shared.filter("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct(), least))
-    some = shared.select("key").distinct()
-    wanted = checkpoint(nodes.join(some, "key", "left_semi").select("th").distinct())
+    hubs = checkpoint(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("hub")).filter("n > 1").select("bucket", "hub").coalesce(tasks))
+    shared = checkpoint(join_hot(entries, hubs, "bucket").select("bucket", "band", "key", "hub").coalesce(tasks))
+    stars = checkpoint(shared.filter("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct().coalesce(tasks))
+    stars = checkpoint(compared(nodes, stars, least, tasks).coalesce(tasks))
+    some = shared.select("key").distinct().coalesce(tasks)
+    wanted = checkpoint(nodes.join(some, "key", "left_semi").select("th").distinct().coalesce(tasks))
     sets = checkpoint_table(sets_of(docs, text_col, wanted, shingle), "setsketch-sets")
-    edges = checkpoint(verify.verified(sets, stars, least))
+    edges = checkpoint(verify.verified(sets, stars, least).coalesce(tasks))
     tried = stars
     for how in ("forest", "all"):
-        members = members_of(shared.select("bucket", "band", "key"), nodes, components(edges), shard, most)
-        found = checkpoint(candidates(members, how, least).join(tried, ["u", "v"], "left_anti"))
-        edges = checkpoint(edges.union(verify.verified(sets, found, least)))
+        members = members_of(shared.select("bucket", "band", "key"), nodes, components(edges, tasks), shard, most, tasks)
+        found = checkpoint(candidates(members, how, least).coalesce(tasks).join(tried, ["u", "v"], "left_anti").coalesce(tasks))
+        edges = checkpoint(edges.union(verify.verified(sets, found, least)).coalesce(tasks))
         tried = tried.union(found)
-    rooted = join_hot(rows.select("id", "key", "size"), components(edges), "key", "u", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = join_hot(rows.select("id", "key", "size"), components(edges, tasks), "key", "u", "left").withColumn("root", F.coalesce("root", "key"))
     full = checkpoint(rooted.filter("size > 0").select("id", "size", "root"))
-    ids = checkpoint(full.groupBy("root").agg(F.min("id").alias("component_id")))
+    ids = checkpoint(full.groupBy("root").agg(F.min("id").alias("component_id")).coalesce(tasks))
     named = join_hot(full, ids, "root").select("id", "size", "component_id").union(rows.filter("size = 0").select("id", "size", F.col("id").alias("component_id")))
     return named.select("id", F.col("size").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -351,9 +351,13 @@ def candidates(nodes: DataFrame, n: int, how: str, budget: int = WIDE, target: i
     return groups.groupBy("mask", "value").applyInArrow(join, "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """u, root: the least node that every node of the edges (u, v), u != v, can reach; roots themselves are left out."""
-    edges = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """u, root: the least node that every node of the edges (u, v), u != v, can reach; roots themselves are left out.
+
+    ``tasks``: tasks of a round at most, where edges are known to be few.
+    """
+    few = lambda df: df if tasks is None else df.coalesce(tasks)
+    edges = checkpoint(few(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -361,11 +365,11 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.withColumnRenamed("v", "root")
         state = now
         both = edges.select("u", "v").union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = few(both.groupBy("u").agg(F.min("v").alias("m"))).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        large = few(few(both.filter("v > u").join(least, F.col("u") == F.col("k"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = checkpoint(few(few(small.union(least.select("u", F.col("m").alias("v")))).distinct()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
