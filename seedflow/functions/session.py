@@ -44,12 +44,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+def bucketed(df: DataFrame, *key: str) -> tuple[DataFrame, str]:
     """The rows as a table bucketed and sorted by ``key``, and its name, to be dropped after use. Its files lie in the shared folder.
 
     Joins on the key shuffle the other side only, to the same number of buckets.
     """
     spark, name = df.sparkSession, f"seedflow_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", fresh_path(spark, "bucketed")).saveAsTable(name)
+    df.repartition(n, *key).write.bucketBy(n, *key).sortBy(*key).format("parquet").option("path", fresh_path(spark, "bucketed")).saveAsTable(name)
     return spark.table(name), name

@@ -164,6 +164,14 @@ class Graph:
             self._sent[by] = self.edges.sparkSession.sparkContext.broadcast(self.csr(by))
         return self._sent[by]
 
+    def blocks(self, by: str):
+        """The adjacency in blocks, made once."""
+        if ("blocks", by) not in self._sent:
+            from .blocks import Blocks
+
+            self._sent["blocks", by] = Blocks(self, by)
+        return self._sent["blocks", by]
+
     def communities(self, labels: DataFrame) -> DataFrame:
         """community, src, dst (dense in the community's own edges, from 0), gsrc, gdst, weight: edges inside communities.
 

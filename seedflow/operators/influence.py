@@ -367,7 +367,7 @@ class Spread:
     def _sketched(self, start: int, stop: int) -> DataFrame:
         """v, total, error of some worlds, by joins of their live edges with the vertices' least ranks, hop by hop."""
         cols = [f"m{k}" for k in range(RANKS)]
-        live = live_edges(self.graph, stop, self.seed, start).select("sid", "src", "dst") if self.model == "IC" else live_parents(self.graph, stop, self.seed, start).select("sid", F.col("parent").alias("src"), F.col("v").alias("dst"))
+        live = live_edges(self.graph, stop, self.seed, start).select("sid", "src", "dst") if self.model == "IC" else live_parents(self.graph, stop, self.seed, start, self.model == "LTR").select("sid", F.col("parent").alias("src"), F.col("v").alias("dst"))
         live = stored(live.distinct(), "live")
         worlds = F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), lambda i: F.struct(i.cast("long").alias("sid"), fold(F.lit(salted("sample", self.seed)), i).alias("sh")))
         every = self.graph.vertices.select(F.col("vid").alias("v")).withColumn("_w", F.explode(worlds)).withColumn("_h", fold(fold(F.lit(salted("rank")), F.col("v")), F.col("_w.sh")))

@@ -7,29 +7,32 @@ Physical strategies give identical rows, since every coin is a hash of (edge or
 * ``bits``: as ``local``, for independent cascades: a vertex has one bit for each of 64 samples, and a hop
   passes over the edges once for all of them; an edge's 64 coins are drawn together, when it is first met.
   ``auto`` takes it where a vertex has more than one live in-edge on average, so that samples overlap;
-* ``frontier``: any size; a driver loop joins the frontier with the edges, hop by hop, anti-joins what
+* ``blocks``: for independent cascades on graphs of any size, see ``blocks``;
+* ``frontier``: any size and model; a driver loop joins the frontier with the edges, hop by hop, anti-joins what
   was visited, and checkpoints every hop.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.rng import fold, fold_np, fold_u32, salted
+from ..functions.rng import ONE, fold, fold_np, fold_u32, salted
 from ..functions.session import bucketed, checkpoint, stored
 from ..shipping import ship
+from .blocks import sets_by_blocks
 from .graph import Csr, Graph
 
 #: Cells (samples x vertices) of one batch's visited bitmap.
 CELLS = 1 << 25
 #: Live in-edges a vertex, on average, above which 64 samples share a pass over the edges.
 BITS_DEGREE = 1.5
-MODELS = ("IC", "LT")
+#: LTR: linear thresholds whose live parents are drawn by exponential races, so that no vertex's in-edges are put in order.
+MODELS = ("IC", "LT", "LTR")
 
 
 def check_model(model: str) -> str:
@@ -62,6 +65,24 @@ def lt_intervals(edges: DataFrame) -> DataFrame:
     return edges.withColumn("hi", F.sum("thr").over(w)).withColumn("lo", F.col("hi") - F.col("thr"))
 
 
+def with_rest(edges: DataFrame) -> DataFrame:
+    """Edges with ``rest``, 2^32 less the weights into their head."""
+    total = edges.groupBy("dst").agg(F.greatest(F.lit(ONE) - F.sum("thr"), F.lit(0)).alias("rest"))
+    return edges.join(total, "dst")
+
+
+def race_time(coin: Column, weight: Column) -> Column:
+    return F.when(weight > 0, -F.log((coin + 0.5) / float(ONE)) / weight)
+
+
+def race_winners(asked: DataFrame) -> DataFrame:
+    """sid, sh, v, _to of the live parents; ``asked``: sid, sh, v, and the in-edges of v (_to, thr, eh, rest). An aggregate: any task may hold some of a hub's edges."""
+    time = race_time(fold(F.col("eh"), F.col("sh")), F.col("thr"))
+    best = asked.filter("thr > 0").groupBy("sid", "sh", "v", "rest").agg(F.min(F.struct(time.alias("t"), F.col("_to").alias("u"))).alias("b"))
+    none = race_time(vertex_coin(F.col("v"), F.col("sh")), F.col("rest"))
+    return best.filter(F.col("b.t") < F.coalesce(none, F.lit(float("inf")))).select("sid", "sh", "v", F.col("b.u").alias("_to"))
+
+
 # -- numpy
 
 
@@ -165,13 +186,17 @@ def lt_parents(csr: Csr, total: np.ndarray, v: np.ndarray, sh: np.ndarray) -> tu
 def reach_lt_back(csr: Csr, sh: np.ndarray, at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The walk along live in-edges from one start each, until none is live or a vertex comes again."""
     total = np.concatenate([[0], np.cumsum(csr.thr.astype(np.int64))])
+    return _walk_back(csr, sh, at, v, lambda u, h: lt_parents(csr, total, u, h))
+
+
+def _walk_back(csr: Csr, sh: np.ndarray, at: np.ndarray, v: np.ndarray, parents: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seen = np.zeros(len(sh) * csr.n, bool)
     s, u, found, hops, hop = at.astype(np.int64), v.astype(np.int64), [], [], 0
     while len(s):
         seen[s * csr.n + u] = True
         found.append(s * csr.n + u)
         hops.append(np.full(len(s), hop, np.int32))
-        ok, parent = lt_parents(csr, total, u, sh[s])
+        ok, parent = parents(u, sh[s])
         s, u, hop = s[ok], parent[ok].astype(np.int64), hop + 1
         new = ~seen[s * csr.n + u]
         s, u = s[new], u[new]
@@ -179,6 +204,37 @@ def reach_lt_back(csr: Csr, sh: np.ndarray, at: np.ndarray, v: np.ndarray) -> tu
     return key // csr.n, key % csr.n, np.concatenate(hops) if hops else np.zeros(0, np.int32)
 
 
+def race_parents(csr: Csr, rest: np.ndarray, v: np.ndarray, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same by races: each in-edge, and "none" with the ``rest`` of the weights, runs an exponential time; the first wins."""
+    which, e = _expand(csr, v)
+    none = _race(fold_np(fold_np(np.full(len(v), salted("vertex"), np.uint64), v), sh), rest[v])
+    ok, parent = np.zeros(len(v), bool), np.zeros(len(v), np.int32)
+    if len(e):
+        x = _race(fold_np(csr.eh[e], sh[which]), csr.thr[e])
+        cut = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        best = np.minimum.reduceat(x, cut)
+        first = np.flatnonzero(x == np.repeat(best, np.diff(np.append(cut, len(x)))))
+        first = first[np.unique(which[first], return_index=True)[1]]
+        ok[which[first]], parent[which[first]] = best < none[which[first]], csr.to[e[first]]
+    return ok, parent
+
+
+def _race(coin: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return -np.log((coin.astype(np.float64) + 0.5) / ONE) / weight.astype(np.float64)
+
+
+def rests(csr: Csr) -> np.ndarray:
+    """2^32 less the weights of each vertex's edges, at least 0."""
+    total = np.concatenate([[0], np.cumsum(csr.thr.astype(np.int64))])
+    return np.maximum(ONE - (total[csr.indptr[1:]] - total[csr.indptr[:-1]]), 0)
+
+
+def reach_race_back(csr: Csr, sh: np.ndarray, at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rest = rests(csr)
+    return _walk_back(csr, sh, at, v, lambda u, h: race_parents(csr, rest, u, h))
+
+
 def spread_lt(csr: Csr, sh: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Activated vertices and rounds of every sample under linear thresholds; rounds counts the last, empty one."""
     n, b = csr.n, len(sh)
@@ -203,9 +259,9 @@ def spread_lt(csr: Csr, sh: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray,
 
 def live_out(csr: Csr, heads: Csr, total: np.ndarray, sh: int, model: str) -> tuple[np.ndarray, np.ndarray]:
     """Tails and heads of the live edges of one world, ordered by head. csr by src, heads by dst; total: running sum of heads' thr, from 0."""
-    if model == "LT":
-        v = np.arange(csr.n)
-        ok, parent = lt_parents(heads, total, v, np.full(csr.n, sh, np.uint64))
+    if model != "IC":
+        v, each = np.arange(csr.n), np.full(csr.n, sh, np.uint64)
+        ok, parent = lt_parents(heads, total, v, each) if model == "LT" else race_parents(heads, rests(heads), v, each)
         return parent[ok].astype(np.int64), v[ok]
     on = (fold_u32(heads.eh, np.uint32(sh)) <= (np.maximum(heads.thr, 1) - 1).astype(np.uint32)) & (heads.thr > 0)
     return heads.to[on].astype(np.int64), np.repeat(np.arange(csr.n), np.diff(heads.indptr))[on]
@@ -245,10 +301,14 @@ def rrr_sets(graph: Graph, stop: int, model: str = "IC", stream: str = "sample",
     if graph.n == 0:
         return spark.createDataFrame([], "sid long, v long")
     if strategy == "auto":
-        strategy = "local" if graph.fits_csr() else "frontier"
+        strategy = "local" if graph.fits_csr() else "blocks" if model == "IC" else "frontier"
         if strategy == "local" and model == "IC" and graph.live_degree() > BITS_DEGREE:
             strategy = "bits"
     rooted = samples(spark, start, stop, stream, seed).withColumn("v", root_of(F.col("sh"), graph.n))
+    if strategy == "blocks":
+        if model != "IC":
+            raise ValueError(f"no strategy {strategy} for {model}")
+        return sets_by_blocks(graph.blocks("dst"), rooted.select("sid", "v"), stream, seed)
     return sets_of_roots(graph, _tasks(rooted, stop - start) if strategy in ("local", "bits") else rooted, model, strategy)
 
 
@@ -271,7 +331,7 @@ def sets_of_roots(graph: Graph, rooted: DataFrame, model: str, strategy: str) ->
                         yield pa.RecordBatch.from_arrays([pa.array(sid[at : at + 64][s]), pa.array(u.astype(np.int64))], names=["sid", "v"])
 
         return rooted.select("sid", "sh", "v").mapInArrow(run_bits, "sid long, v long")
-    walk = reach_ic if model == "IC" else reach_lt_back
+    walk = {"IC": reach_ic, "LT": reach_lt_back, "LTR": reach_race_back}[model]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,8 +350,10 @@ def reach(graph: Graph, starts: DataFrame, model: str = "IC", forward: bool = Fa
     graph. Each hop is stored once, as it is found.
     """
     tail, head = ("src", "dst") if forward else ("dst", "src")
-    edges = graph.edges if model == "IC" else lt_intervals(graph.edges)
-    edges, table = bucketed(edges.select(F.col(tail).alias("v"), F.col(head).alias("_to"), "thr", "eh", *(["lo", "hi"] if model == "LT" else [])), "v")
+    if model == "LTR" and forward:
+        raise ValueError("races go backwards only")
+    edges = {"IC": lambda e: e, "LT": lt_intervals, "LTR": with_rest}[model](graph.edges)
+    edges, table = bucketed(edges.select(F.col(tail).alias("v"), F.col(head).alias("_to"), "thr", "eh", *{"IC": [], "LT": ["lo", "hi"], "LTR": ["rest"]}[model]), "v")
     try:
         return _hops(edges, starts, model, forward, seen)
     finally:
@@ -308,6 +370,8 @@ def _hops(edges: DataFrame, starts: DataFrame, model: str, forward: bool, seen:
         joined = frontier.select("sid", "sh", "v").join(edges, "v")
         if model == "IC":
             joined = joined.filter(live(edges, F.col("sh")))
+        elif model == "LTR":
+            joined = race_winners(joined)
         else:
             coin = vertex_coin(F.col("_to" if forward else "v"), F.col("sh"))  # the coin of the edge's head
             joined = joined.filter((F.col("lo") <= coin) & (coin < F.col("hi")))
@@ -319,7 +383,8 @@ def _hops(edges: DataFrame, starts: DataFrame, model: str, forward: bool, seen:
 
 def simulate(graph: Graph, seeds: list[int], replicas: int, model: str = "IC", seed: int = 0, strategy: str = "auto") -> DataFrame:
     """replica, activated, rounds of forward diffusion from dense seeds."""
-    check_model(model)
+    if check_model(model) == "LTR":
+        model = "LT"  # races draw live parents; forward rounds need none
     spark = graph.edges.sparkSession
     reps = samples(spark, 0, replicas, "simulation", seed)
     local = graph.fits_csr() if strategy == "auto" else strategy == "local"
@@ -377,9 +442,12 @@ def live_edges(graph: Graph, count: int, seed: int = 0, start: int = 0) -> DataF
     return graph.edges.withColumn("_w", worlds).filter(live(graph.edges, F.col("_w.sh"))).select(F.col("_w.sid").alias("sid"), "src", "dst", "k")
 
 
-def live_parents(graph: Graph, count: int, seed: int = 0, start: int = 0) -> DataFrame:
+def live_parents(graph: Graph, count: int, seed: int = 0, start: int = 0, race: bool = False) -> DataFrame:
     """sid, v, parent: the one live in-edge of each vertex in the linear-threshold worlds ``start`` to ``count - 1``, where it has one."""
     worlds = F.explode(F.transform(F.sequence(F.lit(start), F.lit(count - 1)), lambda i: F.struct(i.cast("long").alias("sid"), fold(F.lit(salted("sample", seed)), i).alias("sh"))))
+    if race:
+        asked = with_rest(graph.edges).withColumn("_w", worlds).select(F.col("_w.sid").alias("sid"), F.col("_w.sh").alias("sh"), F.col("dst").alias("v"), F.col("src").alias("_to"), "thr", "eh", "rest")
+        return race_winners(asked).select("sid", "v", F.col("_to").alias("parent"))
     heads = graph.edges.select("dst").distinct().withColumn("_w", worlds).select("dst", F.col("_w.sid").alias("sid"), F.col("_w.sh").alias("sh"))
     heads = heads.withColumn("coin", vertex_coin(F.col("dst"), F.col("sh")))
     picked = heads.join(lt_intervals(graph.edges), "dst").filter("lo <= coin AND coin < hi")

@@ -246,6 +246,42 @@ def rrr_frontier_lt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rrr_sets(ev(spark, sf_dir), THETA, "LT", strategy="frontier").groupBy("sid").agg(F.count("*").alias("size"))
 
 
+@query(EV + RRR + " SELECT sid, v FROM rrr")
+def rrr_blocks_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacency in blocks, samples in words: the strategy for graphs of any size."""
+    return rrr_sets(ev(spark, sf_dir), THETA, strategy="blocks")
+
+
+def _race_sql(worlds: str) -> str:
+    """RP: sid, v, parent of the exponential races of the worlds S."""
+    time = lambda coin, weight: f"-ln(({coin} + 0.5::DOUBLE) / {float(ONE)}::DOUBLE) / ({weight})"
+    return f""", RT AS (SELECT dst, greatest({ONE} - sum(thr), 0)::BIGINT AS rest FROM E GROUP BY dst
+), RX AS (
+  SELECT sid, dst AS v, src AS parent, {time("c", "thr")} AS t FROM (SELECT sid, dst, src, thr, {fold_sql("eh", "sh")} AS c FROM E, {worlds} WHERE thr > 0)
+  UNION ALL
+  SELECT sid, vid, NULL, {time("c", "rest")} FROM (SELECT sid, vid, rest, {fold_sql("vh", "sh")} AS c FROM P JOIN RT ON dst = vid, {worlds} WHERE rest > 0)
+), RP AS MATERIALIZED (SELECT sid, v, parent FROM (SELECT *, row_number() OVER (PARTITION BY sid, v ORDER BY t, parent) AS r FROM RX) WHERE r = 1 AND parent IS NOT NULL)"""
+
+
+RRR_RACE = ROOTS + VHASH + _race_sql("S") + ", rrr AS (SELECT sid, v FROM R UNION SELECT rrr.sid, parent FROM rrr JOIN RP ON RP.sid = rrr.sid AND RP.v = rrr.v)"
+
+
+@query(EV + RRR_RACE + " SELECT sid, v FROM rrr")
+def rrr_race_lt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live parents by exponential races, on the cluster: an aggregate, without an order of a vertex's in-edges."""
+    return rrr_sets(ev(spark, sf_dir), THETA, "LTR", strategy="frontier")
+
+
+@query(EV + RRR_RACE + " SELECT sid, v FROM rrr")
+def rrr_race_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rrr_sets(ev(spark, sf_dir), THETA, "LTR")
+
+
+@query(EV + _samples_sql("S", WORLDS, "sample") + VHASH + _race_sql("S") + " SELECT sid, v, parent FROM RP")
+def lt_race_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_parents(ev(spark, sf_dir), WORLDS, race=True)
+
+
 @query(EV + _samples_sql("S", WORLDS, "sample") + f" SELECT sid, count(*) AS edges FROM (SELECT sid, thr, {fold_sql('eh', 'sh')} AS c FROM E, S) WHERE c < thr GROUP BY sid")
 def live_edges_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_edges(ev(spark, sf_dir), WORLDS).groupBy("sid").agg(F.count("*").alias("edges"))

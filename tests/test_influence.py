@@ -335,3 +335,31 @@ def test_distributed_counts_are_kept(wc):
     df = wc.edges.sparkSession.createDataFrame(star, "sid long, v long")
     got = max_coverage(df, 5, 100, "distributed", 0)
     assert got.rounds[0] == ("recounted", 10) and (got.seeds, got.gains) == (max_coverage(df, 5, 100, "local").seeds, max_coverage(df, 5, 100, "local").gains)
+
+
+def test_blocks_agree_with_the_byte_map(spark, cyclic):
+    """Small blocks, so that hubs lie in several; no block is larger than it may be."""
+    from seedflow.operators.blocks import Blocks, sets_by_blocks
+    from seedflow.operators.sampling import root_of
+
+    g = cyclic.with_weights(weights.weighted_cascade(cyclic.edges))
+    blocks = Blocks(g, "dst", edges=5)
+    try:
+        assert blocks.largest <= 5 and blocks.table.agg(F.sum("n")).first()[0] == g.m
+        hubs = blocks.table.groupBy("first").count().filter("count > 1").count()
+        assert hubs > 0
+        rooted = samples(spark, 30, 170).select("sid", root_of(F.col("sh"), g.n).alias("v"))
+        assert rows(sets_by_blocks(blocks, rooted, "sample", 0), "sid", "v") == rows(rrr_sets(g, 170, start=30, strategy="local"), "sid", "v")
+    finally:
+        blocks.drop()
+
+
+def test_races_agree_and_follow_the_weights(spark, cyclic):
+    g = cyclic.with_weights(weights.lt_normalize(cyclic.edges))
+    one, two = (rows(rrr_sets(g, 40, "LTR", strategy=s), "sid", "v") for s in ("local", "frontier"))
+    assert one == two
+    h = Graph.build(spark.createDataFrame([(0, 3, 0.5), (1, 3, 0.2), (2, 3, 0.0)], "src long, dst long, weight double"))
+    got = dict(map(tuple, live_parents(h, 6000, race=True).groupBy("parent").count().collect()))
+    assert set(got) == {0, 1} and abs(got[0] / 6000 - 0.5) < 0.03 and abs(got[1] / 6000 - 0.2) < 0.03
+    with pytest.raises(ValueError):
+        reach(g, samples(spark, 0, 1).withColumn("v", F.lit(0).cast("long")), "LTR", forward=True)
