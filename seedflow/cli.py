@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--mean", type=float, default=0.5)
         p.add_argument("--variance", type=float, default=1.0)
         p.add_argument("--scale-factor", type=float, default=1.0)
+        p.add_argument("--weight-bits", type=int, choices=[8, 16], help="weights as integers of so many bits")
         p.add_argument("--disable-renumbering", action="store_true")
         p.add_argument("--graph-store-dir")
         p.add_argument("-d", "--diffusion-model", choices=["IC", "LT"], default="IC")
@@ -40,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
 
     for name in ("imm", "opimc", "tim", "community-imm"):
         command(name).add_argument("-e", "--epsilon", type=float, default=0.5)
+        commands.choices[name].add_argument("--max-sets", type=int, default=200_000 if name == "community-imm" else influence.MAX_SETS, help="draw no more sets than this; 0: no limit")
     imm = commands.choices["imm"]
     imm.add_argument("--rr-store-dir")
     imm.add_argument("--rrsets", type=int, help="draw exactly so many sets")
@@ -60,9 +62,12 @@ def load(spark: SparkSession, a: argparse.Namespace) -> Graph:
     def build() -> Graph:
         if a.reload_binary:
             return edges.reload_graph(spark, a.input, scale=a.scale_factor)
-        return edges.load_graph(spark, a.input, a.weighted, a.undirected, a.diffusion_model, a.distribution, a.mean, a.variance, a.scale_factor, not a.disable_renumbering, a.seed)
+        return edges.load_graph(spark, a.input, a.weighted, a.undirected, a.diffusion_model, a.distribution, a.mean, a.variance, a.scale_factor, not a.disable_renumbering, a.seed, bits=a.weight_bits)
 
-    return edges.open_or_create(spark, a.graph_store_dir, build) if a.graph_store_dir else build()
+    if not a.graph_store_dir:
+        return build()
+    how = ("reload_binary", "weighted", "undirected", "diffusion_model", "distribution", "mean", "variance", "scale_factor", "disable_renumbering", "weight_bits", "seed")
+    return edges.open_or_create(spark, a.graph_store_dir, build, {**{k: getattr(a, k) for k in how}, **edges.input_mark(spark, a.input, a.reload_binary)})
 
 
 def stored_sets(spark: SparkSession, graph: Graph, a: argparse.Namespace) -> influence.Sets:
@@ -85,6 +90,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
         edges.write_records(out, a.output)
         return out
     k, more = a.seed_set_size, {}
+    most = getattr(a, "max_sets", 0) or None
     if a.command == "imm":
         sets = stored_sets(spark, graph, a)
         known = sets.drawn
@@ -92,24 +98,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
 
             def run() -> influence.Result:
                 got = sets.grow(a.rrsets).greedy(k, a.rrsets)
-                return influence.Result(got.seeds, a.rrsets, got.fraction, got.fraction * graph.n)
+                return influence.Result(got.seeds, a.rrsets, got.fraction, got.fraction * graph.n, False, sets.phases())  # a number of sets that is given guarantees nothing
         else:
 
             def run() -> influence.Result:
-                return influence.imm(graph, k, a.epsilon, model, a.seed, sets=sets)
+                return influence.imm(graph, k, a.epsilon, model, a.seed, most, sets=sets)
 
         name, more = "IMM", {"Epsilon": a.epsilon}
     elif a.command == "opimc":
-        name, run, more = "OPIMC", lambda: influence.opimc(graph, k, a.epsilon, a.delta, model, a.seed), {"Epsilon": a.epsilon, "Delta": a.delta}
+        name, run, more = "OPIMC", lambda: influence.opimc(graph, k, a.epsilon, a.delta, model, a.seed, most), {"Epsilon": a.epsilon, "Delta": a.delta}
     elif a.command == "tim":
-        name, run, more = "TIM", lambda: influence.tim(graph, k, a.epsilon, model, a.seed), {"Epsilon": a.epsilon}
+        name, run, more = "TIM", lambda: influence.tim(graph, k, a.epsilon, model, a.seed, most), {"Epsilon": a.epsilon}
     elif a.command == "hill-climbing":
         name, run = "HillClimbing", lambda: influence.hill_climb(graph, k, a.samples, a.seed, model=model)
     else:
         labels = edges.read_communities(spark, a.community_map)
 
         def run() -> influence.Result:
-            rows = influence.community_imm(graph, labels, k, a.epsilon, model, a.seed).orderBy(F.desc("gain"), "vid").collect()
+            rows = influence.community_imm(graph, labels, k, a.epsilon, model, a.seed, most).orderBy(F.desc("gain"), "vid").collect()
             return influence.Result([r["vid"] for r in rows], 0, 0.0, sum(r["gain"] for r in rows), all(r["guaranteed"] for r in rows))
 
         name, more = "CommunityIMM", {"Epsilon": a.epsilon}

@@ -49,15 +49,18 @@ class Sets:
         self.graph, self.model, self.stream, self.seed = graph, model, stream, seed
         self.rows, self.drawn = stored, drawn
         #: milliseconds by phase
-        self.times = {"GenerateRRRSets": [], "FindMostInfluentialSet": []}
+        self.times = {"GenerateRRRSets": [], "FindMostInfluentialSet": [], "Counting": [], "Pivoting": []}
+        #: one entry for each time that sets were drawn
+        self.iterations = []
 
     def grow(self, theta: int) -> Sets:
         if theta > self.drawn:
             began = time.perf_counter()
             new = checkpoint(rrr_sets(self.graph, theta, self.model, self.stream, self.seed, start=self.drawn))
             self.rows = new if self.rows is None else self.rows.union(new)
-            self.drawn = theta
+            before, self.drawn = self.drawn, theta
             self.times["GenerateRRRSets"].append((time.perf_counter() - began) * 1000)
+            self.iterations.append({"NumSets": theta - before, "Total": self.times["GenerateRRRSets"][-1]})
         return self
 
     def first(self, theta: int) -> DataFrame:
@@ -68,11 +71,13 @@ class Sets:
         began = time.perf_counter()
         got = max_coverage(self.first(theta), k, theta)
         self.times["FindMostInfluentialSet"].append((time.perf_counter() - began) * 1000)
+        self.times["Counting"].append(got.counting)
+        self.times["Pivoting"].append(got.pivoting)
         return got
 
     def phases(self) -> dict:
         """Times, and the bytes of the sets at four a member."""
-        return {**self.times, "RRRSetSizeBytes": 4 * self.rows.count() if self.rows is not None else 0}
+        return {**self.times, "Iterations": self.iterations, "RRRSetSizeBytes": 4 * self.rows.count() if self.rows is not None else 0}
 
 
 def _most(theta: int, max_sets: int | None) -> int:
@@ -114,9 +119,11 @@ def imm(graph: Graph, k: int = 10, eps: float = 0.5, model: str = "IC", seed: in
     k = _check(graph, k, model)
     l = 1 + 1 / math.log2(graph.n)
     sets = sets or Sets(graph, model, seed=seed)
+    began = time.perf_counter()
     theta, bound, tried, sure = imm_sampling(sets, k, eps, l, max_sets)
+    estimation = {"ThetaEstimation": (time.perf_counter() - began) * 1000, "ThetaEstimationGenerateRRR": list(sets.times["GenerateRRRSets"]), "ThetaEstimationMostInfluential": list(sets.times["FindMostInfluentialSet"])}
     got = sets.greedy(k, theta)
-    return Result(got.seeds, theta, got.fraction, got.fraction * graph.n, sure, {"lower_bound": bound, "theta_primes": tried, **sets.phases()})
+    return Result(got.seeds, theta, got.fraction, got.fraction * graph.n, sure, {"lower_bound": bound, "theta_primes": tried, **estimation, **sets.phases()})
 
 
 def opimc(graph: Graph, k: int = 10, eps: float = 0.5, delta: float = 0.05, model: str = "IC", seed: int = 0, max_sets: int | None = MAX_SETS) -> Result:

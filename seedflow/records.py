@@ -19,7 +19,7 @@ def record(algorithm: str, source: str, output: str, model: str, k: int, seeds:
     out = {"Algorithm": algorithm, "Input": source, "Output": output, "DiffusionModel": model, "K": k, "L": 1, "Total": total_ms, "Seeds": seeds}
     if algorithm in ("IMM", "OPIMC", "TIM"):
         out |= {"Theta": result.sets, "RRRSetsGenerated": result.sets, "CoveredFraction": result.fraction, "Spread": result.spread, "Guaranteed": result.guaranteed}
-        out |= {k: result.details[k] for k in ("GenerateRRRSets", "FindMostInfluentialSet", "RRRSetSizeBytes") if k in result.details}
+        out |= {k: result.details[k] for k in ("GenerateRRRSets", "FindMostInfluentialSet", "Counting", "Pivoting", "Iterations", "RRRSetSizeBytes", "ThetaEstimation", "ThetaEstimationGenerateRRR", "ThetaEstimationMostInfluential") if k in result.details}
     if algorithm == "HillClimbing":
         out |= {"Samples": result.sets, "Spread": result.spread, **{k: result.details[k] for k in ("Evaluated", "Sampling", "SeedSelection")}}
     if algorithm == "IMM":

@@ -40,31 +40,35 @@ def read_edges(spark: SparkSession, path: str, weighted: bool = False, undirecte
     return weights.undirected(edges, shared=weighted) if undirected else edges
 
 
-def load_graph(spark: SparkSession, path: str, weighted: bool = False, undirected: bool = False, model: str = "IC", distribution: str = "uniform", mean: float = 0.5, deviation: float = 1.0, scale: float = 1.0, renumber: bool = True, seed: int = 0, normalize_by: str = "dst") -> Graph:
-    """Read, number and weigh a graph; unweighted lists draw weights, and are normalised for LT."""
+def load_graph(spark: SparkSession, path: str, weighted: bool = False, undirected: bool = False, model: str = "IC", distribution: str = "uniform", mean: float = 0.5, deviation: float = 1.0, scale: float = 1.0, renumber: bool = True, seed: int = 0, normalize_by: str = "dst", bits: int | None = None) -> Graph:
+    """Read, number and weigh a graph; unweighted lists draw weights, and are normalised for LT.
+
+    ``bits`` (8 or 16): weights become integers of so many bits as they are loaded (column ``wq``).
+    """
     if model not in ("IC", "LT"):
         raise ValueError(f"unknown diffusion model: {model}")
     graph = Graph.build(read_edges(spark, path, weighted, undirected, scale if weighted else 1.0), renumber)
+    whole = lambda edges: graph.with_weights(edges if bits is None else weights.quantize(edges, bits))
     if weighted:
-        return graph
+        return graph if bits is None else whole(graph.edges)
     how = {"uniform": {"scale": scale, "seed": seed}, "normal": {"mean": mean, "deviation": deviation, "scale": scale, "seed": seed}, "const": {"mean": mean}}.get(distribution)
     if how is None:
         raise ValueError(f"unsupported distribution: {distribution}")
     edges = weights.assign(graph.edges, distribution, **how)
-    return graph.with_weights(weights.lt_normalize(edges, normalize_by, seed) if model == "LT" else edges)
+    return whole(weights.lt_normalize(edges, normalize_by, seed) if model == "LT" else edges)
 
 
-def write_graph(graph: Graph, path: str, bits: int | None = None) -> None:
-    """Store vertices and edges as Parquet, and what they are as JSON; ``bits`` (8 or 16): weights as integers of so many bits."""
+def write_graph(graph: Graph, path: str, bits: int | None = None, made_of: dict | None = None) -> None:
+    """Store vertices and edges as Parquet, and what they are as JSON; ``bits`` (8 or 16): weights as integers of so many bits. ``made_of``: see ``open_or_create``."""
     graph.vertices.write.parquet(f"{path}/vertices")
     edges = graph.edges if bits is None else graph.edges.withColumn("weight", weights.quantum(F.col("weight"), bits).cast("short" if bits == 8 else "int")).drop("thr")
     edges.write.parquet(f"{path}/edges")
-    meta = [(json.dumps({"format": "seedflow-graph-1", "direction": graph.direction, "weight": "double" if bits is None else f"uint{bits}", "vertices": graph.n, "edges": graph.m}),)]
+    meta = [(json.dumps({"format": "seedflow-graph-1", "direction": graph.direction, "weight": "double" if bits is None else f"uint{bits}", "vertices": graph.n, "edges": graph.m, "made_of": made_of}),)]
     graph.edges.sparkSession.createDataFrame(meta, "value string").coalesce(1).write.text(f"{path}/meta")
 
 
-def reload_graph(spark: SparkSession, path: str, direction: str | None = None, scale: float = 1.0) -> Graph:
-    """A stored graph; a wrong format or direction raises ValueError."""
+def reload_graph(spark: SparkSession, path: str, direction: str | None = None, scale: float = 1.0, made_of: dict | None = None) -> Graph:
+    """A stored graph; a wrong format or direction, or one that was made of something else, raises ValueError."""
     if scale > 1:
         raise ValueError("scale_factor must not exceed 1")
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
@@ -73,6 +77,9 @@ def reload_graph(spark: SparkSession, path: str, direction: str | None = None, s
         raise ValueError(f"not a stored graph: {path}")
     if direction and meta["direction"] != direction:
         raise ValueError(f"the stored graph is {meta['direction']}")
+    if made_of is not None and meta.get("made_of") != made_of:
+        found = meta.get("made_of") or {}
+        raise ValueError(f"the graph stored at {path} is of another {', '.join(k for k in made_of if found.get(k) != made_of[k]) or 'kind'}")
     edges, bits = spark.read.parquet(f"{path}/edges"), kinds[meta["weight"]]
     if bits:
         if scale != 1:
@@ -86,15 +93,22 @@ def reload_graph(spark: SparkSession, path: str, direction: str | None = None, s
     return graph
 
 
-def open_or_create(spark: SparkSession, path: str, build) -> Graph:
-    """The graph stored at ``path``, or ``build()`` stored there."""
+def input_mark(spark: SparkSession, path: str, stored_graph: bool = False) -> dict:
+    """What an input holds, whatever its name or the order of its lines: their number and the sum of their hashes."""
+    rows = spark.read.parquet(f"{path}/edges") if stored_graph else spark.read.text(path)
+    n, total = rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+    return {"lines": n, "hash": str(total or 0)}
+
+
+def open_or_create(spark: SparkSession, path: str, build, made_of: dict | None = None) -> Graph:
+    """The graph stored at ``path``, or ``build()`` stored there. A stored graph that was not made of ``made_of`` (input, weights, model, seed) raises ValueError."""
     try:
-        return reload_graph(spark, path)
+        return reload_graph(spark, path, made_of=made_of)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    write_graph(build(), path)
-    return reload_graph(spark, path)
+    write_graph(build(), path, made_of=made_of)
+    return reload_graph(spark, path, made_of=made_of)
 
 
 def write_edge_text(graph: Graph, path: str, normalize: bool = False) -> None:

@@ -170,7 +170,11 @@ def test_command_line(spark, tmp_path, club_edges):
     assert got["Algorithm"] == "IMM" and len(got["Seeds"]) == 3 and set(got["Seeds"]) <= set(range(1, 35))
     again = cli.main(["imm", *common, "-k", "3", "--rr-store-dir", str(tmp_path / "rr")], spark)[0]
     assert again["Seeds"] == got["Seeds"]
-    assert cli.main(["imm", *common, "-k", "2", "--rrsets", "50"], spark)[0]["Theta"] == 50
+    fixed = cli.main(["imm", *common, "-k", "2", "--rrsets", "50"], spark)[0]
+    assert fixed["Theta"] == 50 and fixed["Guaranteed"] is False and fixed["RRRSetSizeBytes"] > 0 and len(fixed["Iterations"]) == 1
+    assert {"Counting", "Pivoting", "ThetaEstimation", "GenerateRRRSets"} <= set(got) and got["Guaranteed"] is True
+    assert cli.main(["imm", *common, "-k", "2", "--max-sets", "30"], spark)[0]["Guaranteed"] is False
+    assert len(cli.main(["imm", *common, "-k", "2", "--weight-bits", "8"], spark)[0]["Seeds"]) == 2
     assert len(cli.main(["opimc", *common, "-k", "2"], spark)[0]["Seeds"]) == 2
     assert len(cli.main(["hill-climbing", *common, "-k", "2", "--samples", "20"], spark)[0]["Seeds"]) == 2
     cli.main(["simulator", "-i", str(path), "-w", "-e", str(out), "-o", str(tmp_path / "sim.json"), "--replicas", "7"], spark)
@@ -363,3 +367,26 @@ def test_races_agree_and_follow_the_weights(spark, cyclic):
     assert set(got) == {0, 1} and abs(got[0] / 6000 - 0.5) < 0.03 and abs(got[1] / 6000 - 0.2) < 0.03
     with pytest.raises(ValueError):
         reach(g, samples(spark, 0, 1).withColumn("v", F.lit(0).cast("long")), "LTR", forward=True)
+
+
+def test_a_stored_graph_knows_what_it_is_of(spark, tmp_path, club_edges):
+    one, two = tmp_path / "a.tsv", tmp_path / "b.tsv"
+    one.write_text("".join(f"{a} {b}\n" for a, b, _ in club_edges))
+    two.write_text("".join(f"{a + 100} {b + 100}\n" for a, b, _ in club_edges))
+    store = ["--graph-store-dir", str(tmp_path / "g"), "-o", str(tmp_path / "o.json"), "-k", "2", "--rrsets", "40"]
+    first = cli.main(["imm", "-i", str(one), *store], spark)[0]
+    copy = tmp_path / "copy.tsv"
+    copy.write_text("".join(reversed(one.read_text().splitlines(keepends=True))))
+    assert cli.main(["imm", "-i", str(copy), *store], spark)[0]["Seeds"] == first["Seeds"]
+    for other in (["-i", str(two)], ["-i", str(one), "-d", "LT"], ["-i", str(one), "--seed", "3"], ["-i", str(one), "-u"], ["-i", str(one), "--distribution", "const"]):
+        with pytest.raises(ValueError, match="is of another"):
+            cli.main(["imm", *other, *store], spark)
+
+
+def test_weights_become_integers_as_they_are_loaded(spark, tmp_path):
+    from seedflow.sources.edges import load_graph
+
+    (tmp_path / "w.tsv").write_text("1 2 0.5\n2 3 1.0\n3 1 0.001\n")
+    for bits, want in ((8, {127, 255, 0}), (16, {32767, 65535, 65})):
+        edges = load_graph(spark, str(tmp_path / "w.tsv"), weighted=True, bits=bits).edges
+        assert {r["wq"] for r in edges.collect()} == want and all(r["thr"] == (r["wq"] + 1) << (32 - bits) for r in edges.collect())
