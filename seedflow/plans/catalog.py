@@ -438,25 +438,111 @@ def rrr_sizes_ic_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rrr_sets(stored.reload_graph(spark, path), THETA).groupBy("sid").agg(F.count("*").alias("size"))
 
 
-@query()
+def _drawn_sql(name: str, stream: str, count: str, model: str = "IC") -> str:
+    """``name``: sid, v of the first ``count`` (an expression) sets of a stream."""
+    step = (
+        f"SELECT t.sid, t.sh, E.src, thr AS hi, thr, {fold_sql('eh', 't.sh')} AS c FROM {name}_x t JOIN E ON E.dst = t.v"
+        if model == "IC"
+        else f"SELECT t.sid, t.sh, I.src, I.hi, I.thr, {fold_sql('vh', 't.sh')} AS c FROM {name}_x t JOIN P ON vid = t.v JOIN I ON I.dst = t.v"
+    )
+    return f""", {name}_s AS MATERIALIZED (SELECT sid, {fold_sql(salted(stream), "sid")} AS sh FROM (SELECT unnest(range(({count})::BIGINT)) AS sid)
+), {name}_x AS (
+  SELECT sid, sh, ({fold_sql(salted("root"), "sh")} % (SELECT n FROM N))::BIGINT AS v FROM {name}_s
+  UNION
+  SELECT sid, sh, src FROM ({step}) WHERE c < hi AND c >= hi - thr
+), {name} AS MATERIALIZED (SELECT sid, v FROM {name}_x)"""
+
+
+def _picks_sql(name: str, source: str, count: str, k: int) -> str:
+    """``name``: rank, v, gain of the greedy over the first ``count`` sets of ``source``."""
+    out = ""
+    for i in range(1, k + 1):
+        rest = "".join(f" AND sid NOT IN (SELECT sid FROM {source} WHERE v = (SELECT v FROM {name}{j}))" for j in range(1, i))
+        out += f", {name}{i} AS MATERIALIZED (SELECT {i}::BIGINT AS rank, v, count(*) AS gain FROM {source} WHERE sid < ({count}){rest} GROUP BY v ORDER BY gain DESC, v LIMIT 1)"
+    return out + f", {name} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM {name}{i}" for i in range(1, k + 1)) + ")"
+
+
+_LB = lambda n, k: f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
+_N, _K = 1500, 10
+_TAIL = "ln(6 / 0.05)"
+_HALF = f"(2 * pow((1 - exp(-1)) * sqrt({_TAIL}) + sqrt((1 - exp(-1)) * ({_LB(_N, _K)} + {_TAIL})), 2))"
+_SEEDS, _EPS, _A = 5, 0.5, "(1 - exp(-1))"
+_CHOOSE = "(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
+_FINAL = " SELECT rank, orig AS vertex FROM {} JOIN V ON vid = v"
+
+
+def _imm_sql(model: str, guesses: int = 9) -> str:
+    """Guesses 2^-x of the share that the best seeds cover, with as many sets as each needs; the first that holds gives the bound."""
+    out = EV + VHASH + f""", Q AS MATERIALIZED (
+  SELECT *, (2 + 2.0::DOUBLE / 3 * e) * (l * ln(n) + lb + ln(log2(n))) AS work FROM (
+    SELECT n, 1 + 1 / log2(n) AS l, {math.sqrt(2)!r}::DOUBLE * {_EPS} AS e, greatest(floor(log2(n)), 2) - 1 AS last, {_CHOOSE.format(n="n", k=f"least({_SEEDS}, n // 2)")} AS lb FROM N)
+), TX AS MATERIALIZED (SELECT x, floor(work * pow(2, x) / (e * e))::BIGINT AS theta FROM Q, range(1, {guesses + 1}) r(x) WHERE x <= last)"""
+    out += _drawn_sql("D", "sample", "SELECT max(theta) FROM TX", model)
+    for x in range(1, guesses + 1):
+        out += _picks_sql(f"d{x}_", "D", f"SELECT theta FROM TX WHERE x = {x}", _SEEDS)
+    tried = " UNION ALL ".join(f"SELECT {x} AS x, sum(gain) AS covered FROM d{x}_" for x in range(1, guesses + 1))
+    out += f""", FX AS (SELECT x, theta, covered / theta AS f FROM ({tried}) JOIN TX USING (x) WHERE covered / theta >= pow(2, -x) ORDER BY x LIMIT 1
+), TH AS MATERIALIZED (
+  SELECT coalesce(floor(2 * n * pow({_A} * sqrt(l * ln(n) + ln(2)) + sqrt({_A} * (lb + l * ln(n) + ln(2))), 2) / {_EPS * _EPS} / (n * f / (1 + e))), (SELECT max(theta) FROM TX))::BIGINT AS theta FROM Q LEFT JOIN FX ON true
+)"""
+    return out + _drawn_sql("Z", "sample", "SELECT theta FROM TH", model) + _picks_sql("pick", "Z", "SELECT theta FROM TH", _SEEDS) + _FINAL.format("pick")
+
+
+def _opimc_sql(turns: int = 6) -> str:
+    """Two streams of sets that double until the bounds of both meet."""
+    out = EV + f""", Q AS MATERIALIZED (
+  SELECT *, CASE WHEN most > first THEN greatest(ceil(log2(most / first)), 1) ELSE 1 END AS rounds FROM (
+    SELECT n, ceil(half) AS first, ceil(n * half / {_EPS * _EPS * _SEEDS}) AS most FROM (SELECT n, 2 * pow({_A} * sqrt({_TAIL}) + sqrt({_A} * ({_CHOOSE.format(n="n", k=_SEEDS)} + {_TAIL})), 2) AS half FROM N))
+), QD AS MATERIALIZED (SELECT *, ln(3 * rounds / 0.05) AS a FROM Q)"""
+    out += _drawn_sql("D", "r1", f"SELECT first * {2 ** (turns - 1)} FROM QD") + _drawn_sql("C", "r2", f"SELECT first * {2 ** (turns - 1)} FROM QD")
+    rows = []
+    for t in range(1, turns + 1):
+        theta = f"SELECT first * {2 ** (t - 1)} FROM QD"
+        out += _picks_sql(f"o{t}_", "D", theta, _SEEDS)
+        covered = f"(SELECT count(DISTINCT sid) FROM C WHERE sid < ({theta}) AND v IN (SELECT v FROM o{t}_))"
+        alpha = f"(pow(sqrt({covered} + 2 * a / 9) - sqrt(a / 2), 2) - a / 18) / pow(sqrt((SELECT sum(gain) FROM o{t}_) / {_A} + a / 2) + sqrt(a / 2), 2)"
+        rows.append(f"SELECT {t} AS t, {alpha} AS alpha, rounds FROM QD WHERE {t} <= rounds")
+    chosen = " UNION ALL ".join(f"SELECT rank, v FROM o{t}_ WHERE (SELECT t FROM OT) = {t}" for t in range(1, turns + 1))
+    return out + f", OT AS MATERIALIZED (SELECT t FROM ({' UNION ALL '.join(rows)}) WHERE alpha >= {_A} - {_EPS} OR t = rounds ORDER BY t LIMIT 1), o AS ({chosen})" + _FINAL.format("o")
+
+
+def _tim_sql(most: int, guesses: int = 9) -> str:
+    """The mean share of edges into a set estimates the spread of k seeds; its guess is refined by a greedy and fresh sets."""
+    e = 5 * (_EPS**2 / (_SEEDS + 1)) ** (1 / 3)
+    out = EV + f""", Q AS MATERIALIZED (SELECT n, greatest(floor(log2(n)), 2) - 1 AS last FROM N
+), TX AS MATERIALIZED (SELECT i, floor((6 * ln(n) + 6 * ln(log2(n))) * pow(2, i))::BIGINT AS c FROM Q, range(1, {guesses + 1}) r(i) WHERE i <= last)"""
+    out += _drawn_sql("D", "r1", "SELECT max(c) FROM TX")
+    out += f""", DG AS (SELECT dst, count(*) AS d FROM E GROUP BY dst
+), KW AS MATERIALIZED (SELECT sid, 1 - pow(1 - sum(coalesce(d, 0)) / (SELECT count(*) FROM E), {_SEEDS}) AS share FROM D LEFT JOIN DG ON dst = v GROUP BY sid
+), KM AS MATERIALIZED (SELECT i, c, avg(share) AS mean FROM TX JOIN KW ON sid < c GROUP BY i, c
+), K1 AS MATERIALIZED (
+  SELECT coalesce((SELECT greatest(n * mean / 2, 1) FROM KM, Q WHERE mean > pow(2, -i) ORDER BY i LIMIT 1), 1.0) AS kpt, coalesce((SELECT c FROM KM WHERE mean > pow(2, -i) ORDER BY i LIMIT 1), (SELECT max(c) FROM TX)) AS drawn
+), RF AS MATERIALIZED (SELECT least({most}, ceil((2 + {e!r}::DOUBLE) * n * ln(n) / ({e!r}::DOUBLE * {e!r}::DOUBLE * kpt)))::BIGINT AS refine FROM Q, K1)"""
+    out += _picks_sql("guess", "D", "SELECT drawn FROM K1", _SEEDS) + _drawn_sql("C", "r2", "SELECT refine FROM RF")
+    out += f""", KP AS MATERIALIZED (SELECT greatest(kpt, (SELECT count(DISTINCT sid) FROM C WHERE v IN (SELECT v FROM guess)) / refine * n / (1 + {e!r}::DOUBLE)) AS plus FROM K1, RF, Q
+), TH AS MATERIALIZED (SELECT least({most}, ceil((8 + 2 * {_EPS}) * n * (ln(n) + {_CHOOSE.format(n="n", k=_SEEDS)} + ln(2)) / {_EPS * _EPS} / plus))::BIGINT AS theta FROM KP, Q)"""
+    return out + _drawn_sql("Z", "sample", "SELECT theta FROM TH") + _picks_sql("pick", "Z", "SELECT theta FROM TH", _SEEDS) + _FINAL.format("pick")
+
+
+@query(_imm_sql("IC"))
 def imm(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ev(spark, sf_dir)
     return influence.as_frame(g, influence.imm(g, 5, 0.5))
 
 
-@query()
+@query(_imm_sql("LT"))
 def imm_lt(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ev(spark, sf_dir)
     return influence.as_frame(g, influence.imm(g, 5, 0.5, "LT"))
 
 
-@query()
+@query(_opimc_sql())
 def opimc(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ev(spark, sf_dir)
     return influence.as_frame(g, influence.opimc(g, 5, 0.5))
 
 
-@query()
+@query(_tim_sql(200_000))
 def tim(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ev(spark, sf_dir)
     return influence.as_frame(g, influence.tim(g, 5, 0.5, max_sets=200_000))
@@ -468,12 +554,6 @@ def community_imm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return influence.community_imm(g, g.vertices.select("orig", (F.col("orig") % 4).alias("community")), 5, max_sets=50_000)
 
 
-_LB = lambda n, k: f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
-_N, _K = 1500, 10
-_TAIL = "ln(6 / 0.05)"
-_HALF = f"(2 * pow((1 - exp(-1)) * sqrt({_TAIL}) + sqrt((1 - exp(-1)) * ({_LB(_N, _K)} + {_TAIL})), 2))"
-
-
 @query(
     f"SELECT round({_LB(_N, _K)}, 6) AS log_binomial, ceil({_HALF})::BIGINT AS opim_first, ceil({_N} * {_HALF} / (0.25 * {_K}))::BIGINT AS opim_most, "
     f"floor(2 * {_N} * pow((1 - exp(-1)) * sqrt(ln({_N}) + ln(2)) + sqrt((1 - exp(-1)) * ({_LB(_N, _K)} + ln({_N}) + ln(2))), 2) / 0.25 / 100)::BIGINT AS imm_theta, "
