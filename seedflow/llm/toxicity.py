@@ -20,8 +20,10 @@ For the out-of-fold models the vocabulary is chosen without the held-out fold as
 
 Bounds: at most ``SAMPLE`` labelled texts are used for fitting, those with the smallest hash (a documented
 parameter; all rows are scored). Rows of equal text are one of them: its labels are those of more than
-half of the labelled rows; where they are even, it is of quality and not toxic. Their terms, not their texts, reach the driver, of
-each text the ``TEXT_TERMS`` that occur most often in it (ties by term), where models of ``TERMS`` weights are fitted; the model that goes to the executors has a fixed size.
+half of the labelled rows; where they are even, it is of quality and not toxic. Of their terms, those of at least
+``LEAST`` texts are kept, the ``VOCABULARY`` of most texts (ties by term): they are counted on the cluster over whole
+texts, and no other term could enter a model. So at most ``SAMPLE`` rows of ``VOCABULARY`` counts reach the driver,
+where models of ``TERMS`` terms are fitted; the model that goes to the executors has a fixed size.
 
 Defined cases: a null or wordless text has probability 0 for every category and is not toxic; null
 labels are not used; repeated rows are one training row; with no labelled rows, or only one class of a
@@ -42,11 +44,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import load
+from .common import checkpoint_table, load
 
 CATEGORIES = ("junk", "toxic_junk", "toxic")
-#: Labelled texts that are used for fitting, and terms of each.
-SAMPLE, TEXT_TERMS = 4000, 2000
+#: Labelled texts that are used for fitting, and terms that a model may choose from.
+SAMPLE, VOCABULARY = 4000, 50_000
 FOLDS = 4
 TERMS = 400
 LEAST = 5
@@ -168,7 +170,7 @@ _COUNTED = "n_words int, terms array<string>, times array<int>"
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """quality, toxic, hash, n_words, terms, times of up to ``sample`` labelled texts, those of the smallest hash, each once."""
+    """quality, toxic, hash, n_words, and the frequent terms and times of up to ``sample`` labelled texts, those of the smallest hash, each once."""
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).filter("quality IS NOT NULL AND toxic IS NOT NULL")
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")
@@ -179,13 +181,16 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for t in b.column(3):
-                n, terms = terms_of(t.as_py())
-                got.append((n, dict(sorted(terms.items(), key=lambda x: (-x[1], x[0]))[:TEXT_TERMS]) if len(terms) > TEXT_TERMS else terms))
+            got = [terms_of(t.as_py()) for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([n for n, _ in got], pa.int32()), pa.array([list(t) for _, t in got], pa.list_(pa.string())), pa.array([list(t.values()) for _, t in got], pa.list_(pa.int32()))], names=["quality", "toxic", "hash", "n_words", "terms", "times"])
 
-    return chosen.select("quality", "toxic", "hash", "_text").mapInArrow(run, f"quality int, toxic int, hash long, {_COUNTED}")
+    counted = checkpoint_table(chosen.select("quality", "toxic", "hash", "_text").mapInArrow(run, f"quality int, toxic int, hash long, {_COUNTED}"), "toxicity-terms")
+    each = counted.select("hash", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("hash", F.col("t.terms").alias("term"), F.col("t.times").alias("times"))
+    frequent = each.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term")
+    kept = each.join(F.broadcast(frequent), "term").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("term", "times"))).alias("t"))  # VOCABULARY terms at most
+    rows = counted.select("quality", "toxic", "hash", "n_words").join(kept, "hash", "left")
+    no = lambda kind: F.expr(f"CAST(array() AS array<{kind}>)")
+    return rows.select("quality", "toxic", "hash", "n_words", F.coalesce(F.col("t.term"), no("string")).alias("terms"), F.coalesce(F.col("t.times"), no("int")).alias("times"))
 
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
