@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import time
 from dataclasses import dataclass, field
 
@@ -44,12 +45,19 @@ def partition(rrr: DataFrame, v: int) -> DataFrame:
     return rrr.groupBy("sid").agg(F.bool_or(F.col("v") == int(v)).alias("holds"))
 
 
-def greedy_grouped(rrr: DataFrame, k: DataFrame, most: int) -> DataFrame:
+def small_parts(df: DataFrame, rows: int) -> DataFrame:
+    """A table of some rows a part, broadcast if it has few."""
+    return F.broadcast(df) if rows <= SMALL_PARTS else df
+
+
+def greedy_grouped(rrr: DataFrame, k: DataFrame, most: int, scale: DataFrame | None = None, best_of: int | None = None) -> DataFrame:
     """part, rank, v, gain: greedy maximum coverage in every part of ``rrr`` (part, sid, v) on its own; ``k``: part, k; ``most``: the largest k.
 
     All parts go through a round together, so the number of jobs does not depend on theirs. Ties to the smaller v.
+    ``best_of``: only the picks of that many largest scaled gains are wanted (``scale``: part, scale). A part's gains
+    only fall, so a part stops once its last one is below the best of all parts, kept in a heap of that size.
     """
-    rest, picked = checkpoint(rrr), []
+    rest, picked, heap = checkpoint(rrr), [], []
     for rank in range(1, most + 1):
         counts = rest.groupBy("part", "v").agg(F.count("*").alias("n"))
         best = counts.groupBy("part").agg(F.max(F.struct("n", (-F.col("v")).alias("m"))).alias("b"))
@@ -58,7 +66,16 @@ def greedy_grouped(rrr: DataFrame, k: DataFrame, most: int) -> DataFrame:
         parts = picked[-1].count()
         if not parts:
             break
-        covered = rest.join(F.broadcast(picked[-1].select("part", "v")) if parts <= SMALL_PARTS else picked[-1].select("part", "v"), ["part", "v"]).select("part", "sid")
+        now = picked[-1]
+        if best_of is not None:
+            scaled = now.join(scale, "part").withColumn("_s", F.col("gain") * F.col("scale"))
+            for r in scaled.orderBy(F.desc("_s")).limit(best_of).select("_s").collect():
+                (heapq.heappush if len(heap) < best_of else heapq.heappushpop)(heap, r["_s"])
+            if len(heap) == best_of:
+                now = checkpoint(scaled.filter(F.col("_s") >= heap[0]).select("part", "v"))
+                parts = now.count()
+                rest = rest.join(small_parts(now.select("part"), parts), "part", "left_semi")
+        covered = rest.join(small_parts(now.select("part", "v"), parts), ["part", "v"]).select("part", "sid")
         rest = checkpoint(rest.join(covered, ["part", "sid"], "left_anti"))
     out = picked[0]
     for p in picked[1:]:

@@ -10,14 +10,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bounds
 from ..functions.rng import ONE, fold, fold_u32, salted
 from ..functions.session import checkpoint, stored
 from ..shipping import ship
-from .coverage import Greedy, greedy_grouped, max_coverage, seed_coverage
+from .coverage import Greedy, greedy_grouped, max_coverage, seed_coverage, small_parts
 from .graph import Graph
 from .sampling import check_model, live_edges, live_out, live_parents, reach, rrr_sets, samples, sets_of_roots, sweep
 
@@ -207,27 +207,27 @@ def community_imm(graph: Graph, labels: DataFrame, k: int = 10, eps: float = 0.5
     def grow(need: dict) -> None:
         """Draw the sets that the communities still need."""
         nonlocal rows
-        more = [(c, state[c]["n"], state[c]["drawn"], t) for c, t in need.items() if t > state[c]["drawn"]]
+        more = [(c, state[c]["n"], state[c]["drawn"], t, i) for i, (c, t) in enumerate((c, t) for c, t in need.items() if t > state[c]["drawn"])]
         if not more:
             return
-        ranges = spark.createDataFrame(pd.DataFrame(more, columns=["community", "n", "start", "stop"]), "community long, n long, start long, stop long")
+        ranges = spark.createDataFrame(pd.DataFrame(more, columns=["community", "n", "start", "stop", "c"]), "community long, n long, start long, stop long, c long")
         pieces = ranges.withColumn("p", F.explode(F.sequence(F.floor(F.col("start") / 4096), F.floor((F.col("stop") - 1) / 4096)))).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
         drawn = pieces.withColumn("i", F.explode(F.sequence(F.greatest("start", F.col("p") * 4096), F.least("stop", (F.col("p") + 1) * 4096) - 1)))
         drawn = drawn.withColumn("sh", fold(F.lit(salted("sample", seed)), F.col("i"))).withColumn("local", (fold(F.lit(salted("root")), F.col("sh")) % F.col("n")).cast("long"))
         rooted = checkpoint(drawn.join(names, ["community", "local"]).select("community", "i", "sh", "v"))
         # a set's number among all communities': its root's community tells them apart
-        ids = ranges.select("community").withColumn("c", F.row_number().over(Window.orderBy("community")) - 1)
-        keyed = checkpoint(rooted.join(F.broadcast(ids), "community").withColumn("sid", F.col("i") * len(more) + F.col("c")))
+        ids = small_parts(ranges.select("community", "c"), len(more))
+        keyed = checkpoint(rooted.join(ids, "community").withColumn("sid", F.col("i") * len(more) + F.col("c")))
         found = sets_of_roots(whole, keyed.select("sid", "sh", "v"), model, strategy)
-        new = checkpoint(found.withColumn("c", (F.col("sid") % len(more)).cast("int")).join(F.broadcast(ids), "c").select(F.col("community").alias("part"), F.floor(F.col("sid") / len(more)).alias("sid"), "v"))
+        new = checkpoint(found.withColumn("c", F.col("sid") % len(more)).join(ids, "c").select(F.col("community").alias("part"), F.floor(F.col("sid") / len(more)).alias("sid"), "v"))
         rows = new if rows is None else rows.union(new)
         for c, t in need.items():
             state[c]["drawn"] = max(state[c]["drawn"], t)
 
-    def greedy(thetas: dict) -> DataFrame:
+    def greedy(thetas: dict, scale: DataFrame | None = None, best_of: int | None = None) -> DataFrame:
         """part, rank, v, gain over the first theta sets of each community."""
         use = spark.createDataFrame(pd.DataFrame([(c, t, small(state[c])[0]) for c, t in thetas.items()], columns=["part", "theta", "k"]), "part long, theta long, k int")
-        return greedy_grouped(rows.join(F.broadcast(use), "part").filter("sid < theta").select("part", "sid", "v"), use.select("part", "k"), max(small(state[c])[0] for c in thetas))
+        return greedy_grouped(rows.join(small_parts(use, len(thetas)), "part").filter("sid < theta").select("part", "sid", "v"), use.select("part", "k"), max(small(state[c])[0] for c in thetas), scale, best_of)
 
     x = 1
     while left := {c: s for c, s in state.items() if s["open"] and x < max(int(math.log2(s["n"])), 2)}:
@@ -247,7 +247,8 @@ def community_imm(graph: Graph, labels: DataFrame, k: int = 10, eps: float = 0.5
     grow(theta)
     scale = [(c, t, s["n"], bool(s["sure"] and 0 < need[c] <= t)) for c, t in theta.items() for s in [state[c]]]
     scales = spark.createDataFrame(pd.DataFrame(scale, columns=["part", "theta", "n", "guaranteed"]), "part long, theta long, n long, guaranteed boolean")
-    best = greedy(theta).join(F.broadcast(scales), "part").select(F.col("v").alias("vid"), F.col("part").alias("community"), (F.col("gain") / F.col("theta") * F.col("n")).alias("gain"), "guaranteed")
+    per_set = scales.select("part", (F.col("n") / F.col("theta")).alias("scale"))
+    best = greedy(theta, per_set, k).join(small_parts(scales, len(scale)), "part").select(F.col("v").alias("vid"), F.col("part").alias("community"), (F.col("gain") / F.col("theta") * F.col("n")).alias("gain"), "guaranteed")
     return best.orderBy(F.desc("gain"), "vid").limit(k)
 
 

@@ -14,7 +14,7 @@ from ..functions import bounds
 from ..functions.rng import ONE, fold_int, fold_sql, salted
 from ..operators import influence, weights
 from ..functions.session import checkpoint, fresh_path
-from ..operators.coverage import coverage, max_coverage, partition, uncovered_by
+from ..operators.coverage import coverage, greedy_grouped, max_coverage, partition, uncovered_by
 from ..operators.coverage import seed_coverage as covered_by
 from ..operators.graph import Graph
 from ..operators.sampling import live_edges, live_parents, root_of, rrr_sets, samples, simulate
@@ -344,6 +344,36 @@ def max_coverage_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(zip(range(1, 7), got.seeds, got.gains)), "rank long, v long, gain long")
 
 
+def _parts_sql(parts: int, k: int) -> str:
+    out = ", L AS MATERIALIZED (SELECT sid, v FROM rrr)"
+    for p in range(parts):
+        for i in range(1, k + 1):
+            rest = "".join(f" AND sid NOT IN (SELECT sid FROM L WHERE v = (SELECT v FROM p{p}_{j}))" for j in range(1, i))
+            out += f", p{p}_{i} AS MATERIALIZED (SELECT {p}::BIGINT AS part, {i} AS rank, v, count(*) AS gain FROM L WHERE sid % {parts} = {p}{rest} GROUP BY v ORDER BY gain DESC, v LIMIT 1)"
+    return out + " SELECT part, rank, v, gain FROM (" + " UNION ALL ".join(f"SELECT * FROM p{p}_{i}" for p in range(parts) for i in range(1, k + 1)) + ")"
+
+
+def _parted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sets = rrr_sets(ev(spark, sf_dir), THETA).withColumn("part", F.col("sid") % 4)
+    return sets.select("part", "sid", "v"), spark.range(4).select(F.col("id").alias("part"), F.lit(3).alias("k"))
+
+
+@query(EV + RRR + _parts_sql(4, 3))
+def community_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy rounds of all parts together, each on its own sets."""
+    sets, k = _parted(spark, sf_dir)
+    return greedy_grouped(sets, k, 3)
+
+
+@query(EV + RRR + _parts_sql(4, 3) + " ORDER BY gain * (part + 1) DESC, v LIMIT 5")
+def community_greedy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all parts by weighted gain; parts whose gains fall below them stop early."""
+    sets, k = _parted(spark, sf_dir)
+    weight = k.select("part", (F.col("part") + 1).cast("double").alias("scale"))
+    best = greedy_grouped(sets, k, 3, weight, 5)
+    return best.orderBy(F.desc(F.col("gain") * (F.col("part") + 1)), "v").limit(5)
+
+
 @query(EV + RRR + " SELECT count(DISTINCT sid) AS covered FROM rrr WHERE v IN (0, 1, 2)")
 def seed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(covered_by(rrr_sets(ev(spark, sf_dir), THETA), [0, 1, 2]),)], "covered long")

@@ -390,3 +390,17 @@ def test_weights_become_integers_as_they_are_loaded(spark, tmp_path):
     for bits, want in ((8, {127, 255, 0}), (16, {32767, 65535, 65})):
         edges = load_graph(spark, str(tmp_path / "w.tsv"), weighted=True, bits=bits).edges
         assert {r["wq"] for r in edges.collect()} == want and all(r["thr"] == (r["wq"] + 1) << (32 - bits) for r in edges.collect())
+
+
+def test_parts_stop_once_they_cannot_win(spark):
+    """With a heap of the two best, the weak parts take part in the first round only; the best picks are those of all rounds."""
+    from seedflow.operators.coverage import greedy_grouped
+
+    rows_ = [(p, 100 * p + i, v) for p in range(5) for i in range(8) for v in ({0: (i % 2,), 1: (i % 4,)}.get(p, (i,)))]
+    sets = spark.createDataFrame(rows_, "part long, sid long, v long")
+    k = spark.range(5).select(F.col("id").alias("part"), F.lit(6).alias("k"))
+    scale = spark.range(5).select(F.col("id").alias("part"), F.lit(1.0).alias("scale"))
+    every = rows(greedy_grouped(sets, k, 6), "part", "rank", "v", "gain")
+    some = rows(greedy_grouped(sets, k, 6, scale, 2), "part", "rank", "v", "gain")
+    assert set(some) < set(every) and [r for r in some if r[1] > 1] == [(0, 2, 1, 4), (1, 2, 1, 2)]
+    assert sorted(every, key=lambda r: (-r[3], r[2]))[:2] == sorted(some, key=lambda r: (-r[3], r[2]))[:2]
