@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,14 @@ class Sets:
             self.iterations.append({"NumSets": theta - before, "Total": self.times["GenerateRRRSets"][-1]})
         return self
 
+    def draw(self, theta: int) -> DataFrame:
+        """The sets that ``grow`` would add, drawn but not added."""
+        return checkpoint(rrr_sets(self.graph, theta, self.model, self.stream, self.seed, start=self.drawn))
+
+    def add(self, theta: int, rows: DataFrame) -> None:
+        self.rows = rows if self.rows is None else self.rows.union(rows)
+        self.drawn = theta
+
     def first(self, theta: int) -> DataFrame:
         return self.rows if theta >= self.drawn else self.rows.filter(F.col("sid") < theta)
 
@@ -126,24 +136,69 @@ def imm(graph: Graph, k: int = 10, eps: float = 0.5, model: str = "IC", seed: in
     return Result(got.seeds, theta, got.fraction, got.fraction * graph.n, sure, {"lower_bound": bound, "theta_primes": tried, **estimation, **sets.phases()})
 
 
-def opimc(graph: Graph, k: int = 10, eps: float = 0.5, delta: float = 0.05, model: str = "IC", seed: int = 0, max_sets: int | None = MAX_SETS) -> Result:
+class Ahead:
+    """Sets of the next round, drawn by a thread with a job group of its own while this round is judged."""
+
+    def __init__(self, sets: list[Sets], theta: int):
+        self.sets, self.theta, self.found = sets, theta, []
+        self.group, self.sc = f"seedflow-ahead-{uuid.uuid4().hex}", sets[0].graph.edges.sparkSession.sparkContext
+        self.thread = InheritableThread(target=self._run)
+        self.thread.start()
+
+    def _run(self) -> None:
+        self.sc.setJobGroup(self.group, "sets of the next round", interruptOnCancel=True)
+        try:
+            self.found = [s.draw(self.theta) for s in self.sets]
+        except Exception as stopped:  # noqa: BLE001  raised again by take, unless cancelled
+            self.found = stopped
+
+    def take(self) -> None:
+        self.thread.join()
+        if isinstance(self.found, Exception):
+            raise self.found
+        for s, rows in zip(self.sets, self.found, strict=True):
+            s.add(self.theta, rows)
+
+    def cancel(self) -> None:
+        while self.thread.is_alive():  # jobs that it begins after a call are cancelled by the next
+            self.sc.cancelJobGroup(self.group)
+            self.thread.join(0.2)
+
+
+def opimc(graph: Graph, k: int = 10, eps: float = 0.5, delta: float = 0.05, model: str = "IC", seed: int = 0, max_sets: int | None = MAX_SETS, ahead_bytes: int = 0) -> Result:
+    """``ahead_bytes``: the next round's sets are drawn while a round is judged, if they are expected to take no more than this (16 bytes a member)."""
     k = _check(graph, k, model)
     n = graph.n
     first, most = bounds.opim_limits(eps, delta, k, n)
     rounds = max(math.ceil(math.log2(most / first)), 1) if most > first else 1
     d = delta / (3 * rounds)
     r1, r2, theta, alpha = Sets(graph, model, "r1", seed), Sets(graph, model, "r2", seed), _most(first, max_sets), 0.0
+    ahead, used = None, {"taken": 0, "cancelled": 0, "refused": 0}
     for turn in range(1, rounds + 1):
-        got = r1.grow(theta).greedy(k)
-        covered = seed_coverage(r2.grow(theta).rows, got.seeds)
+        if ahead:
+            ahead.take()
+            used["taken"] += 1
+            ahead = None
+        r1.grow(theta)
+        r2.grow(theta)
+        if ahead_bytes and turn < rounds and (larger := _most(2 * theta, max_sets)) > theta:
+            if 16 * r1.rows.count() / theta * 2 * (larger - theta) <= ahead_bytes:
+                ahead = Ahead([r1, r2], larger)
+            else:
+                used["refused"] += 1
+        got = r1.greedy(k)
+        covered = seed_coverage(r2.rows, got.seeds)
         upper = bounds.opim_upper(n, theta, got.fraction * theta, d)
         alpha = bounds.opim_lower(n, theta, covered, d) / upper if upper else 0.0
         if alpha >= bounds.APPROX - eps or (max_sets is not None and theta >= max_sets):
             break
         if turn < rounds:
             theta = _most(2 * theta, max_sets)
+    if ahead:
+        ahead.cancel()
+        used["cancelled"] += 1
     sure = alpha >= bounds.APPROX - eps or theta >= most
-    return Result(got.seeds, theta, got.fraction, covered / theta * n, sure, {"alpha": alpha, "rounds": turn, "theta_zero": first, "theta_max": most, **r1.phases()})
+    return Result(got.seeds, theta, got.fraction, covered / theta * n, sure, {"alpha": alpha, "rounds": turn, "theta_zero": first, "theta_max": most, "ahead": used, **r1.phases()})
 
 
 def widths(graph: Graph, rrr: DataFrame) -> DataFrame:

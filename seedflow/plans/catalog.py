@@ -199,6 +199,14 @@ def community_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.communities(g.vertices.select("orig", (F.col("orig") % 4).alias("community"))).groupBy("community").agg(F.count("*").alias("edges"))
 
 
+@query(EV + " SELECT vid AS orig, orig % 4 AS community FROM V")
+def community_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written as a text list, and read again in splits."""
+    path = fresh_path(spark, "communities")
+    ev(spark, sf_dir, None).vertices.orderBy("vid").select((F.col("orig") % 4).cast("string")).write.text(path)
+    return stored.read_communities(spark, path, first=0)
+
+
 @query(EV + ROOTS + " SELECT sid, v FROM R")
 def rrr_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, 0, THETA).select("sid", root_of(F.col("sh"), ev(spark, sf_dir, None).n).alias("v"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import checkpoint
 from ..operators import weights
 from ..operators.graph import Graph
 from ..operators.influence import Sets
@@ -118,10 +119,19 @@ def write_edge_text(graph: Graph, path: str, normalize: bool = False) -> None:
 
 
 def read_communities(spark: SparkSession, path: str, first: int = 1) -> DataFrame:
-    """orig, community of a white-space list: its i-th number (from 0) is the label of vertex i + first."""
-    whole = spark.read.text(path, wholetext=True)
-    part = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    return whole.select(F.posexplode(part)).filter("col <> ''").select((F.col("pos") + first).cast("long").alias("orig"), F.col("col").cast("long").alias("community"))
+    """orig, community of a white-space list: its i-th number (from 0) is the label of vertex i + first.
+
+    Files are read in splits, in the order of their names: a number's place is what stands before its split, before
+    its line in the split, and before it in the line, so any number of tasks may read one file.
+    """
+    part = F.filter(F.split(F.col("value"), r"\s+"), lambda x: x != "")
+    lines = spark.read.text(path).select(part.alias("part"), F.input_file_name().alias("file"), F.input_file_block_start().alias("split"), F.monotonically_increasing_id().alias("line"))
+    lines = checkpoint(lines.withColumn("n", F.size("part")).filter("n > 0"))
+    per = lines.groupBy("file", "split").agg(F.sum("n").alias("_n"))  # a row a split
+    before = per.withColumn("base", F.sum("_n").over(Window.orderBy("file", "split")) - F.col("_n")).drop("_n")
+    inside = F.sum("n").over(Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = lines.withColumn("inside", inside).join(before, ["file", "split"]).select("base", "inside", F.posexplode("part"))
+    return placed.select((F.col("base") + F.col("inside") + F.col("pos") + first).cast("long").alias("orig"), F.col("col").cast("long").alias("community"))
 
 
 def fingerprint(graph: Graph, model: str, seed: int, stream: str = "sample") -> dict:

@@ -404,3 +404,43 @@ def test_parts_stop_once_they_cannot_win(spark):
     some = rows(greedy_grouped(sets, k, 6, scale, 2), "part", "rank", "v", "gain")
     assert set(some) < set(every) and [r for r in some if r[1] > 1] == [(0, 2, 1, 4), (1, 2, 1, 2)]
     assert sorted(every, key=lambda r: (-r[3], r[2]))[:2] == sorted(some, key=lambda r: (-r[3], r[2]))[:2]
+
+
+def test_a_round_ahead_changes_nothing(wc):
+    plain = influence.opimc(wc, 3, 0.12)
+    ahead = influence.opimc(wc, 3, 0.12, ahead_bytes=1 << 30)
+    assert (ahead.seeds, ahead.sets, ahead.spread) == (plain.seeds, plain.sets, plain.spread) and plain.details["rounds"] > 1
+    used = ahead.details["ahead"]
+    assert used["taken"] == plain.details["rounds"] - 1 and used["cancelled"] <= 1 and not used["refused"]
+    small = influence.opimc(wc, 3, 0.12, ahead_bytes=100)
+    assert small.seeds == plain.seeds and small.details["ahead"]["refused"] and not small.details["ahead"]["taken"]
+
+
+def test_a_cancelled_round_ends_its_jobs(spark, wc):
+    from seedflow.operators.influence import Ahead, Sets
+
+    sets = [Sets(wc, "IC", "r1"), Sets(wc, "IC", "r2")]
+    ahead = Ahead(sets, 3_000_000)
+    ahead.cancel()
+    tracker = spark.sparkContext.statusTracker()
+    assert not ahead.thread.is_alive() and not set(tracker.getJobIdsForGroup(ahead.group)) & set(tracker.getActiveJobsIds())
+    assert all(s.drawn == 0 and s.rows is None for s in sets)
+
+
+def test_community_lists_are_read_in_splits(spark, tmp_path):
+    from pyspark.sql import functions as F  # noqa: F811
+
+    from seedflow.sources.edges import read_communities
+
+    labels = [(i * 7) % 11 for i in range(400)]
+    (tmp_path / "c").mkdir()
+    text = "".join(f"  {a} {b}\t{c}\n" + ("\n" if a == 3 else "") for a, b, c in zip(labels[:297:3], labels[1:297:3], labels[2:297:3], strict=True))
+    (tmp_path / "c" / "a.txt").write_text(text)
+    (tmp_path / "c" / "b.txt").write_text(" ".join(map(str, labels[297:])))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        assert spark.read.text(str(tmp_path / "c" / "a.txt")).select(F.input_file_block_start()).distinct().count() > 3
+        assert sorted(map(tuple, read_communities(spark, str(tmp_path / "c")).collect())) == [(i + 1, c) for i, c in enumerate(labels)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
