@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from .operators import influence
 from .operators.graph import Graph
 from .operators.sampling import simulate
 from .records import record, timed
-from .sources import edges
+from .sources import binary, edges
 
 
 def parser() -> argparse.ArgumentParser:
@@ -55,11 +56,14 @@ def parser() -> argparse.ArgumentParser:
     dump.add_argument("--transpose", action="store_true")
     dump.add_argument("--normalize", action="store_true")
     dump.add_argument("--binary", action="store_true", help="store as Parquet, not as text")
+    dump.add_argument("--published", action="store_true", help="one file of the published binary layout")
     return top
 
 
 def load(spark: SparkSession, a: argparse.Namespace) -> Graph:
     def build() -> Graph:
+        if a.reload_binary and os.path.isfile(a.input):
+            return binary.read_binary(spark, a.input, scale=a.scale_factor)
         if a.reload_binary:
             return edges.reload_graph(spark, a.input, scale=a.scale_factor)
         return edges.load_graph(spark, a.input, a.weighted, a.undirected, a.diffusion_model, a.distribution, a.mean, a.variance, a.scale_factor, not a.disable_renumbering, a.seed, bits=a.weight_bits)
@@ -67,7 +71,7 @@ def load(spark: SparkSession, a: argparse.Namespace) -> Graph:
     if not a.graph_store_dir:
         return build()
     how = ("reload_binary", "weighted", "undirected", "diffusion_model", "distribution", "mean", "variance", "scale_factor", "disable_renumbering", "weight_bits", "seed")
-    return edges.open_or_create(spark, a.graph_store_dir, build, {**{k: getattr(a, k) for k in how}, **edges.input_mark(spark, a.input, a.reload_binary)})
+    return edges.open_or_create(spark, a.graph_store_dir, build, {**{k: getattr(a, k) for k in how}, **edges.input_mark(spark, a.input, a.reload_binary and not os.path.isfile(a.input))})
 
 
 def stored_sets(spark: SparkSession, graph: Graph, a: argparse.Namespace) -> influence.Sets:
@@ -80,6 +84,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     graph, model = load(spark, a), a.diffusion_model
     if a.command == "dump-graph":
         graph = graph.transpose() if a.transpose else graph
+        if a.published:
+            binary.write_binary(graph, a.output, a.weight_bits or 32)
+            return []
         edges.write_graph(graph, a.output) if a.binary else edges.write_edge_text(graph, a.output, a.normalize)
         return []
     if a.command == "simulator":

@@ -19,7 +19,7 @@ from ..operators.coverage import seed_coverage as covered_by
 from ..operators.graph import Graph
 from ..operators.sampling import live_edges, live_parents, root_of, rrr_sets, samples, simulate
 from ..sources import edges as stored
-from ..sources import generators, tables
+from ..sources import binary, generators, tables
 from ..sources.edges import parse_lines
 
 THETA, WORLDS, REPLICAS = 64, 16, 16
@@ -586,6 +586,14 @@ def tim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return influence.as_frame(g, influence.tim(g, 5, 0.5, max_sets=200_000))
 
 
+@query(EV + " SELECT src, dst, floor(1.0::DOUBLE / count(*) OVER (PARTITION BY dst) * 255)::INTEGER AS wq FROM E")
+def binary_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published binary layout, written and read in ranges; on a file system that all executors share."""
+    path = fresh_path(spark, "graph").removeprefix("file://")
+    binary.write_binary(ev(spark, sf_dir).transpose(), path, 8)
+    return binary.read_binary(spark, path, "backward", 8).transpose().edges.select("src", "dst", "wq")
+
+
 @query()
 def community_imm(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ev(spark, sf_dir)

@@ -19,7 +19,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["rrr_coverage_ic", "rrr_sizes_lt", "rrr_frontier_ic", "sim_ic", "hc_k2", "hc_lt_k2", "sim_lt", "rrr_store_resume", "rrr_sizes_ic_u8", "partition_sets", "lt_normalize", "parse_edge_lines", "community_sizes", "max_coverage_distributed", "sample_bounds"])
+@pytest.mark.parametrize("name", ["rrr_coverage_ic", "rrr_sizes_lt", "rrr_frontier_ic", "sim_ic", "hc_k2", "hc_lt_k2", "sim_lt", "rrr_store_resume", "rrr_sizes_ic_u8", "partition_sets", "lt_normalize", "parse_edge_lines", "community_sizes", "max_coverage_distributed", "max_coverage_handover", "rrr_bits_ic", "rrr_race_local", "rrr_blocks_ic", "imm", "opimc", "tim", "community_greedy_best", "community_list", "binary_graph", "sample_bounds"])
 def test_query_agrees_with_sql(spark, con, name):
     df = QUERIES[name](spark, DATA)
     got = con.execute(ORACLES[name])
