@@ -405,18 +405,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def row_hash(docs: DataFrame) -> Column:
-    """A hash of all columns of a row; rows that share it are equal."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
+    """A hash of all columns of a row; rows that share it are equal. Columns that hold maps count by their JSON."""
+    maps = {f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()}
+    value = lambda c: F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if c in maps else F.col(f"`{c}`")
+    return F.xxhash64(*[value(c) for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = WIDE) -> DataFrame:
     """One row of each component of near copies, with all its columns: that of the least id, nulls last, then of the least ``row_hash``; of wholly equal rows, one."""
     rows = near_copies(docs, id_col, text_col, budget)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.tie").alias("_row"))
-    tied = docs.withColumn("_row", row_hash(docs))
-    # one exchange of the texts, by _row, serves the join and the last step
-    kept = tied.join(checkpoint(first), (tied["_row"] == first["_row"]) & ~(~tied[f"`{id_col}`"].eqNullSafe(first["_id"])), "left_semi")
-    return kept.dropDuplicates(["_row", id_col]).drop("_row")
+    row = next(n for k in range(len(docs.columns) + 1) if (n := f"_row{k or ''}") not in docs.columns)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.tie").alias("_tie"))
+    tied = docs.withColumn(row, row_hash(docs))
+    # one exchange of the texts, by the row's hash, serves the join and the last step
+    kept = tied.join(checkpoint(first), (tied[row] == first["_tie"]) & ~(~tied[f"`{id_col}`"].eqNullSafe(first["_id"])), "left_semi")
+    return kept.dropDuplicates([row, id_col]).drop(row)
 
 
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,13 @@ def test_bitmaps_differ_in_no_more_bits_than_shingles():
         assert bits.bit_count() <= len(set(a.tolist()) ^ set(b.tolist()))
         rows = [np.frombuffer(V.bitmap(s), np.uint64)[None, :] for s in (a, b)]
         assert V.close(*rows, np.array([9 * bits.bit_count()]))[0] and (not bits or not V.close(*rows, np.array([9 * bits.bit_count() - 1]))[0])
+
+
+def test_extra_columns_of_any_kind(spark, odd):
+    """Maps, and a column with the name of a working column, come through; wholly equal rows are one."""
+    from pyspark.sql import functions as F
+
+    wide = odd.withColumn("_row", F.lit(7)).withColumn("m", F.create_map(F.lit("a"), F.col("n_chars"))).withColumn("s", F.struct(F.create_map(F.lit(1), F.lit("x")).alias("in")))
+    got, plain = S.deduplicate(wide), S.deduplicate(odd)
+    assert got.columns == wide.columns and {r["_row"] for r in got.collect()} == {7}
+    assert sorted(map(str, (r["doc_id"] for r in got.collect()))) == sorted(map(str, (r["doc_id"] for r in plain.collect())))
