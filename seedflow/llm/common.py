@@ -41,18 +41,20 @@ BROADCAST_ROWS = 100_000
 HOT_ROWS, HOT_SHARE, SALTS = 1000, 1000, 64
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None, how: str = "inner", broadcast: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None, how: str = "inner", broadcast: int = BROADCAST_ROWS, hot: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has each key once; both are cheap to read again. Any share of ``left`` may have one key.
 
     A small ``right`` of narrow rows is broadcast (``broadcast`` 0: never). Else keys are salted that occur
     in ``left`` more than ``hot`` times and more often than one row in ``HOT_SHARE``, of which there are at
-    most ``HOT_SHARE``; the rows of ``right`` that they need are copied ``SALTS`` times.
+    most ``HOT_SHARE``; the rows of ``right`` that they need are copied ``SALTS`` times. ``counted``: rows with the keys
+    of ``left`` that are cheaper to count.
     """
     right = right.withColumnRenamed(right_key or key, key)
     if broadcast and right.limit(broadcast + 1).count() <= broadcast:
         return left.join(F.broadcast(right), key, how)
-    least = max(hot, left.count() // HOT_SHARE)
-    often = [r[0] for r in left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key).collect()]
+    counted = left if counted is None else counted
+    least = max(hot, counted.count() // HOT_SHARE)
+    often = [r[0] for r in counted.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key).collect()]
     if not often:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(often)

@@ -120,5 +120,6 @@ def verified(sets: DataFrame, pairs: DataFrame, least: tuple[int, int] = LEAST)
             yield b.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     one = join_hot(pairs, sets.select(F.col("key").alias("u"), F.col("set").alias("a")), "u", broadcast=0)
-    two = join_hot(one, sets.select(F.col("key").alias("v"), F.col("set").alias("b")), "v", broadcast=0)
+    # hot keys are counted in the pairs, before any set is joined to them
+    two = join_hot(one, sets.select(F.col("key").alias("v"), F.col("set").alias("b")), "v", broadcast=0, counted=pairs)
     return two.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
