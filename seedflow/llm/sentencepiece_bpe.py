@@ -45,7 +45,7 @@ from .common import load
 
 MARK = "▁"
 #: Texts and characters of one batch, and characters of distinct units that one suffix array indexes.
-BATCH, BATCH_CHARS, INDEXED = 1024, 4_000_000, 500_000
+BATCH, BATCH_CHARS, INDEXED = 384, 2_000_000, 500_000
 #: Units of more characters are relaxed on their own, in windows.
 LONG, WINDOW = 1000, 200_000
 #: Pairs of pieces whose stability a worker remembers for long units.
