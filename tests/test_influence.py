@@ -341,6 +341,23 @@ def test_distributed_counts_are_kept(wc):
     assert got.rounds[0] == ("recounted", 10) and (got.seeds, got.gains) == (max_coverage(df, 5, 100, "local").seeds, max_coverage(df, 5, 100, "local").gains)
 
 
+def test_lazy_greedy_brings_few_members(wc, monkeypatch):
+    """Beyond the driver's limit, only the leading candidates' members are brought, and the greedy is the same, ties included."""
+    from seedflow.operators import coverage as C
+
+    sets = rrr_sets(wc, 400)
+    want = max_coverage(sets, 12, 400, "local")
+    for entries, candidates in ((1, 5), (150, 3), (10**6, 5), (10**6, 1000)):
+        got = C.greedy_lazy(sets, 12, 400, entries, candidates)
+        assert (got.seeds, got.gains) == (want.seeds, want.gains) and max(n for _, n in got.rounds) <= entries
+        assert len(got.rounds) == (12 if entries == 1 else len(got.rounds)) and (candidates < 1000 or len(got.rounds) == 1)
+    monkeypatch.setattr(C, "LAZY_ENTRIES", 150)
+    got = max_coverage(sets, 12, 400, local_entries=100)
+    assert (got.seeds, got.gains, got.fraction) == (want.seeds, want.gains, want.fraction) and {how for how, _ in got.rounds} == {"lazy"}
+    every = sets.sparkSession.createDataFrame(hand_made(), "sid long, v long")
+    assert C.greedy_lazy(every, 5, 1100).seeds == [2, 3, 1] and C.greedy_lazy(every.limit(0), 3, 0).seeds == []
+
+
 def test_blocks_agree_with_the_byte_map(spark, cyclic):
     """Small blocks, so that hubs lie in several; no block is larger than it may be."""
     from seedflow.operators.blocks import Blocks, sets_by_blocks
