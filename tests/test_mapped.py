@@ -55,3 +55,29 @@ def test_walks_equal_joins(spark, model, forward):
     a, b = (sorted(map(tuple, f(g, starts, model, forward, seen).select("sid", "v", "hop").collect())) for f in (_walked, _joined))
     assert a == b and len(a) > 12
 
+
+
+def test_deep_sets_in_words_take_few_jobs(spark):
+    """So do those of the blocks, whose hops read all blocks; words of one task hold up to 64 samples."""
+    g = Graph.build(spark.createDataFrame([(i, i + 1) for i in range(300)], "src long, dst long"))
+    got, jobs = _jobs(spark, lambda: rrr_sets(g, 8, strategy="blocks").groupBy("sid").count().collect())
+    assert {r["sid"]: r["count"] for r in got} == {r["sid"]: r["count"] for r in rrr_sets(g, 8, strategy="local").groupBy("sid").count().collect()}
+    assert max(r["count"] for r in got) > 100 and jobs < 40
+    for g in (_random(spark), _random(spark, 40, 400, 0.2)):
+        a, b = (sorted(map(tuple, rrr_sets(g, 700, strategy=s, start=30).collect())) for s in ("blocks", "local"))
+        assert a == b and len(a) > 700
+
+
+def test_no_adjacency_passes_the_driver(spark, monkeypatch):
+    """Before, every graph query brought the adjacency arrays to the driver and sent them out as a broadcast variable."""
+    from seedflow.operators import influence
+
+    def refused(*_):
+        raise AssertionError("the adjacency was brought to the driver")
+
+    monkeypatch.setattr(Graph, "csr", refused)
+    g = _random(spark, 30, 90, 0.4)
+    assert len(influence.hill_climb(g, 2, 4, model="LT").seeds) == 2 and len(influence.hill_climb(g, 2, 4).seeds) == 2
+    for model, strategy in (("IC", "auto"), ("IC", "bits"), ("IC", "local"), ("IC", "blocks"), ("IC", "frontier"), ("LT", "auto"), ("LTR", "auto")):
+        assert rrr_sets(g, 9, model, strategy=strategy).select("sid").distinct().count() == 9
+    assert len(influence.imm(g, 2, 0.5, "LT", max_sets=200).seeds) == 2
