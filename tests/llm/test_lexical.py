@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -49,6 +50,13 @@ def run(spark, docs, items, k=10, width=16):
     return Counter(map(tuple, X.search(X.build_index(d, width=width), q, k).collect()))
 
 
+def test_terms_are_counted_by_bytes():
+    """Before, a regular expression ran over every text."""
+    texts = [t for _, t, *_ in ROWS] + ["a", None, "b", "", " ", "c-d", "é1 \x7f_z", "日本 語", "x" * 1000]
+    for a in (pa.array(texts), pa.array(texts)[3:], pa.array(texts, pa.large_string()), pa.array([], pa.string()), pa.array([None], pa.string()), pa.array(texts)[-5:-5]):
+        assert X.count_terms(a).tolist() == [len(terms(t)) for t in a.to_pylist()]
+
+
 def test_ranking_equals_brute_force(spark):
     docs, items = corpus(1, 300)
     assert run(spark, docs, items) == answer(docs, items)
