@@ -33,6 +33,7 @@ import math
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -211,24 +212,26 @@ class Codec:
         """start, end and id of all occurrences of pieces in the codes ``text``, and of unknown characters (id -1), in no order."""
         n = len(text)
         word = self._words(np.concatenate([text, np.zeros(self.longest + 3, text.dtype)]))
-        # suffix array: ranks of 4 characters, then of twice as many, up to the longest piece
-        order = np.argsort(word[:n], kind="stable")
+        # suffix array, equal suffixes in no order: ranks of 4 characters, then of twice as many, up to the longest piece
+        order = np.argsort(word[:n])
         k, width = word[order], 4
         while width < self.longest:
             rank = np.zeros(n + width, np.int64)
             rank[order] = np.concatenate([[1], 1 + np.cumsum(k[1:] != k[:-1])]) if n else k
             key = rank[:n] * (n + 2) + rank[width:]
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             k, width = key[order], 2 * width
-        # ranges of all pieces, searched together
-        found = []
+        # ranges of all pieces, searched together: by their first four characters, and longer ones within what has these
+        found, first = [], word[order]
         for upper, bound in enumerate(self.bounds):
-            lo, hi = np.zeros(len(bound), np.int64), np.full(len(bound), n, np.int64)
+            lo, hi = (np.searchsorted(first, bound[:, 0], side=side) for side in ("left", "right"))
+            brief = self.pattern_len <= 4
+            lo[brief] = hi[brief] = (hi if upper else lo)[brief]
             while len(live := np.flatnonzero(lo < hi)):
                 mid = (lo[live] + hi[live]) // 2
                 suffix = order[mid]
                 less, equal = np.zeros(len(live), bool), np.ones(len(live), bool)
-                for w in range(bound.shape[1]):
+                for w in range(1, bound.shape[1]):
                     s, p = word[suffix + 4 * w], bound[live, w]
                     less |= equal & (s < p)
                     equal &= s == p
@@ -248,7 +251,7 @@ class Codec:
 
     def match(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths of the encodings of units; each is encoded on its own."""
-        sizes = np.array([len(u) for u in units], np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
         points = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le"), np.uint32)
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         text = self.code[points]
@@ -258,16 +261,16 @@ class Codec:
         by = np.argsort(level, kind="stable")
         start, end, ids, level = start[by], end[by], ids[by], level[by]
         cuts = np.searchsorted(level, np.arange(1, (int(level[-1]) if len(level) else 0) + 2))
-        # relax: last piece of the encoding up to a place (-2: none yet), and where that piece starts
+        # relax: last piece of the encoding up to a place (-1: a unit's start, -2: none yet), and where that piece starts
         last, back = np.full(len(text) + 1, -2, np.int32), np.zeros(len(text) + 1, np.int32)
-        first = np.zeros(len(text) + 1, bool)
-        first[begin] = True
+        last[begin] = -1
         for k in range(len(cuts) - 1):
             s, e, t = start[cuts[k] : cuts[k + 1]], end[cuts[k] : cuts[k + 1]], ids[cuts[k] : cuts[k + 1]]
-            before = np.where(first[s], -1, last[s])
-            reached = first[s] | (before > -2)
-            take = reached & ((before == -1) | (t == -1))  # a unit's start or an unknown character: nothing to merge with
-            check = np.flatnonzero(reached & ~take)
+            before = last[s]
+            reached = np.flatnonzero(before > -2)
+            s, e, t, before = s[reached], e[reached], t[reached], before[reached]
+            take = (before == -1) | (t == -1)  # a unit's start or an unknown character: nothing to merge with
+            check = np.flatnonzero(~take)
             if len(check):
                 pair, where = np.unique(before[check].astype(np.int64) * len(self.texts) + t[check], return_inverse=True)
                 take[check] = self.stable(pair // len(self.texts), pair % len(self.texts))[where]
@@ -359,36 +362,50 @@ class Codec:
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of distinct units, and where each begins (and the last one ends)."""
         # spaces before a word are set apart from its last one; what is left is matched
-        cores = [u.lstrip(" ") if u[0] == " " else u for u in units]
-        todo = [c if c[:1] == "\n" else MARK + c if c else "" for c in cores]
-        short = [k for k, c in enumerate(todo) if 0 < len(c) <= LONG]
-        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+        todo = [u if u[0] == "\n" else MARK + u for u in units]
+        spaced = [k for k, u in enumerate(units) if u[0] == " "]
+        for k in spaced:
+            core = units[k].lstrip(" ")
+            todo[k] = core if core[:1] == "\n" else MARK + core if core else ""
+        chars = np.fromiter(map(len, todo), np.int64, len(todo))
+        short = np.flatnonzero((chars > 0) & (chars <= LONG))
+        # where each unit's ids lie, and how many they are
+        begin, n_ids, parts, held = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [np.zeros(0, np.int32)], 0
+
+        def put(k: list | np.ndarray, ids: np.ndarray, n: list | np.ndarray) -> None:
+            nonlocal held
+            n_ids[k], begin[k] = n, held + np.cumsum(n) - n
+            parts.append(ids)
+            held += len(ids)
+
+        sums = np.cumsum(chars[short] + 1)
         at = 0
         while at < len(short):
-            size, stop = 0, at
-            while stop < len(short) and (size < INDEXED or stop == at):
-                size += len(todo[short[stop]]) + 1
-                stop += 1
-            flat, n = self.match([todo[k] for k in short[at:stop]])
-            for k, x in zip(short[at:stop], np.split(flat, np.cumsum(n)[:-1]), strict=True):
-                ids[k] = x
+            stop = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + INDEXED)) + 1
+            put(short[at:stop], *self.match([todo[k] for k in short[at:stop].tolist()]))
             at = stop
-        for k, c in enumerate(todo):
-            if len(c) > LONG:
-                ids[k] = self.match_long(c)
-        for k, (u, c) in enumerate(zip(units, cores, strict=True)):
-            if spaces := len(u) - len(c):
-                # the last mark merges with the word if it can, else with the marks before it
-                one = c and ids[k][0] == self.id[MARK]
-                ids[k] = np.concatenate([np.array(self._run(spaces + 1 if one else spaces), np.int32), ids[k][1:] if one else ids[k]])
-        return np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        for k in np.flatnonzero(chars > LONG).tolist():
+            ids = self.match_long(todo[k])
+            put([k], ids, [len(ids)])
+        flat = np.concatenate(parts)
+        for k in spaced:
+            # the last mark merges with the word if it can, else with the marks before it
+            own, spaces = flat[begin[k] : begin[k] + n_ids[k]], len(units[k]) - len(units[k].lstrip(" "))
+            one = len(own) and own[0] == self.id[MARK]
+            own = np.concatenate([np.array(self._run(spaces + 1 if one else spaces), np.int32), own[1:] if one else own])
+            put([k], own, [len(own)])
+        flat = np.concatenate(parts)
+        before = np.concatenate([[0], np.cumsum(n_ids)])
+        return flat[np.repeat(begin - before[:-1], n_ids) + np.arange(before[-1])], before
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text begins (and the last one ends)."""
         split = [self.units(t) for t in texts]
-        place: dict[str, int] = {}
-        index = np.fromiter((place.setdefault(u, len(place)) for s in split for u in s), np.int64, sum(map(len, split)))
-        flat, begin = self.encode_units(list(place))
+        every = list(chain.from_iterable(split))
+        units = list(dict.fromkeys(every))
+        place = dict(zip(units, range(len(units)), strict=True))
+        index = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
+        flat, begin = self.encode_units(units)
         sizes = begin[index + 1] - begin[index]
         before = np.concatenate([[0], np.cumsum(sizes)])
         out = flat[np.repeat(begin[index] - before[:-1], sizes) + np.arange(before[-1])]

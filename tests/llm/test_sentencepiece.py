@@ -91,3 +91,13 @@ def test_other_models_are_refused(tmp_path):
         (tmp_path / "other.model").write_bytes(m.SerializeToString())
         with pytest.raises(ValueError):
             S.Codec(str(tmp_path / "other.model"))
+
+
+def test_spaces_and_long_units_among_others():
+    """Ids of short, long and spaced units are gathered together, in the order of the units."""
+    c = S.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    units = ["one", "  two", "x" * 1500, "\n", "   ", "   " + "y" * 1200, "日本", " \x00q"]
+    flat, begin = c.encode_units(units)
+    alone = [c.encode_units([u])[0].tolist() for u in units]
+    assert [flat[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == alone and all(alone)
+    assert c.encode_units([])[1].tolist() == [0]
