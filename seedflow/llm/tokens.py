@@ -25,7 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -122,9 +122,12 @@ class ChunkEncoder:
         split = [self.chunks(t) for t in texts]
         if len(self.place) > self.kept:
             self.clear()
-        if new := list({c for s in split for c in s if c not in self.place}):
-            self._learn(new)
-        index = np.fromiter((self.place[c] for s in split for c in s), np.int64, sum(map(len, split)))
+        every = list(chain.from_iterable(split))
+        index = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
+        if len(unknown := np.flatnonzero(index < 0)):
+            missed = [every[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(missed)))
+            index[unknown] = np.fromiter(map(self.place.__getitem__, missed), np.int64, len(missed))
         sizes = self.begin[index + 1] - self.begin[index]
         before = np.concatenate([[0], np.cumsum(sizes)])
         last = before[np.cumsum([len(s) for s in split], dtype=np.int64)] if split else np.zeros(0, np.int64)
