@@ -91,7 +91,7 @@ def test_no_adjacency_passes_the_driver(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["rrr_coverage_ic", "rrr_members_ic", "rrr_sizes_half", "seed_coverage", "rrr_store_resume", "kpt_mean", "rrr_width", "coverage_update"])
+@pytest.mark.parametrize("name", ["rrr_coverage_ic", "rrr_members_ic", "rrr_sizes_half", "seed_coverage", "rrr_store_resume", "kpt_mean", "rrr_width", "coverage_update", "rrr_race_local"])
 def test_queries_bring_few_rows_to_the_driver(spark, monkeypatch, name):
     """Before, each of them brought all edges of the graph to the driver; now sizes of partitions and sums alone, and the results equal the SQL."""
     frame, brought = type(spark.range(1)), []
