@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
 
     for name in ("imm", "opimc", "tim", "community-imm"):
         command(name).add_argument("-e", "--epsilon", type=float, default=0.5)
-        commands.choices[name].add_argument("--max-sets", type=int, default=200_000 if name == "community-imm" else influence.MAX_SETS, help="draw no more sets than this; 0: no limit")
+        commands.choices[name].add_argument("--max-sets", type=int, default={"imm": 0, "community-imm": 200_000}.get(name, influence.MAX_SETS), help="draw no more sets than this; 0: no limit")
     imm = commands.choices["imm"]
     imm.add_argument("--rr-store-dir")
     imm.add_argument("--rrsets", type=int, help="draw exactly so many sets")

@@ -1,4 +1,5 @@
 import json
+import math
 
 import numpy as np
 import pytest
@@ -257,6 +258,34 @@ def test_capped_estimates_say_so(club):
         assert run(g, 2, 0.5).guaranteed and not run(g, 2, 0.1, max_sets=20).guaranteed
 
 
+@pytest.mark.parametrize("name", ["imm"])
+def test_imm_draws_all_sets_that_it_needs(monkeypatch, name):
+    """Before, the queries stopped at 2,000,000 sets. Seeds that cover 2^-13 of 100,000 vertices need more; nothing is drawn here."""
+    from types import SimpleNamespace
+
+    from seedflow.functions import bounds
+    from seedflow.operators.coverage import Greedy
+    from seedflow.plans import catalog
+
+    class Few(influence.Sets):
+        def grow(self, theta):
+            self.drawn = max(self.drawn, theta)
+            return self
+
+        def greedy(self, k, theta=None):
+            return Greedy(list(range(k)), [1] * k, 2.0**-13)
+
+    n = 100_000
+    monkeypatch.setattr(influence, "Sets", Few)
+    monkeypatch.setattr(influence, "as_frame", lambda graph, result: result)
+    monkeypatch.setattr(catalog, "ev", lambda spark, sf_dir: SimpleNamespace(n=n))
+    got = catalog.QUERIES[name](None, "")
+    e, l = math.sqrt(2) * 0.5, 1 + 1 / math.log2(n)
+    assert got.details["theta_primes"] == [bounds.imm_theta_prime(x, e, l, 5, n) for x in range(1, 14)]
+    assert got.sets == bounds.imm_theta(0.5, l, 5, n * 2.0**-13 / (1 + e), n) > 2_000_000 and got.guaranteed
+    assert cli.parser().parse_args(["imm", "-i", "graph.tsv"]).max_sets == 0  # no limit
+
+
 def test_communities_together_equal_each_alone(spark, club):
     from seedflow.operators import weights
     from seedflow.operators.influence import community_imm
