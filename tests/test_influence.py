@@ -258,7 +258,7 @@ def test_capped_estimates_say_so(club):
         assert run(g, 2, 0.5).guaranteed and not run(g, 2, 0.1, max_sets=20).guaranteed
 
 
-@pytest.mark.parametrize("name", ["imm"])
+@pytest.mark.parametrize("name", ["imm", "imm_lt"])
 def test_imm_draws_all_sets_that_it_needs(monkeypatch, name):
     """Before, the queries stopped at 2,000,000 sets. Seeds that cover 2^-13 of 100,000 vertices need more; nothing is drawn here."""
     from types import SimpleNamespace
